@@ -1,0 +1,49 @@
+"""Run a registered query and its SQL twin and compare the rows."""
+
+import math
+
+import duckdb
+
+TABLES = ("region nation customer supplier part orders lineitem events documents embeddings "
+          "pages benchmark labels conversations").split()
+
+
+def connect(sf_dir: str):
+    db = duckdb.connect()
+    for name in TABLES:
+        db.execute(f"create view {name} as select * from read_parquet('{sf_dir}/{name}.parquet')")
+    return db
+
+
+def plain(value):
+    if isinstance(value, float):
+        return "nan" if math.isnan(value) else float(f"{value:.12g}")
+    if isinstance(value, (list, tuple)):
+        return tuple(plain(v) for v in value)
+    if hasattr(value, "isoformat"):
+        return value.isoformat()
+    return value
+
+
+def rows_of(columns, rows):
+    order = sorted(range(len(columns)), key=lambda i: columns[i])
+    cells = [tuple(plain(row[i]) for i in order) for row in rows]
+    return [columns[i] for i in order], sorted(cells, key=repr)
+
+
+def compare(spark, db, query, sql, sf_dir):
+    """None when equal, else a short description of the difference."""
+    df = query(spark, sf_dir)
+    ours = rows_of(df.columns, [tuple(r) for r in df.collect()])
+    cursor = db.execute(sql)
+    theirs = rows_of([d[0] for d in cursor.description], cursor.fetchall())
+    if ours[0] != theirs[0]:
+        return f"columns {ours[0]} != {theirs[0]}"
+    if len(ours[1]) != len(theirs[1]):
+        return f"{len(ours[1])} rows != {len(theirs[1])} rows"
+    if not ours[1]:
+        return "both sides are empty"
+    for a, b in zip(ours[1], theirs[1]):
+        if a != b:
+            return f"{ours[0]}\n  ours   {a}\n  theirs {b}"
+    return None

@@ -77,7 +77,7 @@ def log_columns(pick) -> str:
       value * 25 as non_rag_latency_ms,
       case event_id % 5 when 0 then 'UNAVAILABLE' when 1 then 'URGENT' when 2 then 'URGENT'
            else 'NORMAL' end as ml_label,
-      case when event_id % 5 = 0 then null else (50 + event_id % 50) / 100.0 end as ml_confidence,
+      case when event_id % 5 = 0 then null else (50 + event_id % 50) / 100e0 end as ml_confidence,
       {pick(COMPLETIONS, "event_id % 7")} as completion,
       value * 5 as llm_latency_ms,
       case when event_id % 7 = 6 then 0 else event_id % 500 end as input_tokens,

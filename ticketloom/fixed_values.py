@@ -67,6 +67,17 @@ FEATURE_PATTERNS = {
     "has_medical": r"\bmedical\b",
     "has_time_mention": r"\b\d+\s?(?:hours?|hrs?|days?)",
 }
+# Every match of a pattern above contains one of its stems.
+FEATURE_STEMS = {
+    "has_refund": ("refund",),
+    "has_cancel": ("cancel",),
+    "has_delay": ("delay",),
+    "has_help": ("help",),
+    "has_broken": ("broken",),
+    "has_stranded": ("stranded",),
+    "has_medical": ("medical",),
+    "has_time_mention": ("hour", "hr", "day"),
+}
 FEATURE_PROFANITY = ("fuck", "shit", "damn", "worst", "awful", "terrible", "horrible")
 
 # --- fixed values: retrieval ----------------------------------------------------------------

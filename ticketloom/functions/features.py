@@ -1,5 +1,7 @@
 """The fourteen model features as column expressions."""
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -7,11 +9,22 @@ from ticketloom import fixed_values as fv
 from ticketloom.functions import text as tx
 
 
+def contains_any(text: Column, stems: Sequence[str]) -> Column:
+    """A plain search that spares rows without any stem the pattern behind it."""
+    found = text.contains(stems[0])
+    for stem in stems[1:]:
+        found = found | text.contains(stem)
+    return found
+
+
 def feature_columns(text: Column) -> dict[str, Column]:
     """Features of one text column, in training order; null text counts as ''."""
     body = F.coalesce(text, F.lit(""))
     lowered = F.lower(body)
     size = F.length(body)
+    profane = F.regexp_count(
+        lowered, F.lit(r"(?U)\b(?:" + "|".join(fv.FEATURE_PROFANITY) + r")\b")
+    )
     columns = {
         "text_length": size,
         "word_count": tx.word_count(body),
@@ -19,12 +32,13 @@ def feature_columns(text: Column) -> dict[str, Column]:
         "question_count": tx.occurrences(body, "?"),
         # a share of all characters, unlike the labeller's share of letters
         "caps_ratio": tx.uppercase_count(body) / F.greatest(size, F.lit(1)),
-        "profanity_count": F.regexp_count(
-            lowered, F.lit(r"(?U)\b(?:" + "|".join(fv.FEATURE_PROFANITY) + r")\b")
-        ),
+        "profanity_count": F.when(
+            contains_any(lowered, fv.FEATURE_PROFANITY), profane
+        ).otherwise(0),
     }
     for name, pattern in fv.FEATURE_PATTERNS.items():
-        columns[name] = lowered.rlike("(?U)" + tx.widen(pattern)).cast("int")
+        occurs = contains_any(lowered, fv.FEATURE_STEMS[name])
+        columns[name] = (occurs & lowered.rlike("(?U)" + tx.widen(pattern))).cast("int")
     return {name: columns[name] for name in fv.FEATURES}
 
 

@@ -60,8 +60,8 @@ TRIAGE_RULES = RuleSet(
 
 
 def letter_caps_ratio(text: Column) -> Column:
-    letters = tx.letter_count(text)
-    return F.when(letters > 0, tx.uppercase_letter_count(text) / letters).otherwise(F.lit(0.0))
+    """Share of upper-case letters among letters; 0 without letters."""
+    return tx.uppercase_letter_count(text) / F.greatest(tx.letter_count(text), F.lit(1))
 
 
 def signal_columns(text: Column, rules: RuleSet = TRIAGE_RULES) -> dict[str, Column]:

@@ -22,15 +22,21 @@ def strip(text: Column) -> Column:
     return F.regexp_replace(text, rf"(?U)^{WS}+|{WS}+\z", "")
 
 
-def leading_handle(text: Column) -> Column:
-    """The handle a message opens with, ignoring leading white space; null when there is none."""
+def handle_or_empty(text: Column) -> Column:
+    """The handle a message opens with, ignoring leading white space; '' when there is none."""
     # Skipping the white space inside the pattern spares a separate strip of every row.
-    handle = F.regexp_extract(text, rf"(?U)^{WS}*{HANDLE}", 1)
-    return F.when(handle != "", handle)
+    return F.regexp_extract(text, rf"(?U)^{WS}*{HANDLE}", 1)
+
+
+def leading_handle(text: Column) -> Column:
+    """The handle, or null when there is none."""
+    return F.nullif(handle_or_empty(text), F.lit(""))
 
 
 def drop_urls(text: Column) -> Column:
-    return F.regexp_replace(text, rf"(?U)http{NOT_WS}+|www{NOT_WS}+", "")
+    """Remove URLs. The plain search spares most rows the pattern."""
+    bare = F.regexp_replace(text, rf"(?U)http{NOT_WS}+|www{NOT_WS}+", "")
+    return F.when(text.contains("http") | text.contains("www"), bare).otherwise(text)
 
 
 def drop_leading_mention(text: Column) -> Column:

@@ -9,7 +9,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ticketloom.operators.ranking import running_total
+from ticketloom.operators.ranking import running_total, starts_for
+from ticketloom.sources.tables import staged
 
 RUN = ("model", "split")
 
@@ -35,10 +36,11 @@ def auc(predictions: DataFrame, by: Sequence[str] = RUN) -> DataFrame:
     no task sorts a whole run.
     """
     positive = F.col("label") == 1
-    tied = predictions.groupBy(*by, "score").agg(
+    tied = staged(predictions.groupBy(*by, "score").agg(
         F.count_if(positive).alias("pos"), F.count_if(~positive).alias("neg")
-    )
-    ranked = running_total(tied, "score", "neg", by=by, out="_neg_upto")
+    ), "tied-scores")
+    ranked = running_total(tied, "score", "neg", by=by, out="_neg_upto",
+                           starts=starts_for(tied, "score"))
     wins = F.col("pos") * (F.col("_neg_upto") - F.col("neg") / 2)
     return (
         ranked.groupBy(*by)

@@ -10,7 +10,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ticketloom.sources.tables import staged
+
 RANGES = 64
+FEW_ROWS = 1_000_000
 
 
 def range_starts(df: DataFrame, key: str, ranges: int = RANGES) -> list:
@@ -23,6 +26,12 @@ def range_starts(df: DataFrame, key: str, ranges: int = RANGES) -> list:
     return sorted(set(row[0] or []))
 
 
+def starts_for(counts: DataFrame, key: str, ranges: int = RANGES) -> list:
+    """Range starts of a staged table; none when one range is small enough for a task."""
+    few = counts.limit(FEW_ROWS + 1).count() <= FEW_ROWS
+    return [] if few else range_starts(counts, key, ranges)
+
+
 def range_of(key: Column, starts: Sequence) -> Column:
     """Index of the range a key falls in: a binary search written out as nested conditions."""
     def search(low: int, high: int) -> Column:
@@ -99,11 +108,13 @@ def exact_quantiles(df: DataFrame, columns: Sequence[str], probabilities: dict[s
     """Linearly interpolated quantiles per (by..., metric), one output column per name.
 
     Exact at any size: distinct values carry their counts, and ranks come from running totals
-    over key ranges, so no task sees a whole group.
+    over key ranges, so no task sees a whole group. The input is read once; its counts are
+    staged.
     """
-    counts = value_counts(df, columns, by)
+    counts = staged(value_counts(df, columns, by), "value-counts")
     groups = (*by, "metric")
-    ranked = running_total(counts, "value", "n", by=groups, out="_upto", ranges=ranges)
+    ranked = running_total(counts, "value", "n", by=groups, out="_upto",
+                           starts=starts_for(counts, "value", ranges))
     sizes = counts.groupBy(*groups).agg(F.sum("n").alias("_size"))
     sized = ranked.join(sizes, list(groups))
     picks, outputs = [], []

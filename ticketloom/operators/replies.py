@@ -16,11 +16,10 @@ from ticketloom.operators.routing import outbound_rows
 MAX_CELL_CHARS = 1 << 24
 
 
-def reply_lines(raw: DataFrame) -> DataFrame:
-    """Qualified agent replies: parent_id, reply_id, reply.
+def reply_candidates(raw: DataFrame) -> DataFrame:
+    """Agent messages with a readable parent: parent_id, reply_id and the raw text.
 
-    Taken from the full raw table, so no reply is lost to a ticket filter. Messages without a
-    readable parent are dropped before the text is cleaned.
+    Taken from the full raw table, so no reply is lost to a ticket filter.
     """
     return (
         outbound_rows(raw)
@@ -29,45 +28,52 @@ def reply_lines(raw: DataFrame) -> DataFrame:
             F.col("tweet_id").alias("reply_id"),
             "text",
         )
-        .filter(F.col("parent_id").isNotNull() & F.col("text").isNotNull())
-        .select(
-            "parent_id", "reply_id", F.explode(F.array(tx.clean_text(F.col("text")))).alias("reply")
-        )
-        .filter(F.length("reply") >= fv.MIN_REPLY_CHARS)
+        # cleaning only shortens: texts that are short already need no cleaning to be dropped
+        .filter(F.col("parent_id").isNotNull() & (F.length("text") >= fv.MIN_REPLY_CHARS))
     )
 
 
-def reply_sizes(lines: DataFrame) -> DataFrame:
-    """Replies and characters of joined text per parent."""
+def reply_lines(candidates: DataFrame) -> DataFrame:
+    """Qualified replies with cleaned text: parent_id, reply_id, reply."""
+    cleaned = F.explode(F.array(tx.clean_text(F.col("text")))).alias("reply")
+    lines = candidates.select("parent_id", "reply_id", cleaned)
+    return lines.filter(F.length("reply") >= fv.MIN_REPLY_CHARS)
+
+
+def oversize_parents(candidates: DataFrame, max_chars: int = MAX_CELL_CHARS) -> DataFrame:
+    """Parents whose raw reply text adds up to more than `max_chars` characters.
+
+    Cleaning only shortens, so the raw lengths bound the joined text and no pattern has to run.
+    Lengths are added up before the shuffle.
+    """
     gap = len(fv.REPLY_SEPARATOR)
-    return lines.groupBy("parent_id").agg(
-        F.count("*").alias("replies"),
-        (F.sum(F.length("reply").cast("long") + gap) - gap).alias("chars"),
+    sizes = candidates.groupBy("parent_id").agg(
+        F.sum(F.length("text").cast("long") + gap).alias("chars")
     )
+    return sizes.filter(F.col("chars") > max_chars).select("parent_id")
 
 
-def joined_replies(lines: DataFrame, max_chars: int = MAX_CELL_CHARS) -> DataFrame:
-    """One row per parent: replies in key order, joined; null where the text exceeds a cell.
+def joined_replies(raw: DataFrame, max_chars: int = MAX_CELL_CHARS) -> DataFrame:
+    """One row per parent: its replies in key order, joined; null where they exceed a cell.
 
-    Parents beyond `max_chars` are set aside first, so no task gathers more than that for one
-    parent. There can be at most (all characters / max_chars) of them.
+    Oversize parents are set aside first, so no task gathers more than `max_chars` characters for
+    one parent. There are at most (all characters / max_chars) of them.
     """
-    sizes = reply_sizes(lines)
-    oversize = sizes.filter(F.col("chars") > max_chars).select("parent_id")
-    fitting = lines.join(oversize, "parent_id", "left_anti")
+    candidates = reply_candidates(raw)
+    oversize = oversize_parents(candidates, max_chars)
+    fitting = reply_lines(candidates.join(oversize, "parent_id", "left_anti"))
     ordered = F.array_sort(F.collect_list(F.struct("reply_id", "reply")))
     texts = F.transform(ordered, lambda r: r["reply"])
     joined = fitting.groupBy("parent_id").agg(
-        F.array_join(texts, fv.REPLY_SEPARATOR).alias("agent_response"),
-        F.count("*").alias("replies"),
-    )
-    beyond = sizes.filter(F.col("chars") > max_chars).select(
-        "parent_id", F.lit(None).cast("string").alias("agent_response"), "replies"
+        F.array_join(texts, fv.REPLY_SEPARATOR).alias("agent_response")
     )
-    return joined.unionByName(beyond)
+    # Usually no parent is oversize; adaptive execution then drops this branch unread.
+    beyond = reply_lines(candidates.join(oversize, "parent_id", "left_semi"))
+    unjoined = beyond.select("parent_id", F.lit(None).cast("string").alias("agent_response"))
+    return joined.unionByName(unjoined.distinct())
 
 
-def reply_parts(lines: DataFrame, part_chars: int = MAX_CELL_CHARS) -> DataFrame:
+def reply_parts(raw: DataFrame, part_chars: int = MAX_CELL_CHARS) -> DataFrame:
     """The joined text of every parent as ordered parts: parent_id, part_no, replies, part.
 
     Each reply's part follows from the characters that precede it, found by a running total
@@ -75,6 +81,7 @@ def reply_parts(lines: DataFrame, part_chars: int = MAX_CELL_CHARS) -> DataFrame
     Joining a parent's parts with the reply separator gives its whole text.
     """
     gap = len(fv.REPLY_SEPARATOR)
+    lines = reply_lines(reply_candidates(raw))
     sized = lines.withColumn("_chars", F.length("reply").cast("long") + gap)
     placed = running_total(sized, key="reply_id", weight="_chars", by=("parent_id",),
                            out="_through")
@@ -89,34 +96,33 @@ def reply_parts(lines: DataFrame, part_chars: int = MAX_CELL_CHARS) -> DataFrame
     )
 
 
-def attach_replies(tickets: DataFrame, lines: DataFrame,
+def attach_replies(tickets: DataFrame, raw: DataFrame,
                    max_chars: int = MAX_CELL_CHARS) -> DataFrame:
     """Left-join the joined replies; '' without a reply.
 
     A null `agent_response` means the replies exceed one cell: read them from `reply_parts`.
     Both sides hold one row per key, so the join cannot skew.
     """
-    joined = joined_replies(lines, max_chars)
-    matched = tickets.join(
-        joined.withColumnRenamed("parent_id", "tweet_id"), "tweet_id", "left"
+    joined = joined_replies(raw, max_chars).select(
+        F.col("parent_id").alias("tweet_id"), "agent_response", F.lit(True).alias("_matched")
+    )
+    response = F.when(F.col("_matched"), F.col("agent_response")).otherwise(F.lit(""))
+    return tickets.join(joined, "tweet_id", "left").select(
+        *tickets.columns, response.alias("agent_response")
     )
-    response = F.when(F.col("replies").isNull(), F.lit("")).otherwise(F.col("agent_response"))
-    return matched.select(*tickets.columns, response.alias("agent_response"))
-
 
-def answered(tickets: DataFrame, lines: DataFrame) -> DataFrame:
-    """Tickets with at least one qualified reply. No text is gathered."""
-    parents = lines.select(F.col("parent_id").alias("tweet_id")).distinct()
-    return tickets.join(parents, "tweet_id", "left_semi")
 
+def reply_coverage(tickets: DataFrame, raw: DataFrame) -> DataFrame:
+    """One row: tickets, tickets with a reply, and their share; 0 for an empty table.
 
-def reply_coverage(tickets: DataFrame, lines: DataFrame) -> DataFrame:
-    """One row: tickets, tickets with a reply, and their share; 0 for an empty table."""
-    parents = lines.select(F.col("parent_id").alias("tweet_id")).distinct()
-    marked = tickets.select("tweet_id").join(
-        parents.withColumn("_hit", F.lit(1)), "tweet_id", "left"
+    Parents are made distinct before the shuffle and no text is gathered.
+    """
+    parents = (
+        reply_lines(reply_candidates(raw))
+        .select(F.col("parent_id").alias("tweet_id"), F.lit(1).alias("_hit"))
+        .distinct()
     )
-    counts = marked.agg(
+    counts = tickets.select("tweet_id").join(parents, "tweet_id", "left").agg(
         F.count("*").alias("final_count"), F.count("_hit").alias("with_agent_response")
     )
     share = F.when(

@@ -39,7 +39,8 @@ def route_to_brands(raw: DataFrame, brands: Sequence[str] | DataFrame = fv.BRAND
     than SHORT_LIST, or a one-column DataFrame of brands, is matched by a semi-join whose
     strategy Spark picks from the size it measures.
     """
-    routed = with_handle(inbound_rows(raw))
+    # '' stands for "no handle" here: it is in no list, and comparing it costs no null test
+    routed = inbound_rows(raw).withColumn("airline", tx.handle_or_empty(F.col("text")))
     if isinstance(brands, DataFrame):
         names = brands.select(F.lower(F.col(brands.columns[0])).alias("_brand")).distinct()
     elif len(brands) > SHORT_LIST:

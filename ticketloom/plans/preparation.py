@@ -11,7 +11,7 @@ from ticketloom.functions.features import feature_table
 from ticketloom.functions.rules import TRIAGE_RULES, RuleSet, label_table
 from ticketloom.operators.cleaning import cleaning_counts, tidy_tickets
 from ticketloom.operators.profiling import percent, with_one_row
-from ticketloom.operators.replies import attach_replies, reply_lines, reply_parts
+from ticketloom.operators.replies import attach_replies, reply_parts
 from ticketloom.operators.routing import other_handles
 from ticketloom.sources.tables import write_document, write_table
 
@@ -26,7 +26,7 @@ class Prepared:
 
 def clean_tickets(raw: DataFrame, brands: Sequence[str] = fv.BRANDS) -> DataFrame:
     """The clean ticket table: deduplicated before the reply join, replies from all of raw."""
-    return attach_replies(tidy_tickets(raw, brands), reply_lines(raw))
+    return attach_replies(tidy_tickets(raw, brands), raw)
 
 
 def coverage_of(cleaned: DataFrame) -> DataFrame:
@@ -72,9 +72,9 @@ def prepare(raw: DataFrame, out: str, brands: Sequence[str] = fv.BRANDS,
     features = write_table(feature_table(labeled), f"{out}/features")
     oversize = cleaned.filter(F.col("agent_response").isNull()).select("tweet_id")
     if oversize.limit(1).count():
-        lines = reply_lines(raw).withColumnRenamed("parent_id", "tweet_id")
-        hot = lines.join(oversize, "tweet_id", "left_semi").withColumnRenamed("tweet_id", "parent_id")
-        write_table(reply_parts(hot), f"{out}/reply_parts")
+        parents = oversize.withColumnRenamed("tweet_id", "in_response_to_tweet_id")
+        replies = raw.join(parents, "in_response_to_tweet_id", "left_semi")
+        write_table(reply_parts(replies), f"{out}/reply_parts")
     stats = stats_document(
         cleaning_counts(raw, brands), coverage_of(cleaned), other_handles(raw, brands), labeled
     )

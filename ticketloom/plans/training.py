@@ -17,9 +17,8 @@ from ticketloom.functions.features import add_features, fill_missing_features
 from ticketloom.operators.evaluation import binary_metrics, compare_models
 from ticketloom.operators.ranking import stratified_split
 from ticketloom.schemas import require_columns
-from ticketloom.session import scratch_path
 from ticketloom.sources.models import save_model
-from ticketloom.sources.tables import write_document, write_table
+from ticketloom.sources.tables import staged, write_document
 
 TARGET = "is_urgent"
 
@@ -77,12 +76,10 @@ def train(features: DataFrame, key: str = "tweet_id", trees: int = 100, depth: i
     many passes and must not recompute them when an executor is lost.
     """
     require_columns(features, (*columns, TARGET, key), "feature table")
-    spark = features.sparkSession
     filled = fill_missing_features(features) if columns is fv.FEATURES else features.fillna(
         0, subset=list(columns))
-    split = write_table(
-        stratified_split(filled.select(key, TARGET, *columns), TARGET, key, seed),
-        scratch_path(spark, "split"),
+    split = staged(
+        stratified_split(filled.select(key, TARGET, *columns), TARGET, key, seed), "split"
     )
     train_rows = split.filter(F.col("split") == "train").drop("split")
     held_out = split.filter(F.col("split") != "train")
@@ -92,7 +89,7 @@ def train(features: DataFrame, key: str = "tweet_id", trees: int = 100, depth: i
         models[name] = Pipeline(stages=[assembler(columns), estimator]).fit(train_rows)
         part = predictions_of(models[name], name, held_out, key)
         scored = part if scored is None else scored.unionByName(part)
-    predictions = write_table(scored, scratch_path(spark, "predictions"))
+    predictions = staged(scored, "predictions")
     metrics = binary_metrics(predictions)
     comparison = compare_models(metrics, list(estimators))
     best = comparison.filter("is_best").first()["model"]

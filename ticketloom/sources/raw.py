@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from ticketloom import fixed_values as fv
 from ticketloom.functions import text as tx
 from ticketloom.schemas import RAW, require_columns
+from ticketloom.sources.tables import CSV
 
 
 def typed_raw(df: DataFrame, na_tokens=fv.NA_TOKENS) -> DataFrame:
@@ -32,14 +33,7 @@ def read_raw_csv(spark: SparkSession, path: str) -> DataFrame:
     Quoted newlines make one file one task, so give it many files; everything after the first
     stage reads Parquet. A missing path raises when the files are listed.
     """
-    text = (
-        spark.read.option("header", True)
-        .option("multiLine", True)
-        .option("quote", '"')
-        .option("escape", '"')
-        .option("mode", "PERMISSIVE")
-        .csv(path)
-    )
+    text = spark.read.options(**CSV).option("mode", "PERMISSIVE").csv(path)
     return typed_raw(text)
 
 

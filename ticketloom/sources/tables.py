@@ -5,17 +5,30 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ticketloom.schemas import require_columns
+from ticketloom.session import scratch_path
+
+
+# Quoted newlines, doubled quotes, and blanks kept at both ends of a cell.
+CSV = {
+    "header": True, "escape": '"', "multiLine": True,
+    "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False,
+}
 
 
 def write_table(df: DataFrame, path: str, format: str = "parquet") -> DataFrame:
     """Write a stage table and return it as read back, so later stages start from the files."""
-    writer = df.write.mode("overwrite")
-    if format == "csv":
-        writer.option("header", True).option("escape", '"').csv(path)
-        return df.sparkSession.read.csv(path, schema=df.schema, header=True, multiLine=True,
-                                        escape='"')
-    writer.format(format).save(path)
-    return df.sparkSession.read.format(format).schema(df.schema).load(path)
+    options = CSV if format == "csv" else {}
+    df.write.mode("overwrite").format(format).options(**options).save(path)
+    return df.sparkSession.read.schema(df.schema).format(format).options(**options).load(path)
+
+
+def staged(df: DataFrame, label: str) -> DataFrame:
+    """Write an intermediate table to the shared scratch folder and continue from its files.
+
+    For compact results that several later steps read: their input is computed once, and a lost
+    executor costs a file read instead of a recomputation.
+    """
+    return write_table(df, scratch_path(df.sparkSession, label))
 
 
 def read_table(spark: SparkSession, path: str, columns=(), limit: int | None = None,
