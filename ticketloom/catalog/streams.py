@@ -58,13 +58,13 @@ def stream_retrieval(spark, sf_dir):
 
 
 def stream_counts(spark, sf_dir):
-    """Priority counts per brand and day, kept in a table."""
+    """Priority counts per brand and hour, kept in a table."""
     labeled = label_table(jobs.tidy_stream(message_stream(spark, sf_dir)))
     path = scratch_path(spark, "windows")
-    counts = jobs.windowed_counts(labeled, "created_at", "1 day")
+    counts = jobs.windowed_counts(labeled, "created_at", "1 hour")
     jobs.finish(jobs.start_table(counts, path, f"{path}-checkpoint"))
     return spark.read.parquet(path).select(
-        F.date_format("window_start", "yyyy-MM-dd").alias("day"), "airline", "priority", "tickets"
+        F.date_format("window_start", "yyyy-MM-dd HH").alias("hour"), "airline", "priority", "tickets"
     )
 
 
@@ -82,6 +82,6 @@ ORACLES = {
     "stream_audit": comparisons.ORACLES["audit_append"],
     "stream_retrieval": vectors.ORACLES["cosine_topk_blocks"],
     "stream_counts": f"""with {sql.CLEANED}, {sql.labeled_from('kept')}
-        select strftime(created_at, '%Y-%m-%d') as day, airline, priority, count(*) as tickets
+        select strftime(created_at, '%Y-%m-%d %H') as hour, airline, priority, count(*) as tickets
         from labeled group by all""",
 }

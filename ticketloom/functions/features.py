@@ -23,7 +23,7 @@ def feature_columns(text: Column) -> dict[str, Column]:
     lowered = F.lower(body)
     size = F.length(body)
     profane = F.regexp_count(
-        lowered, F.lit(r"(?U)\b(?:" + "|".join(fv.FEATURE_PROFANITY) + r")\b")
+        lowered, F.lit("(?U)" + tx.whole_words("|".join(fv.FEATURE_PROFANITY)))
     )
     columns = {
         "text_length": size,
@@ -38,7 +38,10 @@ def feature_columns(text: Column) -> dict[str, Column]:
     }
     for name, pattern in fv.FEATURE_PATTERNS.items():
         occurs = contains_any(lowered, fv.FEATURE_STEMS[name])
-        columns[name] = (occurs & lowered.rlike("(?U)" + tx.widen(pattern))).cast("int")
+        inner = pattern.removeprefix(r"\b").removesuffix(r"\b")
+        whole = tx.whole_words(inner, open_end=not pattern.endswith(r"\b"))
+        matches = lowered.rlike("(?U)" + whole)
+        columns[name] = (occurs & matches).cast("int")
     return {name: columns[name] for name in fv.FEATURES}
 
 

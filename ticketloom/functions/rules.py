@@ -20,7 +20,7 @@ class PhraseRule:
 
     def pattern(self) -> str:
         # One boundary pair around the alternatives: the matcher tests each start once.
-        return r"(?iU)\b(?:" + tx.widen("|".join(self.phrases)) + r")\b"
+        return "(?iU)" + tx.whole_words("|".join(self.phrases))
 
     def matches(self, text: Column) -> Column:
         return F.coalesce(text.rlike(self.pattern()), F.lit(False))

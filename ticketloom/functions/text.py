@@ -1,7 +1,7 @@
 """Text scalars. All of them are built-in expressions, so they stay inside generated code.
 
 Java's `\\s` leaves out the four separators U+001C..U+001F that count as white space in the
-ticket contract, and is ASCII-only without `(?U)`; `WS` covers both.
+ticket contract, and is ASCII-only without `(?U)`; `WS` covers both. `WORD` is the contract's word character.
 """
 
 from pyspark.sql import Column
@@ -9,12 +9,23 @@ from pyspark.sql import functions as F
 
 WS = r"[\s\x1c-\x1f]"
 NOT_WS = r"[^\s\x1c-\x1f]"
+WORD = r"[\p{L}\p{N}_]"
 HANDLE = r"@([A-Za-z0-9_]+)"
 
 
 def widen(pattern: str) -> str:
-    """Make `\\s` in a pattern cover the same white space as WS, inside or outside a class."""
-    return pattern.replace(r"\s", WS)
+    """Make `\\s` and `\\b` in a pattern follow the ticket contract.
+
+    `\\s` covers the same white space as WS, inside or outside a class. A word character is a
+    letter, a number or `_`; Java's own Unicode boundary also counts combining marks and joiners.
+    """
+    either = f"(?:(?<={WORD})(?!{WORD})|(?<!{WORD})(?={WORD}))"
+    return pattern.replace(r"\s", WS).replace(r"\b", either)
+
+
+def whole_words(pattern: str, open_end: bool = False) -> str:
+    """A pattern that starts and ends in word characters, matched as whole words."""
+    return f"(?<!{WORD})(?:{widen(pattern)})" + ("" if open_end else f"(?!{WORD})")
 
 
 def strip(text: Column) -> Column:

@@ -7,9 +7,9 @@ from pyspark.sql import SparkSession
 
 
 def local_session(cores: str = "*", shuffle_partitions: int = 8,
-                  app: str = "ticketloom") -> SparkSession:
+                  app: str = "ticketloom", **config: str) -> SparkSession:
     """A session for tests and benchmarks; a cluster brings its own."""
-    spark = (
+    builder = (
         SparkSession.builder.master(f"local[{cores}]")
         .appName(app)
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
@@ -18,8 +18,10 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8,
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "12g")
-        .getOrCreate()
     )
+    for name, value in config.items():
+        builder = builder.config(name, value)
+    spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
 
@@ -30,7 +32,7 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     It lies in the folder the cluster names in `spark.checkpoint.dir`, which every executor can
     reach. Only a single-machine session may fall back to a temporary folder.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None)
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
