@@ -26,13 +26,22 @@ def test_running_total_does_not_depend_on_the_ranges(spark, starts):
     assert {r["k"]: r["running"] for r in by.collect()}[40] == (2 + 40) * 10
 
 
-def test_range_of_is_monotone(spark):
+def test_ranges_are_monotone(spark):
     starts = [1, 4, 9, 16, 25]
-    rows = spark.range(0, 30).select("id", rk.range_of(F.col("id"), starts).alias("r")).collect()
-    assert [r["r"] for r in rows] == [int(np.searchsorted(starts, r["id"], "right")) for r in rows]
+    rows = rk.with_range(spark.range(0, 30), "id", starts).collect()
+    assert [r["_range"] for r in rows] == [np.searchsorted(starts, r["id"], "right") for r in rows]
 
 
-def test_dense_ids_are_dense_and_ordered(spark):
+def test_large_ids_keep_their_order(spark, monkeypatch):
+    monkeypatch.setattr(rk, "ROWS_PER_RANGE", 10)
+    base = 2 ** 53
+    df = spark.range(0, 100, 1, 4).select((F.col("id") + base).alias("k"))
+    rows = rk.dense_ids(df, "k").orderBy("k").collect()
+    assert [r["point_id"] for r in rows] == list(range(100))
+
+
+def test_dense_ids_are_dense_and_ordered(spark, monkeypatch):
+    monkeypatch.setattr(rk, "ROWS_PER_RANGE", 300)
     df = spark.range(0, 5000, 1, 7).select((F.xxhash64("id") % 100_000).alias("k")).distinct()
     rows = rk.dense_ids(df, "k").orderBy("k").collect()
     assert [r["point_id"] for r in rows] == list(range(len(rows)))
@@ -58,7 +67,7 @@ def test_quantiles_equal_linear_interpolation(spark, values):
 
 
 def test_quantiles_with_many_ranges_and_a_dominant_value(spark, monkeypatch):
-    monkeypatch.setattr(rk, "FEW_ROWS", 10)
+    monkeypatch.setattr(rk, "ROWS_PER_RANGE", 100)
     df = spark.range(0, 9000, 1, 5).select(
         F.when(F.col("id") % 3 == 0, 500.0).otherwise((F.col("id") * 7919 % 10_007).cast("double"))
         .alias("x"))

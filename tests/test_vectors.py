@@ -89,6 +89,23 @@ def test_search_uses_no_cross_join_and_does_not_shuffle_the_corpus(spark, sf):
     assert "WindowGroupLimit" in plan
 
 
+def test_hit_fields_are_read_from_the_shards_that_hold_hits(spark, tmp_path):
+    path = str(tmp_path / "sharded")
+    fields = ("tweet_id", "airline", "agent_response", "priority", "priority_score", "original_text")
+    points = spark.range(0, 40).select(
+        F.col("id").alias("point_id"), F.array(F.lit(1.0)).alias("vector"),
+        F.struct(*[F.col("id").alias(c) for c in fields]).alias("payload"))
+    vt.write_all(points, path, shard_points=10)
+    hits = spark.createDataFrame([(1, 12, 0.5, 1), (1, 15, 0.4, 2)],
+                                 "query_id long, hit_id long, similarity double, rank int")
+    from ticketloom.sources.tables import staged
+
+    rows = sim.hit_rows(staged(hits, "hits"), vt.read(spark, path), shard_points=10)
+    assert {(r["hit_id"], r["tweet_id"]) for r in rows.collect()} == {(12, 12), (15, 15)}
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert "dynamicpruning" in plan and "BroadcastHashJoin" in plan
+
+
 def test_low_similarity(spark):
     queries = spark.createDataFrame([(1,), (2,), (3,)], "query_id long")
     hits = spark.createDataFrame([(1, 0.71), (1, 0.4), (2, 0.2)], "query_id long, similarity double")
@@ -129,7 +146,7 @@ def test_probing_all_cells_is_exact_and_fewer_reads_less(spark, sf):
 
 def test_too_many_queries_for_a_cell_search_are_refused(spark, sf, monkeypatch):
     stored = cat.stored_vectors(spark, sf)
-    monkeypatch.setattr(sim, "small_enough", lambda *a: False)
+    monkeypatch.setattr(sim, "fetch_small", lambda *a: None)
     with pytest.raises(ValueError):
         ce.cell_top_k(stored, stored.withColumn("cell", F.lit(0)), None, cat.DIM, 1,
                       query_id="point_id")

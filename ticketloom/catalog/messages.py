@@ -16,7 +16,9 @@ from ticketloom.operators.ranking import dense_ids, first_rows, seeded_sample
 from ticketloom.plans import preparation as prep
 from ticketloom.session import scratch_path
 from ticketloom.sources.raw import read_raw_csv
-from ticketloom.sources.tables import read_document, read_table, write_document, write_table
+from ticketloom.sources.tables import (
+    read_document, read_table, staged, write_document, write_table,
+)
 
 SHORT = ("tweet_id", "airline", "text")
 
@@ -52,7 +54,7 @@ def stage_tables(spark, sf_dir):
 def stats_document(spark, sf_dir):
     """The stats document written as JSON, read back and flattened."""
     raw = raw_messages(spark, sf_dir)
-    labeled = label_table(prep.clean_tickets(raw))
+    labeled = staged(label_table(prep.clean_tickets(raw)), "labeled")
     document = prep.stats_document(
         cl.cleaning_counts(raw), prep.coverage_of(labeled), ro.other_handles(raw, min_count=20),
         labeled,
@@ -206,9 +208,8 @@ def payloads(spark, sf_dir):
 
 
 def dense_numbers(spark, sf_dir):
-    return dense_ids(short_tickets(spark, sf_dir, ("tweet_id", "text")), "tweet_id").select(
-        "point_id", "tweet_id"
-    )
+    tickets = staged(short_tickets(spark, sf_dir, ("tweet_id", "text")), "tickets")
+    return dense_ids(tickets, "tweet_id").select("point_id", "tweet_id")
 
 
 def sampled_rows(spark, sf_dir):

@@ -14,6 +14,7 @@ from ticketloom.plans.training import (
 )
 from ticketloom.session import scratch_path
 from ticketloom.sources.models import load_model
+from ticketloom.sources.tables import staged
 
 NAMES = ("by_length", "by_id", "by_both")
 SMALL = {"trees": 20, "depth": 8, "iterations": 50}
@@ -64,7 +65,7 @@ def model_selection(spark, sf_dir):
 
 
 def ticket_split(spark, sf_dir):
-    rows = features_of_tickets(spark, sf_dir).select("tweet_id", "is_urgent")
+    rows = staged(features_of_tickets(spark, sf_dir).select("tweet_id", "is_urgent"), "targets")
     return stratified_split(rows, "is_urgent", "tweet_id")
 
 
@@ -78,17 +79,17 @@ def split_counts(spark, sf_dir):
 
 
 def train_compare(spark, sf_dir):
-    return train(features_of_tickets(spark, sf_dir), **SMALL).comparison
+    return train(staged(features_of_tickets(spark, sf_dir), "features"), **SMALL).comparison
 
 
 def training_document(spark, sf_dir):
-    return metrics_document(train(features_of_tickets(spark, sf_dir), **SMALL))
+    return metrics_document(train(staged(features_of_tickets(spark, sf_dir), "features"), **SMALL))
 
 
 def batch_score(spark, sf_dir):
     """Train, save, load and score every clean ticket with the loaded model."""
     path = scratch_path(spark, "model")
-    train_and_save(features_of_tickets(spark, sf_dir), path, **SMALL)
+    train_and_save(staged(features_of_tickets(spark, sf_dir), "features"), path, **SMALL)
     model, names = load_model(spark, path)
     return score_texts(model, short_tickets(spark, sf_dir), "text", names or fv.FEATURES)
 

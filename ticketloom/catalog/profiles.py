@@ -8,6 +8,7 @@ from ticketloom.catalog.messages import features_of_tickets, labeled_tickets
 from ticketloom.catalog.recipes import raw_messages, table
 from ticketloom.operators import profiling as pf
 from ticketloom.operators import routing as ro
+from ticketloom.operators.ranking import exact_quantiles
 
 FLAGS = ("has_critical_signal", "has_urgency_keywords", "has_delay", "has_profanity",
          "has_sarcasm")
@@ -98,13 +99,13 @@ def numeric_summary(spark, sf_dir):
 
 def score_quartiles(spark, sf_dir):
     labeled = labeled_tickets(spark, sf_dir)
-    return pf.exact_quantiles(labeled, ["score"], pf.QUARTILES, by=["airline"]).drop("metric")
+    return exact_quantiles(labeled, ["score"], pf.QUARTILES, by=["airline"]).drop("metric")
 
 
 def value_quartiles(spark, sf_dir):
     """Quartiles of a continuous column per event type."""
     events = table(spark, sf_dir, "events")
-    return pf.exact_quantiles(events, ["value"], pf.QUARTILES, by=["event_type"]).drop("metric")
+    return exact_quantiles(events, ["value"], pf.QUARTILES, by=["event_type"]).drop("metric")
 
 
 def firing_rates(spark, sf_dir):

@@ -17,6 +17,7 @@ from ticketloom.plans.population import populate
 from ticketloom.plans.preparation import clean_tickets
 from ticketloom.session import scratch_path
 from ticketloom.sources import vector_table as vt
+from ticketloom.sources.tables import staged
 
 DIM = 64
 
@@ -73,17 +74,17 @@ def normalised(spark, sf_dir):
 
 
 def upsert(spark, sf_dir):
-    """Vectors stored, then a batch with changed, repeated and new ids merged in."""
+    """Vectors stored, then a batch with relabelled, repeated and new points merged in."""
     path = scratch_path(spark, "vectors")
     stored = stored_vectors(spark, sf_dir)
     vt.create(spark, path, stored.schema)
     vt.upsert(spark, path, stored, shard_points=100)
-    changed = stored.filter(F.col("point_id") % 3 == 0)
+    changed = stored.filter(F.col("label") < 4)
     batch = (
         changed.withColumn("label", F.col("label") + 100).withColumn("version", F.lit(1))
         .unionByName(changed.withColumn("label", F.col("label") + 200)
                      .withColumn("version", F.lit(2)))
-        .unionByName(changed.withColumn("point_id", F.col("point_id") + 1_000_000)
+        .unionByName(stored.withColumn("point_id", F.col("point_id") + 1_000_000)
                      .withColumn("version", F.lit(1)))
     )
     vt.upsert(spark, path, batch, "version", shard_points=100)
@@ -115,7 +116,7 @@ def embed_documents(spark, sf_dir):
 
 def filled_table(spark, sf_dir):
     path = scratch_path(spark, "tickets")
-    labeled = label_table(clean_tickets(raw_messages(spark, sf_dir)))
+    labeled = staged(label_table(clean_tickets(raw_messages(spark, sf_dir))), "labeled")
     _, encoder = populate(labeled, path)
     return vt.read(spark, path), encoder
 
@@ -128,18 +129,17 @@ def populate_tickets(spark, sf_dir):
 
 
 def retrieve_by_text(spark, sf_dir):
-    """Each distinct question of the query log answered from the filled vector table."""
+    """The most similar tickets of every clean ticket's text, itself included."""
     vectors, encoder = filled_table(spark, sf_dir)
-    asked = query_calls(spark, sf_dir).groupBy("query").agg(F.min("query_id").alias("query_id"))
-    accepted = answering.screen(asked).accepted
-    return answering.retrieve(accepted, vectors, encoder, fv.VECTOR_DIM)
+    asked = vectors.select(F.col("payload.tweet_id").alias("query_id"),
+                           F.col("payload.chunk_text").alias("query"))
+    return answering.retrieve(asked, vectors, encoder, fv.VECTOR_DIM)
 
 
 def responses(spark, sf_dir):
     """Response rows for every query of the log: hits, prompts, weak-context mark, label."""
     vectors, encoder = filled_table(spark, sf_dir)
-    asked = query_calls(spark, sf_dir).groupBy("query").agg(F.min("query_id").alias("query_id"))
-    accepted = answering.screen(asked).accepted
+    accepted = answering.screen(query_calls(spark, sf_dir).select("query_id", "query")).accepted
     hits = answering.retrieve(accepted, vectors, encoder, fv.VECTOR_DIM)
     return answering.respond(accepted, hits)
 
@@ -169,7 +169,7 @@ def cell_recall(spark, sf_dir):
 
 
 def ticket_hits(spark, sf_dir):
-    """Hits for prompt tests: each brand's tickets as one list, best score first, three long."""
+    """Every labelled ticket as the one hit of its own text, with a derived similarity."""
     labeled = labeled_tickets(spark, sf_dir)
     texts = labeled.select(
         F.col("tweet_id"), "airline", "priority", "score",
@@ -257,9 +257,9 @@ ORACLES = {
         from hits group by query_id""",
     "normalised": """select vec_id as point_id, len(embedding)::integer as dim,
         1.0::double as norm from embeddings""",
-    "upsert": """select vec_id as point_id, label + case when vec_id % 3 = 0 then 200 else 0 end
-          as label from embeddings
-        union all select vec_id + 1000000, label from embeddings where vec_id % 3 = 0""",
+    "upsert": """select vec_id as point_id, label + case when label < 4 then 200 else 0 end as label
+          from embeddings
+        union all select vec_id + 1000000, label from embeddings""",
     "point_count": "select count(*) as points from embeddings",
     "chunk_texts": f"""with {sql.CLEANED}
         select tweet_id, '[' || airline || '] ' || text as chunk_text from firsts""",

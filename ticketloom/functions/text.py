@@ -83,12 +83,12 @@ def letter_count(text: Column) -> Column:
 
 
 def uppercase_count(text: Column) -> Column:
-    return F.length(text) - F.length(F.regexp_replace(text, r"\p{IsUppercase}+", ""))
+    return F.length(F.regexp_replace(text, r"\P{IsUppercase}+", ""))
 
 
 def uppercase_letter_count(text: Column) -> Column:
     """Upper-case letters only: circled capitals are upper case but not letters."""
-    return F.length(text) - F.length(F.regexp_replace(text, r"[\p{L}&&\p{IsUppercase}]+", ""))
+    return F.length(F.regexp_replace(text, r"[\P{L}\P{IsUppercase}]+", ""))
 
 
 def to_long(value: Column) -> Column:

@@ -56,9 +56,9 @@ def cell_top_k(queries: DataFrame, stored: DataFrame, model: KMeansModel, dim: i
     asked = queries.select(
         F.col(query_id).cast("long").alias("query_id"), F.col(query_vector).alias("vector")
     ).filter(F.col("vector").isNotNull())
-    if not sim.small_enough(asked, dim):
+    table = sim.fetch_small(asked, dim)
+    if table is None:
         raise ValueError("too many queries for one call: split them, or use top_k")
-    table = asked.toArrow()
     query_ids = table["query_id"].to_numpy()
     matrix = sim.unit_rows(sim.vectors_of(table["vector"].combine_chunks()))
     centers = np.array(model.clusterCenters())

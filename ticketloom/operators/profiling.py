@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ticketloom import fixed_values as fv
-from ticketloom.operators.ranking import exact_quantiles, value_counts
+from ticketloom.operators.ranking import quantiles_of, staged_counts
 from ticketloom.operators.routing import is_inbound
 
 LENGTH_CAP = 280
@@ -96,28 +96,35 @@ def score_bands(labeled: DataFrame) -> DataFrame:
 
 
 def numeric_summary(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Count, mean, sample deviation, min, quartiles and max of each column."""
-    stats = df.agg(*[
-        F.struct(
-            F.lit(c).alias("metric"),
-            F.avg(c).alias("mean"),
-            F.stddev_samp(F.col(c).cast("double")).alias("std"),
-        ).alias(c)
-        for c in columns
-    ])
-    moments = stats.select(F.explode(F.array(*columns)).alias("_m")).select("_m.*")
-    spread = exact_quantiles(df, columns, QUARTILES)
-    return spread.join(moments, "metric").select(
-        "metric", "count", "mean", "std", "min", "q1", "median", "q3", "max"
+    """Count, mean, sample deviation, min, quartiles and max of each column.
+
+    Everything comes from one set of value counts, so the table is read once.
+    """
+    counts = staged_counts(df, columns)
+    spread = quantiles_of(counts, QUARTILES)
+    means = weighted_means(counts)
+    squares = counts.join(means, "metric").groupBy("metric").agg(
+        F.sum(F.col("n") * (F.col("value") - F.col("mean")) ** 2).alias("_squares")
+    )
+    return spread.join(means, "metric").join(squares, "metric").select(
+        "metric", "count", "mean",
+        F.when(F.col("count") > 1, F.sqrt(F.col("_squares") / (F.col("count") - 1))).alias("std"),
+        "min", "q1", "median", "q3", "max",
+    )
+
+
+def weighted_means(counts: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    return counts.groupBy(*by, "metric").agg(
+        (F.sum(F.col("value") * F.col("n")) / F.sum("n")).alias("mean")
     )
 
 
 def group_summary(df: DataFrame, group: str, column: str) -> DataFrame:
     """Count, mean, median and maximum of one column per group value."""
-    keyed = df.filter(F.col(group).isNotNull() & F.col(column).isNotNull())
-    means = keyed.groupBy(group).agg(F.avg(column).alias("mean"))
-    spread = exact_quantiles(keyed, [column], {"median": 0.5, "max": 1.0}, by=[group])
-    return spread.join(means, group).select(group, "count", "mean", "median", "max")
+    counts = staged_counts(df.filter(F.col(group).isNotNull()), [column], by=[group])
+    spread = quantiles_of(counts, {"median": 0.5, "max": 1.0}, by=[group])
+    means = weighted_means(counts, [group])
+    return spread.join(means, [group, "metric"]).select(group, "count", "mean", "median", "max")
 
 
 def length_by_direction(raw: DataFrame) -> DataFrame:
@@ -131,10 +138,9 @@ def length_by_direction(raw: DataFrame) -> DataFrame:
 
 def box_plot(df: DataFrame, group: str, column: str) -> DataFrame:
     """Quartiles per group, with whiskers at the outermost values within 1.5 quartile ranges."""
-    keyed = df.filter(F.col(group).isNotNull() & F.col(column).isNotNull())
-    five = exact_quantiles(keyed, [column], QUARTILES, by=[group])
+    values = staged_counts(df.filter(F.col(group).isNotNull()), [column], by=[group])
+    five = quantiles_of(values, QUARTILES, by=[group])
     reach = 1.5 * (F.col("q3") - F.col("q1"))
-    values = value_counts(keyed, [column], by=[group])
     within = (F.col("value") >= F.col("q1") - reach) & (F.col("value") <= F.col("q3") + reach)
     return (
         values.join(five, [group, "metric"])
@@ -273,14 +279,11 @@ def class_mean_gaps(features: DataFrame, columns: Sequence[str] = fv.FEATURES,
 def clipped_at_p99(features: DataFrame, column: str, target: str = "is_urgent",
                    bins: int = 40) -> DataFrame:
     """Density histogram per class of a feature clipped at its overall 99th percentile."""
-    limit = exact_quantiles(features, [column], {"p99": 0.99}).select("p99")
-    counts = (
-        features.select(target, F.col(column).cast("double").alias("value"))
-        .filter(F.col("value").isNotNull())
-        .groupBy(target, "value")
-        .agg(F.count("*").alias("n"))
-    )
-    counts = with_one_row(counts, limit)
+    filled = features.filter(F.col(target).isNotNull())
+    by_class = staged_counts(filled, [column], by=[target])
+    overall = by_class.groupBy("metric", "value").agg(F.sum("n").alias("n"))
+    limit = quantiles_of(overall, {"p99": 0.99}).select("p99")
+    counts = with_one_row(by_class.select(target, "value", "n"), limit)
     clipped = counts.select(target, clip_at(F.col("value"), F.col("p99")).alias("value"), "n")
     facts = clipped.groupBy(target).agg(
         F.min("value").alias("_low"), F.max("value").alias("_high"), F.sum("n").alias("_all")

@@ -7,54 +7,55 @@ the position inside a range is found by a window.
 
 from collections.abc import Sequence
 
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ticketloom.sources.tables import staged
 
-RANGES = 64
-FEW_ROWS = 1_000_000
+ROWS_PER_RANGE = 1_000_000
+MOST_RANGES = 4_096
 
 
-def range_starts(df: DataFrame, key: str, ranges: int = RANGES) -> list:
-    """Approximate quantiles of a key: at most `ranges - 1` values, found in one job.
+def range_starts(df: DataFrame, key: str) -> list[float]:
+    """Where to cut the order of a key: approximate quantiles, one range per million rows.
 
-    They only balance the ranges; no result depends on where they fall.
+    None for a table that one task can order. The cuts only balance the ranges; no result depends
+    on where they fall. They are fetched once, so every reader of the plan sees the same cuts.
     """
+    rows = df.count()
+    ranges = min(MOST_RANGES, -(-rows // ROWS_PER_RANGE))
+    if ranges <= 1:
+        return []
     probabilities = [i / ranges for i in range(1, ranges)]
-    row = df.agg(F.percentile_approx(key, probabilities, 10_000)).first()
-    return sorted(set(row[0] or []))
+    value = F.col(key).cast("double")
+    cuts = df.agg(F.percentile_approx(value, probabilities, 10 * MOST_RANGES)).first()[0]
+    return sorted(set(cuts or []))
 
 
-def starts_for(counts: DataFrame, key: str, ranges: int = RANGES) -> list:
-    """Range starts of a staged table; none when one range is small enough for a task."""
-    few = counts.limit(FEW_ROWS + 1).count() <= FEW_ROWS
-    return [] if few else range_starts(counts, key, ranges)
+def with_range(df: DataFrame, key: str, starts: Sequence[float]) -> DataFrame:
+    """Add `_range`, the number of the range a numeric key falls in (a binary search per row).
 
-
-def range_of(key: Column, starts: Sequence) -> Column:
-    """Index of the range a key falls in: a binary search written out as nested conditions."""
-    def search(low: int, high: int) -> Column:
-        if low == high:
-            return F.lit(low)
-        middle = (low + high) // 2
-        return F.when(key < F.lit(starts[middle]), search(low, middle)).otherwise(
-            search(middle + 1, high)
-        )
-
-    return search(0, len(starts))
+    Comparing as doubles may put neighbours into one range but never reverses their order.
+    """
+    if not starts:
+        return df.withColumn("_range", F.lit(0.0))
+    splits = [float("-inf"), *sorted({float(s) for s in starts}), float("inf")]
+    search = Bucketizer(splits=splits, inputCol="_key", outputCol="_range", handleInvalid="keep")
+    return search.transform(df.withColumn("_key", F.col(key).cast("double"))).drop("_key")
 
 
 def running_total(df: DataFrame, key: str, weight: str, by: Sequence[str] = (),
-                  out: str = "running", ranges: int = RANGES,
-                  starts: Sequence | None = None, tie: Sequence[str] = ()) -> DataFrame:
+                  out: str = "running", starts: Sequence[float] | None = None,
+                  tie: Sequence[str] = ()) -> DataFrame:
     """Add the total of `weight` over all rows up to and including this one, in key order.
 
-    `by` columns restart the total and must not be null. Rows with equal keys are ordered by
-    `tie`; group repeated keys first, or give a tie, when they may be frequent.
+    `key` is numeric; `by` columns restart the total; neither may be null. Rows with equal keys
+    are ordered by `tie`; group repeated keys first when they may be frequent. The input is read
+    more than once: stage it when it is costly.
     """
-    starts = range_starts(df, key, ranges) if starts is None else starts
-    ranged = df.withColumn("_range", range_of(F.col(key), starts))
+    starts = range_starts(df, key) if starts is None else starts
+    ranged = with_range(df, key, starts)
     totals = ranged.groupBy(*by, "_range").agg(F.sum(weight).alias("_total"))
     earlier = (
         Window.partitionBy(*(by or [F.lit(1)]))
@@ -77,11 +78,11 @@ def running_total(df: DataFrame, key: str, weight: str, by: Sequence[str] = (),
     )
 
 
-def dense_ids(df: DataFrame, key: str, out: str = "point_id", tie: Sequence[str] = (),
-              ranges: int = RANGES) -> DataFrame:
+def dense_ids(df: DataFrame, key: str, out: str = "point_id",
+              tie: Sequence[str] = ()) -> DataFrame:
     """Number the rows 0, 1, 2, ... in key order."""
     counted = running_total(df.withColumn("_one", F.lit(1).cast("long")), key, "_one",
-                            out="_upto", ranges=ranges, tie=tie)
+                            out="_upto", tie=tie)
     return counted.withColumn(out, F.col("_upto") - 1).drop("_one", "_upto")
 
 
@@ -103,18 +104,19 @@ def value_counts(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ())
     )
 
 
-def exact_quantiles(df: DataFrame, columns: Sequence[str], probabilities: dict[str, float],
-                    by: Sequence[str] = (), ranges: int = RANGES) -> DataFrame:
-    """Linearly interpolated quantiles per (by..., metric), one output column per name.
+def staged_counts(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
+    """`value_counts`, written once: whatever is derived from them reads the input one time."""
+    return staged(value_counts(df, columns, by), "value-counts")
+
+
+def quantiles_of(counts: DataFrame, probabilities: dict[str, float], by: Sequence[str] = ()) -> DataFrame:
+    """Linearly interpolated quantiles per (by..., metric) of staged counts.
 
     Exact at any size: distinct values carry their counts, and ranks come from running totals
-    over key ranges, so no task sees a whole group. The input is read once; its counts are
-    staged.
+    over key ranges, so no task sees a whole group.
     """
-    counts = staged(value_counts(df, columns, by), "value-counts")
     groups = (*by, "metric")
-    ranked = running_total(counts, "value", "n", by=groups, out="_upto",
-                           starts=starts_for(counts, "value", ranges))
+    ranked = running_total(counts, "value", "n", by=groups, out="_upto")
     sizes = counts.groupBy(*groups).agg(F.sum("n").alias("_size"))
     sized = ranked.join(sizes, list(groups))
     picks, outputs = [], []
@@ -135,6 +137,12 @@ def exact_quantiles(df: DataFrame, columns: Sequence[str], probabilities: dict[s
     )
 
 
+def exact_quantiles(df: DataFrame, columns: Sequence[str], probabilities: dict[str, float],
+                    by: Sequence[str] = ()) -> DataFrame:
+    """Quantiles per (by..., metric), one output column per name; the input is read once."""
+    return quantiles_of(staged_counts(df, columns, by), probabilities, by)
+
+
 def seeded_hash(key: str, seed: int) -> Column:
     """A reproducible order that any engine can recompute."""
     return F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")))

@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ticketloom import fixed_values as fv
+from ticketloom.sources.vector_table import SHARD_POINTS, shard_of
 
 BROADCAST_BYTES = 64 << 20
 PAIR_BUDGET = 1 << 22
@@ -94,10 +95,14 @@ def check_k(k: int) -> None:
         raise ValueError(f"k must be at least 1, not {k}")
 
 
-def small_enough(queries: DataFrame, dim: int, limit_bytes: int = BROADCAST_BYTES) -> bool:
-    """Whether the query vectors fit the broadcast limit; counts no further than the limit."""
+def fetch_small(queries: DataFrame, dim: int, limit_bytes: int = BROADCAST_BYTES):
+    """The query vectors as an Arrow table when they fit the broadcast limit, else None.
+
+    Never fetches more than the limit and one row.
+    """
     most = limit_bytes // (8 * dim)
-    return queries.limit(most + 1).count() <= most
+    table = queries.limit(most + 1).toArrow()
+    return table if table.num_rows <= most else None
 
 
 def top_k(queries: DataFrame, corpus: DataFrame, dim: int, k: int = fv.TOP_K,
@@ -116,15 +121,15 @@ def top_k(queries: DataFrame, corpus: DataFrame, dim: int, k: int = fv.TOP_K,
     stored = corpus.select(
         F.col(hit_id).cast("long").alias("hit_id"), F.col(hit_vector).alias("vector")
     ).filter(F.col("vector").isNotNull())
-    if small_enough(asked, dim, limit_bytes):
-        hits = _scan_with_broadcast(asked, stored, k, floor, skip_same_id)
+    table = fetch_small(asked, dim, limit_bytes)
+    if table is not None:
+        hits = _scan_with_broadcast(table, stored, k, floor, skip_same_id)
     else:
         hits = _scan_by_blocks(asked, stored, k, floor, skip_same_id, block_rows)
     return ranked_hits(hits, k)
 
 
-def _scan_with_broadcast(asked, stored, k, floor, skip_same_id) -> DataFrame:
-    table = asked.toArrow()
+def _scan_with_broadcast(table, stored, k, floor, skip_same_id) -> DataFrame:
     spark = stored.sparkSession
     matrix = (
         unit_rows(vectors_of(table["vector"].combine_chunks())) if table.num_rows
@@ -219,18 +224,27 @@ def low_similarity(queries: DataFrame, hits: DataFrame, query_id: str = "query_i
     )
 
 
-def hit_rows(hits: DataFrame, vectors: DataFrame, hit_id: str = "point_id") -> DataFrame:
+def hit_rows(hits: DataFrame, vectors: DataFrame, hit_id: str = "point_id",
+             shard_points: int = SHARD_POINTS) -> DataFrame:
     """Ranked hits with the stored ticket fields; similarity at four digits.
 
-    The hits are the small side (k per query); Spark picks the join from measured sizes.
+    `hits` should be a staged table: Spark then knows its size, broadcasts it when it is small,
+    and, as the shard is part of the join key, reads only the shards that hold a hit.
     """
+    keys, found = ["hit_id"], hits.filter(F.col("rank") >= 1)
+    stored = [F.col(hit_id).alias("hit_id")]
+    if "shard" in vectors.columns:
+        keys.append("shard")
+        stored.append(F.col("shard"))
+        shard = shard_of(F.col("hit_id"), shard_points)
+        found = found.withColumn("shard", shard.cast(vectors.schema["shard"].dataType))
     payload = vectors.select(
-        F.col(hit_id).alias("hit_id"),
+        *stored,
         *[F.col(f"payload.{c}").alias(c)
           for c in ("tweet_id", "airline", "agent_response", "priority", "priority_score")],
         F.col("payload.original_text").alias("text"),
     )
-    return hits.join(payload, "hit_id").select(
+    return found.join(payload, keys).select(
         "query_id", "rank", "hit_id", "tweet_id", "airline", "text", "agent_response",
         "priority", "priority_score", F.round("similarity", 4).alias("similarity"),
     )

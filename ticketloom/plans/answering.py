@@ -10,9 +10,10 @@ from pyspark.sql import functions as F
 
 from ticketloom import fixed_values as fv
 from ticketloom.functions import prompts as pr
-from ticketloom.operators.encoding import encode_distinct
+from ticketloom.operators.encoding import encode
 from ticketloom.operators.similarity import hit_lists, hit_rows, low_similarity, top_k
 from ticketloom.plans.training import score_texts
+from ticketloom.sources.tables import staged
 
 
 @dataclass
@@ -35,9 +36,19 @@ def screen(queries: DataFrame) -> Triage:
 
 def retrieve(queries: DataFrame, vectors: DataFrame, encoder, dim: int, k: int = fv.TOP_K,
              floor: float = fv.SIMILARITY_FLOOR) -> DataFrame:
-    """Ranked hits with ticket fields for a table (query_id, query)."""
-    asked = encode_distinct(encoder, queries.select("query_id", "query"))
-    return hit_rows(top_k(asked, vectors, dim, k, floor), vectors)
+    """Ranked hits with ticket fields for a table (query_id, query).
+
+    Every distinct text is encoded and searched once; its hits go back to all queries that ask
+    it. Spark splits the join partitions of very frequent texts.
+    """
+    distinct = queries.filter(F.col("query").isNotNull()).groupBy("query").agg(
+        F.min("query_id").alias("asked_id")
+    )
+    asked = encode(encoder, distinct, "query")
+    hits = staged(top_k(asked, vectors, dim, k, floor, query_id="asked_id"), "hits")
+    found = hit_rows(hits, vectors).withColumnRenamed("query_id", "asked_id")
+    same = queries.select("query_id", "query").join(distinct, "query").drop("query")
+    return same.join(found, "asked_id").drop("asked_id")
 
 
 def respond(accepted: DataFrame, hits: DataFrame, model=None,
