@@ -49,6 +49,21 @@ def test_missing_inputs_raise(spark, tmp_path):
             ] == [0, 1]
 
 
+def test_raw_parquet_keeps_pushdown(spark, sf, tmp_path):
+    from ticketloom.catalog.recipes import raw_messages
+    from ticketloom.operators.replies import joined_replies
+
+    tables.write_table(raw_messages(spark, sf), str(tmp_path / "raw"))
+    df = raw.read_raw_parquet(spark, str(tmp_path / "raw"))
+    joined = joined_replies(df)
+    assert joined.count() == joined_replies(raw_messages(spark, sf)).count() > 0
+    plan = joined._jdf.queryExecution().executedPlan().toString()
+    assert "IsNotNull(in_response_to_tweet_id)" in plan and "author_id" not in plan
+    assert plan.count("Exchange SinglePartition") == 0 and "SortMergeJoin" not in plan
+    with pytest.raises(ValueError):
+        raw.read_raw_parquet(spark, f"{sf}/events.parquet")
+
+
 def test_csv_tables_round_trip(spark, tmp_path):
     df = spark.createDataFrame([(1, ' a "b"\nc '), (2, "x,y")], "id long, text string")
     assert sorted(tables.write_table(df, str(tmp_path / "c"), "csv").collect()) == sorted(df.collect())

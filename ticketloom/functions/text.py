@@ -1,11 +1,12 @@
-"""Text scalars. All of them are built-in expressions, so they stay inside generated code.
+"""Text scalars, all of them built-in expressions.
 
 Java's `\\s` leaves out the four separators U+001C..U+001F that count as white space in the
 ticket contract, and is ASCII-only without `(?U)`; `WS` covers both. `WORD` is the contract's word character.
 """
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 WS = r"[\s\x1c-\x1f]"
 NOT_WS = r"[^\s\x1c-\x1f]"
@@ -97,5 +98,7 @@ def to_long(value: Column) -> Column:
     return F.coalesce(text.try_cast("bigint"), text.try_cast("double").try_cast("bigint"))
 
 
-def text_or(value: Column, default: str) -> Column:
-    return F.coalesce(value.cast("string"), F.lit(default))
+def long_column(df: DataFrame, name: str) -> Column:
+    """A column as whole numbers; one that is typed already stays bare and can be pushed down."""
+    column = F.col(name)
+    return column if isinstance(df.schema[name].dataType, T.LongType) else to_long(column)

@@ -54,13 +54,3 @@ def encode(encoder, df: DataFrame, text_column: str = "chunk_text",
     body = F.coalesce(F.col(text_column), F.lit(""))
     encoded = encoder.transform(df.withColumn(INPUT, body))
     return encoded.withColumn(out, vector_to_array("_unit", "float32")).select(*df.columns, out)
-
-
-def encode_distinct(encoder, queries: DataFrame, text_column: str = "query",
-                    out: str = "vector") -> DataFrame:
-    """Encode every distinct text once and give the vector back to all rows that hold it.
-
-    The vectors are joined on the text; Spark splits the partitions of very frequent texts.
-    """
-    distinct = queries.select(text_column).filter(F.col(text_column).isNotNull()).distinct()
-    return queries.join(encode(encoder, distinct, text_column, out), text_column, "left")
