@@ -55,10 +55,10 @@ def test_both_searches_equal_brute_force(spark, limit_bytes, block_rows):
 
 def test_small_pair_budget_changes_nothing(spark, sf):
     expected = ids(cat.search(spark, sf))
-    best = sim.Best.empty()
     rows = cat.stored_vectors(spark, sf).orderBy("point_id").collect()
     matrix = sim.unit_rows(np.array([r["vector"] for r in rows], float))
     numbers = np.array([r["point_id"] for r in rows])
+    best = sim.Best.empty(len(rows))
     for start in range(0, len(rows), 33):
         part = slice(start, start + 33)
         best = sim.scan_block(best, matrix, numbers, np.arange(len(rows)), numbers[part],

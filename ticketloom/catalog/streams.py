@@ -63,9 +63,8 @@ def stream_counts(spark, sf_dir):
     path = scratch_path(spark, "windows")
     counts = jobs.windowed_counts(labeled, "created_at", "1 hour")
     jobs.finish(jobs.start_table(counts, path, f"{path}-checkpoint"))
-    return spark.read.parquet(path).select(
-        F.date_format("window_start", "yyyy-MM-dd HH").alias("hour"), "airline", "priority", "tickets"
-    )
+    hour = F.date_format("window_start", "yyyy-MM-dd HH").alias("hour")
+    return spark.read.parquet(path).select(hour, "airline", "priority", "tickets")
 
 
 QUERIES = {f.__name__: f for f in (

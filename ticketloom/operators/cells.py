@@ -9,7 +9,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.ml.clustering import KMeans, KMeansModel
+from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml.clustering import KMeans
+from pyspark.ml.feature import Normalizer
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -18,21 +20,26 @@ from ticketloom import fixed_values as fv
 from ticketloom.operators import similarity as sim
 
 
+def as_features(corpus: DataFrame, vector: str) -> DataFrame:
+    return corpus.withColumn("_raw", array_to_vector(F.col(vector)))
+
+
 def fit_cells(corpus: DataFrame, cells: int, vector: str = "vector", seed: int = 42,
-              fraction: float = 1.0, rounds: int = 10) -> KMeansModel:
+              fraction: float = 1.0, rounds: int = 10) -> PipelineModel:
     """Centroids of unit vectors. `fraction` < 1 trains on a sample: it moves cell borders and
     so recall, never which rows are stored."""
-    rows = corpus.select(array_to_vector(sim.unit_vector(F.col(vector))).alias("features"))
+    rows = as_features(corpus, vector).select("_raw")
     if fraction < 1.0:
         rows = rows.sample(fraction=fraction, seed=seed)
-    return KMeans(k=cells, seed=seed, maxIter=rounds).fit(rows)
+    return Pipeline(stages=[
+        Normalizer(inputCol="_raw", outputCol="_unit", p=2.0),
+        KMeans(featuresCol="_unit", predictionCol="cell", k=cells, seed=seed, maxIter=rounds),
+    ]).fit(rows)
 
 
-def with_cell(model: KMeansModel, corpus: DataFrame, vector: str = "vector") -> DataFrame:
+def with_cell(model: PipelineModel, corpus: DataFrame, vector: str = "vector") -> DataFrame:
     """Assign every row to its nearest centroid. No shuffle."""
-    unit = array_to_vector(sim.unit_vector(F.col(vector)))
-    assigned = model.transform(corpus.withColumn("features", unit))
-    return assigned.withColumnRenamed("prediction", "cell").select(*corpus.columns, "cell")
+    return model.transform(as_features(corpus, vector)).select(*corpus.columns, "cell")
 
 
 def write_cells(assigned: DataFrame, path: str, files_per_cell: int = 8) -> DataFrame:
@@ -43,7 +50,7 @@ def write_cells(assigned: DataFrame, path: str, files_per_cell: int = 8) -> Data
     return assigned.sparkSession.read.parquet(path)
 
 
-def cell_top_k(queries: DataFrame, stored: DataFrame, model: KMeansModel, dim: int,
+def cell_top_k(queries: DataFrame, stored: DataFrame, model: PipelineModel, dim: int,
                probes: int, k: int = fv.TOP_K, floor: float = fv.SIMILARITY_FLOOR,
                query_id: str = "query_id", query_vector: str = "vector",
                hit_id: str = "point_id", hit_vector: str = "vector",
@@ -61,7 +68,7 @@ def cell_top_k(queries: DataFrame, stored: DataFrame, model: KMeansModel, dim: i
         raise ValueError("too many queries for one call: split them, or use top_k")
     query_ids = table["query_id"].to_numpy()
     matrix = sim.unit_rows(sim.vectors_of(table["vector"].combine_chunks()))
-    centers = np.array(model.clusterCenters())
+    centers = np.array(model.stages[-1].clusterCenters())
     gaps = (centers ** 2).sum(axis=1) / 2 - matrix @ centers.T
     nearest = np.argsort(gaps, axis=1, kind="stable")[:, :probes]
     asking = {int(c): np.nonzero((nearest == c).any(axis=1))[0] for c in np.unique(nearest)}
@@ -69,7 +76,7 @@ def cell_top_k(queries: DataFrame, stored: DataFrame, model: KMeansModel, dim: i
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, vectors, wanted = shared.value
-        best = sim.Best.empty()
+        best = sim.Best.empty(len(ids))
         for batch in batches:
             if not batch.num_rows:
                 continue

@@ -101,11 +101,10 @@ def cleaning_counts(raw: DataFrame, brands: Sequence[str] = fv.BRANDS) -> DataFr
     One scan. Plain counts and the distinct count of surviving texts are one aggregate; copies
     of a text collapse before the shuffle.
     """
+    to_brand = F.coalesce(is_brand(tx.handle_or_empty(F.col("text")), brands), F.lit(False))
     marked = raw.select(
         is_inbound().alias("inbound"),
-        F.when(
-            is_inbound(), F.coalesce(is_brand(tx.leading_handle(F.col("text")), brands), F.lit(False))
-        ).otherwise(False).alias("routed"),
+        F.when(is_inbound(), to_brand).otherwise(False).alias("routed"),
         "text",
     )
     cleaned = marked.select(

@@ -65,15 +65,13 @@ def with_test_metrics(pairs: DataFrame, comparison: DataFrame) -> DataFrame:
 
 
 def _digits(value: Column, places: int, unit: str = "") -> Column:
-    return F.coalesce(
-        F.when(value.isNotNull(), F.format_string(f"%.{places}f{unit}", value.cast("double"))), F.lit("—")
-    )
+    shown = F.format_string(f"%.{places}f{unit}", value.cast("double"))
+    return F.when(value.isNotNull(), shown).otherwise("—")
 
 
 def _usd(value: Column, places: int = 6, unit: str = "") -> Column:
-    return F.coalesce(
-        F.when(value.isNotNull(), F.format_string(f"$%.{places}f{unit}", value.cast("double"))), F.lit("—")
-    )
+    shown = F.format_string(f"$%.{places}f{unit}", value.cast("double"))
+    return F.when(value.isNotNull(), shown).otherwise("—")
 
 
 def comparison_rows(pairs: DataFrame, key: str = "ticket_id") -> DataFrame:

@@ -2,7 +2,7 @@
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ticketloom import fixed_values as fv
@@ -99,8 +99,7 @@ def brand_counts(routed: DataFrame) -> DataFrame:
 
     The share divides by a window over the grouped rows: one row per handle, not per ticket.
     """
-    from pyspark.sql import Window
-
     counts = routed.groupBy("airline").agg(F.count("*").alias("tickets"))
     everything = Window.partitionBy(F.lit(1))
-    return counts.withColumn("share_pct", 100.0 * F.col("tickets") / F.sum("tickets").over(everything))
+    whole = F.sum("tickets").over(everything)
+    return counts.withColumn("share_pct", 100.0 * F.col("tickets") / whole)

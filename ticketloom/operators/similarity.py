@@ -21,6 +21,8 @@ from ticketloom.sources.vector_table import SHARD_POINTS, shard_of
 BROADCAST_BYTES = 64 << 20
 PAIR_BUDGET = 1 << 22
 BLOCK_ROWS = 20_000
+MANY = 4
+SLACK = 1e-9
 DIGITS = 10  # similarities are compared at this precision, so equal vectors tie exactly
 
 HIT_FIELDS = "query_id long, hit_id long, similarity double"
@@ -28,15 +30,21 @@ HIT_FIELDS = "query_id long, hit_id long, similarity double"
 
 @dataclass
 class Best:
-    """The best k hits so far of each query: row numbers of queries, ids and similarities."""
+    """The best k hits so far of each query: row numbers of queries, ids and similarities.
+
+    `kth` and `kth_hit` hold each query's k-th best similarity and its id; -inf while it has fewer.
+    """
 
     query: np.ndarray
     hit: np.ndarray
     similarity: np.ndarray
+    kth: np.ndarray
+    kth_hit: np.ndarray
 
     @classmethod
-    def empty(cls) -> "Best":
-        return cls(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.float64))
+    def empty(cls, queries: int) -> "Best":
+        return cls(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.float64),
+                   np.full(queries, -np.inf), np.zeros(queries, np.int64))
 
     def add(self, query, hit, similarity, k: int) -> "Best":
         query = np.concatenate([self.query, query])
@@ -44,9 +52,15 @@ class Best:
         similarity = np.concatenate([self.similarity, similarity])
         order = np.lexsort((hit, -similarity, query))
         query, hit, similarity = query[order], hit[order], similarity[order]
-        starts = np.searchsorted(query, query, side="left")
-        keep = np.arange(len(query)) - starts < k
-        return Best(query[keep], hit[keep], similarity[keep])
+        place = np.arange(len(query)) - np.searchsorted(query, query, side="left")
+        last, kth, kth_hit = place == k - 1, self.kth.copy(), self.kth_hit.copy()
+        kth[query[last]], kth_hit[query[last]] = similarity[last], hit[last]
+        keep = place < k
+        return Best(query[keep], hit[keep], similarity[keep], kth, kth_hit)
+
+    def can_enter(self, query, hit, similarity) -> np.ndarray:
+        bar = self.kth[query]
+        return (similarity > bar) | ((similarity == bar) & (hit < self.kth_hit[query]))
 
 
 def unit_rows(matrix: np.ndarray) -> np.ndarray:
@@ -70,15 +84,20 @@ def scan_block(best: Best, queries: np.ndarray, query_ids: np.ndarray, which: np
     step = max(1, PAIR_BUDGET // len(which))
     for start in range(0, len(ids), step):
         part_ids, part = ids[start:start + step], vectors[start:start + step]
-        found = np.round(queries[which] @ part.T, DIGITS)
+        found = queries[which] @ part.T
         if skip_same_id:
             found[query_ids[which][:, None] == part_ids[None, :]] = -np.inf
-        cut = np.full(len(which), floor)
-        if len(part_ids) > k:
-            cut = np.maximum(cut, np.partition(found, -k, axis=1)[:, -k])
-        # ties with the k-th value stay in: the id decides between them
-        row, col = np.nonzero(found >= cut[:, None])
-        best = best.add(which[row], part_ids[col], found[row, col], k)
+        # Only what reaches a query's k-th best so far can enter. The slack covers rounding, so
+        # ties stay in and the id decides between them.
+        cut = np.maximum(best.kth[which], floor) - SLACK
+        near = found >= cut[:, None]
+        if len(part_ids) > k and near.sum() > MANY * k * len(which):
+            cut = np.maximum(cut, np.partition(found, -k, axis=1)[:, -k] - SLACK)
+            near = found >= cut[:, None]
+        row, col = np.nonzero(near)
+        asking, hits, value = which[row], part_ids[col], np.round(found[row, col], DIGITS)
+        good = (value >= floor) & best.can_enter(asking, hits, value)
+        best = best.add(asking[good], hits[good], value[good], k)
     return best
 
 
@@ -140,7 +159,7 @@ def _scan_with_broadcast(table, stored, k, floor, skip_same_id) -> DataFrame:
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         query_ids, queries = shared.value
         everyone = np.arange(len(query_ids))
-        best = Best.empty()
+        best = Best.empty(len(query_ids))
         for batch in batches:
             if batch.num_rows and len(query_ids):
                 best = scan_block(best, queries, query_ids, everyone,
@@ -176,8 +195,8 @@ def _scan_by_blocks(asked, stored, k, floor, skip_same_id, block_rows) -> DataFr
     )
 
     def scan(key, q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
-        best = Best.empty()
         ids = q["query_id"].to_numpy()
+        best = Best.empty(len(ids))
         if len(q) and len(c):
             best = scan_block(
                 best, unit_rows(np.stack(q["vector"]).astype(np.float64)), ids,

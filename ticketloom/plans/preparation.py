@@ -52,12 +52,12 @@ def stats_document(counts: DataFrame, coverage: DataFrame, handles: DataFrame,
         F.round(percent(F.col("urgent"), F.col("_n")), 1).alias("urgent_pct"),
     ).alias("labeling"))
     # Ordered by falling count, then handle: the list was cut to its limit before.
-    listed = handles.agg(F.array_sort(F.collect_list(
+    ordered = F.array_sort(F.collect_list(
         F.struct((-F.col("count")).alias("order"), "handle", "count")
-    )).alias("_h")).select(
-        F.transform("_h", lambda h: F.struct(h["handle"].alias("handle"), h["count"].alias("count")))
-        .alias("other_top_handles")
-    )
+    ))
+    listed = handles.agg(F.transform(
+        ordered, lambda h: F.struct(h["handle"].alias("handle"), h["count"].alias("count"))
+    ).alias("other_top_handles"))
     wide = with_one_row(with_one_row(with_one_row(counts, coverage), listed), labeling)
     stamp = F.date_format(F.to_utc_timestamp(F.current_timestamp(), F.current_timezone()),
                           "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'+00:00'")

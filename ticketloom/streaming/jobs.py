@@ -9,7 +9,9 @@ from pyspark.sql.streaming import StreamingQuery
 from ticketloom import fixed_values as fv
 from ticketloom.functions.features import add_features
 from ticketloom.functions.rules import label_table
-from ticketloom.operators.cleaning import drop_empty, drop_low_quality, ticket_columns, with_clean_text
+from ticketloom.operators.cleaning import (
+    drop_empty, drop_low_quality, ticket_columns, with_clean_text,
+)
 from ticketloom.operators.routing import route_to_brands
 from ticketloom.operators.similarity import top_k
 from ticketloom.plans.training import score_texts
@@ -54,7 +56,8 @@ def deduplicated_stream(tickets: DataFrame, event_time: str, delay: str,
 
     A copy that arrives later than `delay` after the first passes again; a delay longer than the
     data's span keeps exactly one row per text. Streaming state has no combine step, so a very
-    frequent text is thinned in `salts` partitions first; each lets one copy through.
+    frequent text is thinned in `salts` partitions first; each lets one copy through. State grows
+    with the distinct texts of one delay: use the RocksDB state store for long delays.
     """
     salted = tickets.withWatermark(event_time, delay).withColumn(
         "_salt", F.pmod(F.xxhash64(key), F.lit(salts))
