@@ -2,9 +2,27 @@
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> SparkSession:
+    """Send this package to the Python workers, wherever the driver was started; once per application."""
+    context = spark.sparkContext
+    if context.applicationId not in _SHIPPED:
+        root = Path(__file__).resolve().parent
+        archive = Path(tempfile.mkdtemp(prefix="ticketloom-package-")) / "ticketloom.zip"
+        with zipfile.ZipFile(archive, "w") as out:
+            for source in sorted(root.rglob("*.py")):
+                out.write(source, source.relative_to(root.parent))
+        context.addPyFile(str(archive))  # Spark serves the file to every executor
+        _SHIPPED.add(context.applicationId)
+    return spark
+
 
 def local_session(cores: str = "*", shuffle_partitions: int = 8,
                   app: str = "ticketloom", **config: str) -> SparkSession:
@@ -23,7 +41,7 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8,
         builder = builder.config(name, value)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
-    return spark
+    return ship(spark)
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
