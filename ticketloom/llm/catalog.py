@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from ticketloom.llm import pii, rendezvous, token_codes, winnow
-from ticketloom.llm.staging import table
-
 from pyspark.sql import functions as F
 
+from ticketloom.llm import (
+    licences, lm_scoring, near_dup, pieces, pii, quality, rendezvous, token_codes, topk, winnow)
+from ticketloom.llm.staging import table
+
 
 def tokenizer_path(name: str) -> str:
     """A public tokenizer file; they are installed beside the interpreter, never copied here."""
@@ -15,11 +16,31 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_cross_entropy_difference(spark, sf_dir):
+    return lm_scoring.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op2_token_codes(spark, sf_dir):
     return token_codes.digest(table(spark, sf_dir, "documents"),
                               tokenizer_path("word_bpe_49k.json"))
 
 
+def op3_branch_and_bound_topk(spark, sf_dir):
+    return topk.digest(table(spark, sf_dir, "embeddings"))
+
+
+def op4_probminhash_classes(spark, sf_dir):
+    return near_dup.digest(table(spark, sf_dir, "documents"))
+
+
+def op5_subword_quality(spark, sf_dir):
+    return quality.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op6_nbest_pieces(spark, sf_dir):
+    return pieces.digest(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
+
+
 SHARDS = 40
 
 
@@ -38,10 +59,16 @@ def op8_winnow_contamination(spark, sf_dir):
     return winnow.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op9_licence_dice(spark, sf_dir):
+    return licences.digest(table(spark, sf_dir, "documents"))
+
+
 def op10_pii_spans(spark, sf_dir):
     return pii.digest(table(spark, sf_dir, "documents"))
 
 
 QUERIES = {q.__name__: q for q in (
-    op2_token_codes, op7_rendezvous_shards, op8_winnow_contamination, op10_pii_spans)}
-ORACLES: dict[str, str] = {}
+    op1_cross_entropy_difference, op2_token_codes, op3_branch_and_bound_topk,
+    op4_probminhash_classes, op5_subword_quality, op6_nbest_pieces, op7_rendezvous_shards,
+    op8_winnow_contamination, op9_licence_dice, op10_pii_spans)}
+ORACLES = {"op3_branch_and_bound_topk": topk.ORACLE}
