@@ -119,6 +119,7 @@ def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray
 
 def signed_rows(docs: DataFrame, text: str) -> DataFrame:
     """`docs` (columns c0..) with _key, _bands and _sketch, one pass."""
+    names = docs.columns
     schema = T.StructType([*docs.schema.fields, T.StructField("_key", T.BinaryType()),
                            T.StructField("_bands", T.ArrayType(T.LongType())),
                            T.StructField("_sketch", T.BinaryType())])
@@ -150,9 +151,10 @@ def signed_rows(docs: DataFrame, text: str) -> DataFrame:
                 kept.append(bands[i])
                 sketches.append(sketch[i].tobytes())
             yield pa.RecordBatch.from_arrays(
-                [part.column(f.name) for f in docs.schema.fields]
+                [part.column(name) for name in names]
                 + [pa.array(keys, pa.binary()), pa.array(kept, pa.list_(pa.int64())),
-                   pa.array(sketches, pa.binary())], names=schema.names)
+                   pa.array(sketches, pa.binary())],
+                names=[*names, "_key", "_bands", "_sketch"])
 
     return docs.mapInArrow(sign, schema)
 
