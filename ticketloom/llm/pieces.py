@@ -35,10 +35,12 @@ from ticketloom.llm import arrays
 MARK = "▁"
 LITERAL_MARK = "\ud800"  # a lone surrogate, which no text holds, stands for a word mark in the text
 MICRO = 1_000_000
+#: Longest chunk that is searched together with others, and the lattice cells of one such search.
 LONG = 24
-BATCH = 4_000
-CACHE_CHUNKS = 150_000
+BATCH_CELLS = 300_000
+CACHE_CHUNKS = 300_000
 NONE = -(1 << 50)
+FAR = 1 << 50
 
 _CHUNK = re.compile(f"{MARK}*[^{MARK}\n]+|{MARK}+|\n")
 
@@ -101,6 +103,9 @@ class Vocabulary:
             return known[1]
         return self.byte_score * len(self.spelled(piece)) if len(piece) == 1 else None
 
+    def coded(self, cut) -> bytes:
+        return np.array([i for piece in cut for i in self.ids(piece)], dtype="<u4").tobytes()
+
     def decode(self, ids) -> str:
         """The text of a segmentation, without the space put before it."""
         data = b"".join(map(self.text.__getitem__, ids))
@@ -137,15 +142,22 @@ def search_one(vocabulary: Vocabulary, chunk: str, n: int) -> list[tuple[int, li
     return out
 
 
-def search_many(vocabulary: Vocabulary, chunks: list[str], n: int) -> list[list[tuple[int, list[str]]]]:
-    """The same for chunks of one length, all at a time: one frontier row per chunk."""
+def search_many(vocabulary: Vocabulary, chunks: list[str], n: int) -> tuple[np.ndarray, list]:
+    """The same for chunks of one length at a time: (scores, count x n; the paths' ids as bytes).
+
+    With an exact heuristic a popped path's best extension has the path's own bound and would be
+    popped next, down to the start. So each step takes the best open sidetrack, follows the best
+    edges from there to the start, and opens the sidetracks along that walk.
+    """
     count, size = len(chunks), len(chunks[0])
     most = min(vocabulary.longest, size)
     codes = np.frombuffer("".join(chunks).encode("utf-32-le", "surrogatepass"), dtype="<u4")
     codes = codes.reshape(count, size).astype(np.int64)
-    edges = np.full((count, size + 1, most + 1), NONE, dtype=np.int64)
+    score = np.full((count, size + 1, most + 1), NONE, dtype=np.int64)
+    piece = np.full((count, size + 1, most + 1), -1, dtype=np.int32)
     row, start = (x.ravel() for x in np.indices((count, size)))
     node = np.zeros(count * size, dtype=np.int64)
+    spelled = np.zeros(count, dtype=bool)
     for length in range(1, most + 1):
         fits = start + length <= size
         row, start, node = row[fits], start[fits], node[fits]
@@ -153,57 +165,80 @@ def search_many(vocabulary: Vocabulary, chunks: list[str], n: int) -> list[list[
         at = np.minimum(np.searchsorted(vocabulary.keys, key), len(vocabulary.keys) - 1)
         found = vocabulary.keys[at] == key
         if length == 1:
-            score = np.where(found, vocabulary.node_score[vocabulary.next[at]], NONE)
-            for i in np.flatnonzero(score == NONE):
-                score[i] = vocabulary.byte_score * len(
-                    vocabulary.spelled(chunks[row[i]][start[i]]))
-            edges[row, start + 1, 1] = score
+            alone = np.where(found, vocabulary.node_score[vocabulary.next[at]], NONE)
+            bare = np.flatnonzero(alone == NONE)
+            for i in bare:
+                alone[i] = vocabulary.byte_score * len(vocabulary.spelled(chunks[row[i]][start[i]]))
+            spelled[row[bare]] = True
+            score[row, start + 1, 1] = alone
         row, start, node = row[found], start[found], vocabulary.next[at[found]]
         if not len(row):
             break
         if length > 1:
-            edges[row, start + length, length] = vocabulary.node_score[node]
+            score[row, start + length, length] = vocabulary.node_score[node]
+        piece[row, start + length, length] = vocabulary.node_piece[node]
+
+    # ahead: forward Viterbi; loss: what an edge costs against the best one into its place
     ahead = np.full((count, size + 1), NONE, dtype=np.int64)
     ahead[:, 0] = 0
+    loss = np.full((count, size + 1, most), FAR, dtype=np.int64)
+    step = np.zeros((count, size + 1), dtype=np.int64)
+    line = np.arange(count)
     for end in range(1, size + 1):
         top = min(most, end)
-        before = ahead[:, end - top:end][:, ::-1]  # places end - 1, end - 2, ...
-        ahead[:, end] = (before + edges[:, end, 1:top + 1]).max(axis=1)
-
-    out: list[list] = [[] for _ in range(count)]
-    active = np.arange(count)
-    total = ahead[:, size:].copy()
-    place = np.full((count, 1), size, dtype=np.int64)
-    behind = np.zeros((count, 1), dtype=np.int64)
-    parent = np.full((count, 1), -1, dtype=np.int64)
-    lengths = np.arange(1, most + 1)
-    while len(active):
-        line = np.arange(len(active))
-        pick = total.argmax(axis=1)
-        best, at, left = total[line, pick], place[line, pick], behind[line, pick]
-        total[line, pick] = NONE
-        for i in np.flatnonzero((at == 0) & (best > NONE // 2)):
-            cut, step, chunk = [], int(pick[i]), chunks[active[i]]
-            while parent[i, step] >= 0:
-                up = int(parent[i, step])
-                cut.append(chunk[place[i, step]:place[i, up]])
-                step = up
-            out[active[i]].append((int(best[i]), cut))
-        target = at[:, None] - lengths
-        score = edges[active, at][:, 1:]
-        valid = (target >= 0) & (score > NONE) & (best > NONE // 2)[:, None]
-        target = np.maximum(target, 0)
-        reached = left[:, None] + score
-        grown = np.where(valid, reached + ahead[active[:, None], target], NONE)
-        total = np.concatenate([total, grown], axis=1)
-        place = np.concatenate([place, target], axis=1)
-        behind = np.concatenate([behind, reached], axis=1)
-        parent = np.concatenate([parent, np.repeat(pick[:, None], most, axis=1)], axis=1)
-        going = np.array([len(out[i]) < n for i in active]) & (total.max(axis=1) > NONE // 2)
-        if not going.all():
-            active, total, place = active[going], total[going], place[going]
-            behind, parent = behind[going], parent[going]
-    return out
+        into = ahead[:, end - top:end][:, ::-1] + score[:, end, 1:top + 1]
+        best = into.argmax(axis=1)
+        ahead[:, end] = into[line, best]
+        step[:, end] = best + 1
+        loss[:, end, :top] = np.where(into > NONE // 2, ahead[:, end, None] - into, FAR)
+        loss[line, end, best] = FAR  # the best edge is no sidetrack
+
+    def walk(at: np.ndarray) -> np.ndarray:
+        """Places on the best path from `at` to the start."""
+        on = np.zeros((count, size + 1), dtype=bool)
+        at = at.copy()
+        for _ in range(size + 1):
+            on[line, at] = True
+            if not at.any():
+                break
+            at -= step[line, at]
+        return on
+
+    width = (size + 1) * most
+    scores = np.full((count, n), NONE, dtype=np.int64)
+    cuts = [walk(np.full(count, size))]
+    scores[:, 0] = ahead[:, size]
+    open_ = np.full((count, n * width), FAR, dtype=np.int64)
+    for k in range(1, n):
+        held = scores[:, 0] - scores[:, k - 1]  # what the last path lost
+        fresh = np.where(cuts[-1][:, :, None] if k == 1 else own[:, :, None], loss + held[:, None, None], FAR)
+        fresh[held > FAR // 2] = FAR
+        open_[:, (k - 1) * width:k * width] = np.minimum(fresh, FAR).reshape(count, width)
+        pick = open_[:, :k * width].argmin(axis=1)
+        lost = open_[line, pick]
+        open_[line, pick] = FAR
+        some = lost < FAR
+        parent, at, length = pick // width, pick % width // most, pick % most + 1
+        own = walk(np.where(some, at - length, 0))
+        before = np.stack(cuts)[parent, line]
+        cuts.append(before & (np.arange(size + 1) >= at[:, None]) | own)
+        scores[:, k] = np.where(some, scores[:, 0] - lost, NONE)
+
+    paths: list[list[bytes]] = [[] for _ in chunks]
+    for k, cut in enumerate(cuts):
+        r, end = np.nonzero(cut)
+        inner = end > 0
+        begin = np.append(0, end[:-1])[inner]
+        r, end = r[inner], end[inner]
+        flat = piece[r, end, end - begin].astype("<u4").tobytes()
+        ends = np.searchsorted(r, np.arange(count + 1)) * 4
+        valid = scores[:, k] > NONE
+        for i in np.flatnonzero(valid & ~spelled).tolist():
+            paths[i].append(flat[ends[i]:ends[i + 1]])
+        for i in np.flatnonzero(valid & spelled).tolist():
+            places = np.flatnonzero(cut[i]).tolist()
+            paths[i].append(vocabulary.coded(chunks[i][a:b] for a, b in zip(places, places[1:])))
+    return scores, paths
 
 
 class Encoder:
@@ -222,22 +257,27 @@ class Encoder:
         by_size: dict[int, list[str]] = {}
         for chunk in chunks:
             by_size.setdefault(len(chunk), []).append(chunk)
-        named, found = [], []
+        tables = [self.scores]
         for size, some in by_size.items():
-            for i in range(0, len(some), BATCH):
-                part = some[i:i + BATCH]
-                found += (search_many(self.vocabulary, part, self.n) if size <= LONG else
-                          [search_one(self.vocabulary, c, self.n) for c in part])
-                named += part
+            if size > LONG:
+                found = [search_one(self.vocabulary, c, self.n) for c in some]
+                table = np.full((len(some), self.n), NONE, dtype=np.int64)
+                for i, paths in enumerate(found):
+                    table[i, :len(paths)] = [s for s, _ in paths]
+                self._keep(some, [[self.vocabulary.coded(cut) for _, cut in paths] for paths in found])
+                tables.append(table)
+                continue
+            batch = max(100, BATCH_CELLS // (size + 1) ** 2)
+            for i in range(0, len(some), batch):
+                table, paths = search_many(self.vocabulary, some[i:i + batch], self.n)
+                self._keep(some[i:i + batch], paths)
+                tables.append(table)
+        self.scores = np.concatenate(tables)
+
+    def _keep(self, chunks: list[str], paths: list[list[bytes]]):
         base = len(self.ids)
-        self.index.update((c, base + i) for i, c in enumerate(named))
-        ids = self.vocabulary.ids
-        scores = np.full((len(found), self.n), NONE, dtype=np.int64)
-        for i, paths in enumerate(found):
-            scores[i, :len(paths)] = [s for s, _ in paths]
-            self.ids.append([np.array([x for p in cut for x in ids(p)], dtype="<u4").tobytes()
-                             for _, cut in paths])
-        self.scores = np.concatenate([self.scores, scores])
+        self.index.update(zip(chunks, range(base, base + len(chunks))))
+        self.ids += paths
 
     def __call__(self, texts: list[str | None]) -> list[list[tuple[int, bytes]]]:
         """Per text its best n segmentations: (score, ids as little-endian unsigned 32 bits)."""
@@ -260,7 +300,7 @@ class Encoder:
         out = [(0, ())]  # (loss, changed places)
         if self.n > 1:
             losses = scores[:, :1] - scores
-            nearest = np.argsort(losses[:, 1], kind="stable")[:self.n - 1] if len(chunks) > 1 else [0]
+            nearest = np.argsort(losses[:, 1], kind="stable")[:self.n - 1] 
             for place in sorted(map(int, nearest)):
                 levels = [(int(losses[place, j]), j) for j in range(len(self.ids[chunks[place]]))]
                 out = sorted((loss + more, changed + (((place, j),) if j else ()))
