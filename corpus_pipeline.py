@@ -1,25 +1,65 @@
-"""The corpus pipeline: placeholder order of stages, filled as operators arrive."""
+"""A training-data pipeline over `documents`: reject, deduplicate, decontaminate, redact, encode.
+
+Every stage works on all rows its predecessor kept and returns the columns of documents; the last
+returns the encoded documents. Stages hand over tables in the shared folder.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ticketloom.llm import near_dup, pieces, pii, quality, winnow
+from ticketloom.llm.catalog import tokenizer_path
+from ticketloom.llm.staging import staged, table
+from ticketloom.session import ship
+
+
+def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose probability of good quality reaches the threshold."""
+    ship(spark)
+    model = quality.fit(docs, table(spark, sf_dir, "labels"))
+    scored = quality.with_score(docs, model, column="_score")
+    return scored.filter(F.col("_score") >= quality.THRESHOLD).select(*docs.columns)
+
 
-from ticketloom.llm import winnow
-from ticketloom.llm.staging import table
+def first_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each class of near-duplicates the document with the smallest doc_id."""
+    found = near_dup.with_classes(docs, first_by="doc_id")
+    return found.filter("is_first").select(*docs.columns)
 
 
-def clean_of_benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def without_benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that share no window of words with a benchmark item."""
     found = winnow.contamination(docs, table(spark, sf_dir, "benchmark"))
-    return found.filter(~found["contaminated"]).select(*docs.columns)
+    return found.filter(~F.col("contaminated")).select(*docs.columns)
+
+
+def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document, its personal data replaced by the kind's name and its length counted anew."""
+    clean = pii.with_spans(docs, clean="text")
+    return clean.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+
+
+def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document as the ids of its best segmentation, with the scores of its best three."""
+    return pieces.with_pieces(docs, tokenizer_path("piece_bpe_32k.model")).drop("text")
+
 
+STAGES = [
+    ("quality classifier", good_documents),
+    ("minhash near-dedup", first_of_near_duplicates),
+    ("benchmark decontamination", without_benchmarks),
+    ("pii", without_personal_data),
+    ("sentencepiece encoding", encoded),
+]
 
-STAGES = [("benchmark decontamination", clean_of_benchmarks)]
+#: A learned classifier cannot be stated in SQL; the stages are tested against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    docs = table(ship(spark), sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = staged(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -288,8 +288,12 @@ def _agreeing(pairs: DataFrame, sketches: DataFrame, least: int) -> DataFrame:
 
 
 def with_classes(docs: DataFrame, text: str = "text", threshold: float = THRESHOLD,
-                 carry: list[str] | None = None) -> DataFrame:
-    """`docs` (or its columns `carry`) with class_id, class_size and is_first, the class's first row."""
+                 carry: list[str] | None = None, first_by: str | None = None) -> DataFrame:
+    """`docs` (or its columns `carry`) with class_id, class_size and is_first.
+
+    A class's first row is the one with the smallest `first_by`, a kept column (nulls first), then
+    the smallest row number.
+    """
     added = ("class_id", "class_size", "is_first")
     kept = [c for c in (docs.columns if carry is None else carry) if c not in added]
     rows = docs.select(*[F.col(c).alias(f"c{i}") for i, c in enumerate(kept)],
@@ -304,15 +308,20 @@ def with_classes(docs: DataFrame, text: str = "text", threshold: float = THRESHO
         "_row", "_bands", "_sketch", "_text")
     links = links_between(reps, threshold)
     classes = staged(_labelled(copies, links, "rep").select("_row", "component"), "classes")
-    sizes = classes.groupBy("component").agg(F.count(F.lit(1)).alias("size"), F.min("_row").alias("low"))
+    order = F.lit(0).alias("by") if first_by is None else F.col(f"c{kept.index(first_by)}").alias("by")
+    ordered = classes.join(base.select("_row", order), "_row") if first_by else classes.withColumn("by", order)
+    sizes = ordered.groupBy("component").agg(
+        F.count(F.lit(1)).alias("size"), F.min("_row").alias("low"),
+        F.min(F.struct("by", "_row")).alias("first"))
     found = classes.join(sizes, "component").select(
-        F.col("_row").alias("_r"), F.col("low").alias("class_id"), F.col("size").alias("class_size"))
+        F.col("_row").alias("_r"), F.col("low").alias("class_id"), F.col("size").alias("class_size"),
+        (F.col("first._row") == F.col("_row")).alias("is_first"))
     out = base.join(found, F.col("_row") == F.col("_r"), "left")
     class_id = F.coalesce("class_id", F.col("_row"))
     return out.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(kept)],
                       class_id.alias("class_id"),
                       F.coalesce("class_size", F.lit(1)).cast("long").alias("class_size"),
-                      (class_id == F.col("_row")).alias("is_first"))
+                      F.coalesce("is_first", F.lit(True)).alias("is_first"))
 
 
 def digest(docs: DataFrame) -> DataFrame:
