@@ -32,7 +32,8 @@ BUCKETS = 1 << 17
 DIM = 8
 GRAMS = (2, 3, 4)
 SAMPLE_PER_CLASS = 2_000
-EPOCHS = 6
+#: Batches taken, however small the sample: a few hundred labels are passed over many times.
+STEPS = 800
 RATE = 0.6
 BATCH = 32
 SEED = 11
@@ -109,12 +110,12 @@ class Model:
         rng = np.random.default_rng(SEED)
         vectors = rng.uniform(-1 / DIM, 1 / DIM, (BUCKETS + 1, DIM))
         weights, bias = np.zeros((DIM, 2)), np.zeros(2)
-        steps, done = EPOCHS * -(-len(docs) // BATCH), 0
-        for _ in range(EPOCHS):
+        done = 0
+        while done < STEPS:
             order = rng.permutation(len(docs))
             for first in range(0, len(order), BATCH):
                 batch = order[first:first + BATCH]
-                rate = RATE * (1 - done / steps)
+                rate = RATE * max(0.0, 1 - done / STEPS)
                 done += 1
                 ids = np.concatenate([docs[i][0] for i in batch])
                 sizes = np.array([len(docs[i][0]) for i in batch])
