@@ -126,30 +126,35 @@ def test_replies_join_in_key_order(spark):
     assert rp.reply_coverage(cl.tidy_tickets(raw.limit(0)), raw).first()["agent_response_pct"] == 0
 
 
-def test_a_parent_with_too_many_replies_is_kept_whole_in_parts(spark):
+def test_a_hot_parent_keeps_its_whole_text_in_ticket_payload_and_counts(spark):
+    from ticketloom.operators.payload import payload_column, with_chunks
+
     texts = [f"answer number {i:04d}" for i in range(300)]
     rows = [ask(1, "@Delta where is my bag"), ask(2, "@Delta where is my seat"),
             reply(1000, 2, "a single answer")]
     rows += [reply(2000 + i, 1, t) for i, t in enumerate(texts)]
     raw = messages(spark, rows)
-    tickets = rp.attach_replies(cl.tidy_tickets(raw), raw, max_chars=1000)
-    got = {r["tweet_id"]: r["agent_response"] for r in tickets.collect()}
-    assert got == {1: None, 2: "a single answer"}
     parts = [r for r in rp.reply_parts(raw, part_chars=1000).orderBy("part_no").collect()
              if r["parent_id"] == 1]
     assert len(parts) > 5
     assert max(len(p["part"]) for p in parts) < 1100
     assert " | ".join(p["part"] for p in parts) == " | ".join(texts)
     assert sum(p["replies"] for p in parts) == 300
-    # within the bound the ticket carries all of it
-    whole = rp.attach_replies(cl.tidy_tickets(raw), raw).filter("tweet_id = 1").first()
-    assert whole["agent_response"] == " | ".join(texts)
-
-
-def test_oversize_raw_text_without_a_qualified_reply_is_no_answer(spark):
+    for size in (40, 1000, rp.PART_CHARS):
+        tickets = rp.attach_replies(cl.tidy_tickets(raw), raw, part_chars=size)
+        got = {r["tweet_id"]: r["agent_response"] for r in tickets.collect()}
+        assert got == {1: " | ".join(texts), 2: "a single answer"}
+    chunked = with_chunks(tickets)
+    held = {r["p"]["tweet_id"]: r["p"]["agent_response"]
+            for r in chunked.select(payload_column(chunked).alias("p")).collect()}
+    assert held == got
+    assert prep.coverage_of(tickets).first()["with_agent_response"] == 2
+
+
+def test_raw_text_without_a_qualified_reply_is_no_answer(spark):
     raw = messages(spark, [ask(1, "@Delta where is my bag")]
                    + [reply(10 + i, 1, "@customer12345 ok") for i in range(50)])
-    tickets = rp.attach_replies(cl.tidy_tickets(raw), raw, max_chars=100)
+    tickets = rp.attach_replies(cl.tidy_tickets(raw), raw, part_chars=100)
     assert tickets.first()["agent_response"] == ""
 
 

@@ -10,14 +10,23 @@ from ticketloom.operators import evaluation as ev
 from ticketloom.operators.profiling import split_sizes
 from ticketloom.operators.ranking import stratified_split
 from ticketloom.plans.training import (
-    metrics_document, score_texts, train, train_and_save,
+    metrics_document, save_trained, score_texts, train,
 )
 from ticketloom.session import scratch_path
 from ticketloom.sources.models import load_model
 from ticketloom.sources.tables import staged
 
 NAMES = ("by_length", "by_id", "by_both")
-SMALL = {"trees": 20, "depth": 8, "iterations": 50}
+
+_TRAINED: dict[tuple[str, str], object] = {}
+
+
+def trained(spark, sf_dir):
+    """The whole training job over the features of a folder, run once per application."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _TRAINED:
+        _TRAINED[key] = train(staged(features_of_tickets(spark, sf_dir), "features"))
+    return _TRAINED[key]
 
 
 def judged_documents(spark, sf_dir):
@@ -79,17 +88,18 @@ def split_counts(spark, sf_dir):
 
 
 def train_compare(spark, sf_dir):
-    return train(staged(features_of_tickets(spark, sf_dir), "features"), **SMALL).comparison
+    """Split, fit and compare the three classifiers with the full protocol."""
+    return train(staged(features_of_tickets(spark, sf_dir), "features")).comparison
 
 
 def training_document(spark, sf_dir):
-    return metrics_document(train(staged(features_of_tickets(spark, sf_dir), "features"), **SMALL))
+    return metrics_document(trained(spark, sf_dir))
 
 
 def batch_score(spark, sf_dir):
-    """Train, save, load and score every clean ticket with the loaded model."""
+    """Save the selected model, load it and score every clean ticket with the loaded one."""
     path = scratch_path(spark, "model")
-    train_and_save(staged(features_of_tickets(spark, sf_dir), "features"), path, **SMALL)
+    save_trained(trained(spark, sf_dir), path)
     model, names = load_model(spark, path)
     return score_texts(model, short_tickets(spark, sf_dir), "text", names or fv.FEATURES)
 

@@ -54,7 +54,8 @@ def stream_retrieval(spark, sf_dir):
         stream, stored, path, f"{path}-checkpoint", vectors.DIM, query_id="vec_id",
         query_vector="embedding", skip_same_id=True,
     ))
-    return spark.read.parquet(path).select("query_id", "rank", "hit_id")
+    return spark.read.parquet(path).select(
+        "query_id", "rank", "hit_id", F.round("similarity", 4).alias("similarity"))
 
 
 def stream_counts(spark, sf_dir):

@@ -41,16 +41,16 @@ def cosine_topk(spark, sf_dir):
 
 
 def cosine_topk_blocks(spark, sf_dir):
-    """The same search with both sides cut into blocks, as for large query sets."""
-    return search(spark, sf_dir, limit_bytes=0, block_rows=200).select("query_id", "rank", "hit_id")
+    """The same search with both sides cut into many pieces, as for large query sets."""
+    return search(spark, sf_dir, group_queries=150, block_rows=200).select(
+        "query_id", "rank", "hit_id", F.round("similarity", 4).alias("similarity"))
 
 
 def low_similarity(spark, sf_dir):
     stored = stored_vectors(spark, sf_dir)
     hits = search(spark, sf_dir, floor=0.45)
-    return sim.low_similarity(
-        stored.withColumnRenamed("point_id", "query_id"), hits, threshold=0.5
-    ).drop("best_similarity")
+    found = sim.low_similarity(stored.withColumnRenamed("point_id", "query_id"), hits, threshold=0.5)
+    return found.withColumn("best_similarity", F.round("best_similarity", 4))
 
 
 def hit_lists(spark, sf_dir):
@@ -157,7 +157,7 @@ def cell_topk(spark, sf_dir):
 def cell_topk_all(spark, sf_dir):
     """Search by cell with every cell probed: the exact result."""
     stored = stored_vectors(spark, sf_dir)
-    model = ce.fit_cells(stored, 8, rounds=3)
+    model = ce.fit_cells(stored, 8)
     table_ = ce.write_cells(ce.with_cell(model, stored), scratch_path(spark, "cells"))
     hits = ce.cell_top_k(stored, table_, model, DIM, probes=8, query_id="point_id",
                          skip_same_id=True)
@@ -245,12 +245,13 @@ def block() -> str:
 ORACLES = {
     "cosine_topk": f"""with {topk()} select query_id, rank::integer as rank, hit_id,
         round(sim, 4) as similarity from hits""",
-    "cosine_topk_blocks": f"with {topk()} select query_id, rank::integer as rank, hit_id from hits",
+    "cosine_topk_blocks": f"""with {topk()} select query_id, rank::integer as rank, hit_id,
+        round(sim, 4) as similarity from hits""",
     "cell_topk_all": f"with {topk()} select query_id, rank::integer as rank, hit_id from hits",
     "low_similarity": f"""with {topk(0.45)}, best as (select query_id, count(*) as n,
           max(sim) as sim from hits group by query_id)
         select vec_id as query_id, coalesce(n, 0) as retrieved_count,
-          coalesce(sim < 0.5, true) as low_similarity
+          round(sim, 4) as best_similarity, coalesce(sim < 0.5, true) as low_similarity
         from embeddings left join best on query_id = vec_id""",
     "hit_lists": f"""with {topk()} select query_id, string_agg(hit_id || ':' ||
           cast(round(100 * sim) as integer) || '%', ' ' order by rank) as hits

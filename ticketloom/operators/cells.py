@@ -1,8 +1,7 @@
 """Approximate top-k: the corpus is stored by cell, a query reads the cells nearest to it.
 
-Stands in for a vector store's index. Cells are centroids of unit vectors; the table is
-partitioned by cell, so unprobed cells are never read. Hits are scored exactly, and probing all
-cells gives the exact result.
+Stands in for a vector store's index. Cells are centroids of unit vectors. Hits are scored exactly,
+and probing all cells gives the exact result.
 """
 
 from collections.abc import Iterator
@@ -50,53 +49,50 @@ def write_cells(assigned: DataFrame, path: str, files_per_cell: int = 8) -> Data
     return assigned.sparkSession.read.parquet(path)
 
 
+def nearest_cells(asked: DataFrame, model: PipelineModel, probes: int) -> DataFrame:
+    """Each query (query_id, asked) once per cell to read; the centres are a bounded broadcast."""
+    centers = np.array(model.stages[-1].clusterCenters())
+    half = (centers ** 2).sum(axis=1) / 2
+
+    def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            gaps = half - sim.unit_rows(sim.vectors_of(batch["asked"])) @ centers.T
+            near = np.argsort(gaps, axis=1, kind="stable")[:, :probes].astype(np.int64)
+            cells = pa.array(list(near), pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch["query_id"], batch["asked"], cells],
+                                             names=["query_id", "asked", "cells"])
+
+    kind = asked.schema["asked"].dataType.simpleString()
+    found = asked.mapInArrow(probe, f"query_id long, asked {kind}, cells array<long>")
+    return found.select("query_id", "asked", F.explode("cells").alias("cell"))
+
+
 def cell_top_k(queries: DataFrame, stored: DataFrame, model: PipelineModel, dim: int,
                probes: int, k: int = fv.TOP_K, floor: float = fv.SIMILARITY_FLOOR,
                query_id: str = "query_id", query_vector: str = "vector",
                hit_id: str = "point_id", hit_vector: str = "vector",
-               skip_same_id: bool = False) -> DataFrame:
+               skip_same_id: bool = False, block_rows: int = sim.BLOCK_ROWS) -> DataFrame:
     """Best k per query among the rows of its `probes` nearest cells.
 
-    Only for query sets within the broadcast limit; larger ones go through in several calls.
+    Queries and rows join on (cell, salt): a cell is cut into as many salts as its rows need, and a
+    query goes to each salt of its cells.
     """
     sim.check_k(k)
-    asked = queries.select(
-        F.col(query_id).cast("long").alias("query_id"), F.col(query_vector).alias("vector")
-    ).filter(F.col("vector").isNotNull())
-    table = sim.fetch_small(asked, dim)
-    if table is None:
-        raise ValueError("too many queries for one call: split them, or use top_k")
-    query_ids = table["query_id"].to_numpy()
-    matrix = sim.unit_rows(sim.vectors_of(table["vector"].combine_chunks()))
-    centers = np.array(model.stages[-1].clusterCenters())
-    gaps = (centers ** 2).sum(axis=1) / 2 - matrix @ centers.T
-    nearest = np.argsort(gaps, axis=1, kind="stable")[:, :probes]
-    asking = {int(c): np.nonzero((nearest == c).any(axis=1))[0] for c in np.unique(nearest)}
-    shared = stored.sparkSession.sparkContext.broadcast((query_ids, matrix, asking))
-
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, vectors, wanted = shared.value
-        best = sim.Best.empty(len(ids))
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            cells = batch["cell"].to_numpy()
-            points = batch["hit_id"].to_numpy()
-            rows = sim.unit_rows(sim.vectors_of(batch["vector"]))
-            for cell in np.unique(cells):
-                here = cells == cell
-                best = sim.scan_block(best, vectors, ids, wanted[int(cell)], points[here],
-                                      rows[here], k, floor, skip_same_id)
-        yield pa.RecordBatch.from_pydict(
-            {"query_id": ids[best.query], "hit_id": best.hit, "similarity": best.similarity}
-        )
-
-    hits = (
-        stored.filter(F.col("cell").isin(sorted(asking)))
-        .select(F.col(hit_id).cast("long").alias("hit_id"), F.col(hit_vector).alias("vector"),
-                "cell")
-        .mapInArrow(scan, sim.HIT_FIELDS)
+    asked, rows = sim.as_sides(queries, stored, query_id, query_vector, hit_id, hit_vector)
+    salts = rows.groupBy("cell").agg(
+        F.ceil(F.count("*") / F.lit(block_rows)).cast("long").alias("_salts")
     )
+    salted = rows.join(salts, "cell").withColumn(
+        "_salt", F.pmod(F.xxhash64("hit_id"), F.col("_salts"))
+    ).drop("_salts")
+    probed = nearest_cells(asked, model, probes).join(
+        salts.select(F.col("cell").alias("_cell"), F.col("_salts").alias("_n")),
+        F.col("cell") == F.col("_cell"))
+    wanted = probed.select("query_id", "asked", "cell", F.explode(
+        F.sequence(F.lit(0).cast("long"), F.col("_n") - 1)).alias("_salt"))
+    hits = sim.scanned(wanted, salted, ["cell", "_salt"], k, floor, skip_same_id)
     return sim.ranked_hits(hits, k)
 
 

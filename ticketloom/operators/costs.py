@@ -16,8 +16,9 @@ def with_cost(calls: DataFrame, prices: DataFrame | None = None,
               out: str = "cost_usd") -> DataFrame:
     """Cost of each call from its token counts, six digits.
 
-    Missing counts are 0 tokens; an unknown provider costs 0, as a failed call does. The default
-    price table has two rows and is broadcast; for a caller's own, Spark decides by its size.
+    Missing counts are 0 tokens. A call without a provider failed and costs 0; the cost of a
+    provider that is not in the price table is unknown, so null. The default price table has two
+    rows and is broadcast; for a caller's own, Spark decides by its size.
     """
     table = F.broadcast(price_table(calls.sparkSession)) if prices is None else prices
     tokens_in = F.coalesce(F.col("input_tokens"), F.lit(0))
@@ -25,7 +26,7 @@ def with_cost(calls: DataFrame, prices: DataFrame | None = None,
     cost = (tokens_in * F.col("usd_in") + tokens_out * F.col("usd_out")) / 1_000_000
     return (
         calls.join(table, "provider", "left")
-        .withColumn(out, F.coalesce(F.round(cost, 6), F.lit(0.0)))
+        .withColumn(out, F.when(F.col("provider").isNull(), 0.0).otherwise(F.round(cost, 6)))
         .select(*calls.columns, out)
     )
 

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ticketloom import fixed_values as fv
+from ticketloom.functions import text as tx
 from ticketloom.operators.similarity import unit_rows
 
 INPUT = "_text_to_encode"
@@ -20,10 +21,11 @@ def fit_hashing_encoder(texts: DataFrame, text_column: str = "chunk_text",
                         dim: int = fv.VECTOR_DIM) -> PipelineModel:
     """Hashed term weights of fixed length. Fitting is one aggregate of `dim` document counts.
 
-    Matches words, not meaning: use `batch_encoder` with a sentence model for that.
+    Words are runs of letters, numbers and `_` of any script, in lower case; a text of other signs
+    alone, like a blank one, has the zero vector. Matches words, not meaning: use `batch_encoder` with a sentence model for that.
     """
     stages = [
-        RegexTokenizer(inputCol=INPUT, outputCol="_tokens", pattern=r"\W+"),
+        RegexTokenizer(inputCol=INPUT, outputCol="_tokens", pattern=f"{tx.WORD}+", gaps=False),
         HashingTF(inputCol="_tokens", outputCol="_counts", numFeatures=dim),
         IDF(inputCol="_counts", outputCol="_weights"),
         Normalizer(inputCol="_weights", outputCol="_unit", p=2.0),

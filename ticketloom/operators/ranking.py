@@ -14,22 +14,21 @@ from pyspark.sql import functions as F
 from ticketloom.sources.tables import staged
 
 ROWS_PER_RANGE = 1_000_000
-MOST_RANGES = 4_096
 
 
 def range_starts(df: DataFrame, key: str) -> list[float]:
     """Where to cut the order of a key: approximate quantiles, one range per million rows.
 
-    None for a table that one task can order. The cuts only balance the ranges; no result depends
+    None for a table that one task can order. The number of ranges follows the rows without a limit,
+    8 bytes each: 8 MB of cuts for 10^12 rows. The cuts only balance the ranges; no result depends
     on where they fall. They are fetched once, so every reader of the plan sees the same cuts.
     """
-    rows = df.count()
-    ranges = min(MOST_RANGES, -(-rows // ROWS_PER_RANGE))
+    ranges = -(-df.count() // ROWS_PER_RANGE)
     if ranges <= 1:
         return []
     probabilities = [i / ranges for i in range(1, ranges)]
     value = F.col(key).cast("double")
-    cuts = df.agg(F.percentile_approx(value, probabilities, 10 * MOST_RANGES)).first()[0]
+    cuts = df.agg(F.percentile_approx(value, probabilities, max(10_000, 10 * ranges))).first()[0]
     return sorted(set(cuts or []))
 
 
@@ -161,12 +160,19 @@ def stratified_split(df: DataFrame, label: str, key: str, seed: int = 42) -> Dat
     """Add `split`: train / validation / test at 60 / 20 / 20 within every label value.
 
     Sizes per class are exact: train takes the rounded 60 %, validation half of the rest. The
-    cut points are found from 4,096 hash ranges per class, then exactly inside the ranges they
-    fall in. The table itself is never sorted or shuffled; it meets only the cut points, which
-    are one row per class.
+    cut points are found from hash ranges, whose number follows the rows, then exactly inside the
+    ranges they fall in. The table itself is never sorted or shuffled; it meets only the cut points,
+    which are one row per class. Rows without a label belong to no class and are refused. Sizes
+    are exact for unique keys; rows that share a key share a split.
     """
+    rows, unlabelled = df.agg(F.count("*"), F.count_if(F.col(label).isNull())).first()
+    if unlabelled:
+        raise ValueError(f"{unlabelled} of {rows} rows have no {label}")
+    digits = 3  # hex digits of the hash; each more makes 16 times as many ranges
+    while rows > ROWS_PER_RANGE * 16 ** digits:
+        digits += 1
     hashed = df.select(label, seeded_hash(key, seed).alias("_hash")).withColumn(
-        "_range", F.substring("_hash", 1, 3)
+        "_range", F.substring("_hash", 1, digits)
     )
     per_range = hashed.groupBy(label, "_range").agg(F.count("*").alias("_rows"))
     per_class = Window.partitionBy(label)

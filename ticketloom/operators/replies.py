@@ -1,8 +1,8 @@
 """Agent replies: qualified reply lines, the joined text per ticket, coverage.
 
 A reply's parent id can be hot. Counts and presence are combined before the shuffle and never
-gather texts. Only the joined text gathers a group, and only when it fits into `max_chars`;
-for larger groups the ordered parts of `reply_parts` hold the whole text.
+gather texts. Texts are first gathered into ordered parts of bounded size, spread over all tasks;
+the joined text of a parent is put together from its parts.
 """
 
 from pyspark.sql import DataFrame
@@ -12,8 +12,9 @@ from ticketloom import fixed_values as fv
 from ticketloom.functions import text as tx
 from ticketloom.operators.ranking import running_total
 from ticketloom.operators.routing import outbound_rows
+from ticketloom.sources.tables import staged
 
-MAX_CELL_CHARS = 1 << 24
+PART_CHARS = 1 << 20
 
 
 def reply_candidates(raw: DataFrame) -> DataFrame:
@@ -40,41 +41,7 @@ def reply_lines(candidates: DataFrame) -> DataFrame:
     return lines.filter(F.length("reply") >= fv.MIN_REPLY_CHARS)
 
 
-def oversize_parents(candidates: DataFrame, max_chars: int = MAX_CELL_CHARS) -> DataFrame:
-    """Parents whose raw reply text adds up to more than `max_chars` characters.
-
-    Cleaning only shortens, so the raw lengths bound the joined text and no pattern has to run.
-    Lengths are added up before the shuffle.
-    """
-    gap = len(fv.REPLY_SEPARATOR)
-    sizes = candidates.groupBy("parent_id").agg(
-        F.sum(F.length("text").cast("long") + gap).alias("chars")
-    )
-    return sizes.filter(F.col("chars") > max_chars).select("parent_id")
-
-
-def joined_replies(raw: DataFrame, max_chars: int = MAX_CELL_CHARS) -> DataFrame:
-    """One row per parent: its replies in key order, joined; null where they exceed a cell.
-
-    Oversize parents are set aside first, so no task gathers more than `max_chars` characters for
-    one parent. Their ids are broadcast, so the replies of a hot parent are never shuffled. There
-    is at most one such id per `max_chars` characters of input: below 6 million (48 MB) for 100 TB.
-    """
-    candidates = reply_candidates(raw)
-    oversize = F.broadcast(oversize_parents(candidates, max_chars))
-    fitting = reply_lines(candidates.join(oversize, "parent_id", "left_anti"))
-    ordered = F.array_sort(F.collect_list(F.struct("reply_id", "reply")))
-    texts = F.transform(ordered, lambda r: r["reply"])
-    joined = fitting.groupBy("parent_id").agg(
-        F.array_join(texts, fv.REPLY_SEPARATOR).alias("agent_response")
-    )
-    # Usually no parent is oversize; adaptive execution then drops this branch unread.
-    beyond = reply_lines(candidates.join(oversize, "parent_id", "left_semi"))
-    unjoined = beyond.select("parent_id", F.lit(None).cast("string").alias("agent_response"))
-    return joined.unionByName(unjoined.distinct())
-
-
-def reply_parts(raw: DataFrame, part_chars: int = MAX_CELL_CHARS) -> DataFrame:
+def reply_parts(raw: DataFrame, part_chars: int = PART_CHARS) -> DataFrame:
     """The joined text of every parent as ordered parts: parent_id, part_no, replies, part.
 
     Each reply's part follows from the characters that precede it, found by a running total
@@ -82,10 +49,11 @@ def reply_parts(raw: DataFrame, part_chars: int = MAX_CELL_CHARS) -> DataFrame:
     Joining a parent's parts with the reply separator gives its whole text.
     """
     gap = len(fv.REPLY_SEPARATOR)
-    lines = reply_lines(reply_candidates(raw))
+    # the running total reads its input several times: clean the texts once
+    lines = staged(reply_lines(reply_candidates(raw)), "reply-lines")
     sized = lines.withColumn("_chars", F.length("reply").cast("long") + gap)
     placed = running_total(sized, key="reply_id", weight="_chars", by=("parent_id",),
-                           out="_through")
+                           out="_through", tie=("reply",))
     numbered = placed.withColumn(
         "part_no", F.floor((F.col("_through") - F.col("_chars")) / F.lit(part_chars))
     )
@@ -97,22 +65,37 @@ def reply_parts(raw: DataFrame, part_chars: int = MAX_CELL_CHARS) -> DataFrame:
     )
 
 
-def attach_replies(tickets: DataFrame, raw: DataFrame,
-                   max_chars: int = MAX_CELL_CHARS) -> DataFrame:
-    """Left-join the joined replies; '' without a reply.
+def joined_parts(parts: DataFrame) -> DataFrame:
+    """One row per parent: its replies in key order, joined from the ordered parts.
 
-    A null `agent_response` means the replies exceed one cell: read them from `reply_parts`.
-    Both sides hold one row per key, so the join cannot skew.
+    Every parent is joined, whatever its size; a text beyond what one cell can hold (2 GB) fails the
+    job instead of being dropped.
     """
-    joined = joined_replies(raw, max_chars).select(
-        F.col("parent_id").alias("tweet_id"), "agent_response", F.lit(True).alias("_matched")
+    ordered = F.array_sort(F.collect_list(F.struct("part_no", "part")))
+    texts = F.transform(ordered, lambda p: p["part"])
+    return parts.groupBy("parent_id").agg(
+        F.array_join(texts, fv.REPLY_SEPARATOR).alias("agent_response")
     )
-    response = F.when(F.col("_matched"), F.col("agent_response")).otherwise(F.lit(""))
-    return tickets.join(joined, "tweet_id", "left").select(
-        *tickets.columns, response.alias("agent_response")
+
+
+def joined_replies(raw: DataFrame, part_chars: int = PART_CHARS) -> DataFrame:
+    """One row per parent with the joined text of all its replies."""
+    return joined_parts(reply_parts(raw, part_chars))
+
+
+def attach_parts(tickets: DataFrame, parts: DataFrame) -> DataFrame:
+    """Left-join the joined replies; '' without a reply. Both sides hold one row per key."""
+    joined = joined_parts(parts).withColumnRenamed("parent_id", "tweet_id")
+    return tickets.join(joined, "tweet_id", "left").withColumn(
+        "agent_response", F.coalesce("agent_response", F.lit(""))
     )
 
 
+def attach_replies(tickets: DataFrame, raw: DataFrame, part_chars: int = PART_CHARS) -> DataFrame:
+    """Tickets with the joined text of all their replies in `raw`."""
+    return attach_parts(tickets, reply_parts(raw, part_chars))
+
+
 def reply_coverage(tickets: DataFrame, raw: DataFrame) -> DataFrame:
     """One row: tickets, tickets with a reply, and their share; 0 for an empty table.
 

@@ -1,16 +1,15 @@
 """Cosine top-k of query vectors against a vector table.
 
-Two exact forms. Few queries: they are broadcast (size checked) and every partition of the
-corpus keeps its own best k, so the corpus is neither shuffled nor copied. Many queries: both
-sides are cut into blocks of bounded size and each pair of blocks yields its best k. Neither form
-ever emits all pairs.
+Queries and corpus meet in groups of bounded size: the corpus is cut into blocks by a hash of the
+id, the queries into groups, and each (query group, block) pair yields its best k per query. With no
+more queries than one group holds, which is the usual case, no corpus row is copied. Candidates
+are merged in two steps. Nothing goes through the driver and no pair of rows is emitted.
 """
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -18,14 +17,15 @@ from pyspark.sql import functions as F
 from ticketloom import fixed_values as fv
 from ticketloom.sources.vector_table import SHARD_POINTS, shard_of
 
-BROADCAST_BYTES = 64 << 20
 PAIR_BUDGET = 1 << 22
 BLOCK_ROWS = 20_000
+GROUP_QUERIES = 100_000
+MERGED_BLOCKS = 64
 MANY = 4
 SLACK = 1e-9
 DIGITS = 10  # similarities are compared at this precision, so equal vectors tie exactly
 
-HIT_FIELDS = "query_id long, hit_id long, similarity double"
+HIT_FIELDS = "query_id long, hit_id long, similarity double, block long"
 
 
 @dataclass
@@ -102,10 +102,16 @@ def scan_block(best: Best, queries: np.ndarray, query_ids: np.ndarray, which: np
 
 
 def ranked_hits(hits: DataFrame, k: int) -> DataFrame:
-    """Global best k per query from per-task candidates; ties go to the smaller id."""
-    order = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "hit_id")
-    return (
-        hits.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    """Global best k per query from the blocks' candidates; ties go to the smaller id.
+
+    The first step merges MERGED_BLOCKS blocks at a time, so the second sees few rows per query.
+    """
+    order = (F.desc("similarity"), "hit_id")
+    some = Window.partitionBy("query_id", F.floor(F.col("block") / MERGED_BLOCKS)).orderBy(*order)
+    near = hits.withColumn("rank", F.row_number().over(some)).filter(F.col("rank") <= k)
+    every = Window.partitionBy("query_id").orderBy(*order)
+    return near.withColumn("rank", F.row_number().over(every)).filter(F.col("rank") <= k).select(
+        "query_id", "hit_id", "similarity", "rank"
     )
 
 
@@ -114,104 +120,68 @@ def check_k(k: int) -> None:
         raise ValueError(f"k must be at least 1, not {k}")
 
 
-def fetch_small(queries: DataFrame, dim: int, limit_bytes: int = BROADCAST_BYTES):
-    """The query vectors as an Arrow table when they fit the broadcast limit, else None.
-
-    Never fetches more than the limit and one row.
-    """
-    most = limit_bytes // (8 * dim)
-    table = queries.limit(most + 1).toArrow()
-    return table if table.num_rows <= most else None
+def as_sides(queries: DataFrame, corpus: DataFrame, query_id: str, query_vector: str,
+             hit_id: str, hit_vector: str) -> tuple[DataFrame, DataFrame]:
+    """(query_id, vector) and (hit_id, vector), rows without a vector left out."""
+    asked = queries.select(
+        F.col(query_id).cast("long").alias("query_id"), F.col(query_vector).alias("asked")
+    ).filter(F.col("asked").isNotNull())
+    stored = corpus.select(
+        F.col(hit_id).cast("long").alias("hit_id"), F.col(hit_vector).alias("vector"),
+        *([F.col("cell").cast("long").alias("cell")] if "cell" in corpus.columns else []),
+    ).filter(F.col("vector").isNotNull())
+    return asked, stored
 
 
 def top_k(queries: DataFrame, corpus: DataFrame, dim: int, k: int = fv.TOP_K,
           floor: float = fv.SIMILARITY_FLOOR, query_id: str = "query_id",
           query_vector: str = "vector", hit_id: str = "point_id",
           hit_vector: str = "vector", skip_same_id: bool = False,
-          limit_bytes: int = BROADCAST_BYTES, block_rows: int = BLOCK_ROWS) -> DataFrame:
+          block_rows: int = BLOCK_ROWS, group_queries: int = GROUP_QUERIES) -> DataFrame:
     """The k most similar corpus rows of every query with similarity >= floor.
 
-    Returns query_id, hit_id, similarity, rank. Vectors need not be normalised.
+    Returns query_id, hit_id, similarity, rank. Vectors need not be normalised. A block of
+    `block_rows` rows and a group of `group_queries` queries are what one task holds at once.
     """
     check_k(k)
-    asked = queries.select(
-        F.col(query_id).cast("long").alias("query_id"), F.col(query_vector).alias("vector")
-    ).filter(F.col("vector").isNotNull())
-    stored = corpus.select(
-        F.col(hit_id).cast("long").alias("hit_id"), F.col(hit_vector).alias("vector")
-    ).filter(F.col("vector").isNotNull())
-    table = fetch_small(asked, dim, limit_bytes)
-    if table is not None:
-        hits = _scan_with_broadcast(table, stored, k, floor, skip_same_id)
-    else:
-        hits = _scan_by_blocks(asked, stored, k, floor, skip_same_id, block_rows)
-    return ranked_hits(hits, k)
-
-
-def _scan_with_broadcast(table, stored, k, floor, skip_same_id) -> DataFrame:
-    spark = stored.sparkSession
-    matrix = (
-        unit_rows(vectors_of(table["vector"].combine_chunks())) if table.num_rows
-        else np.empty((0, 0))
-    )
-    shared = spark.sparkContext.broadcast((table["query_id"].to_numpy(), matrix))
-
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        query_ids, queries = shared.value
-        everyone = np.arange(len(query_ids))
-        best = Best.empty(len(query_ids))
-        for batch in batches:
-            if batch.num_rows and len(query_ids):
-                best = scan_block(best, queries, query_ids, everyone,
-                                  batch["hit_id"].to_numpy(), unit_rows(vectors_of(batch["vector"])),
-                                  k, floor, skip_same_id)
-        yield pa.RecordBatch.from_pydict({
-            "query_id": query_ids[best.query] if len(query_ids) else best.query,
-            "hit_id": best.hit,
-            "similarity": best.similarity,
-        })
+    asked, stored = as_sides(queries, corpus, query_id, query_vector, hit_id, hit_vector)
+    groups, blocks = pieces_of(asked, group_queries), pieces_of(stored, block_rows)
+    left = asked.withColumn("_g", piece("query_id", groups)).withColumn("_b", every(blocks))
+    right = stored.withColumn("_b", piece("hit_id", blocks)).withColumn("_g", every(groups))
+    return ranked_hits(scanned(left, right, ["_b", "_g"], k, floor, skip_same_id), k)
 
-    return stored.mapInArrow(scan, HIT_FIELDS)
 
+def pieces_of(df: DataFrame, rows: int) -> int:
+    return max(1, -(-df.count() // rows))
 
-def _scan_by_blocks(asked, stored, k, floor, skip_same_id, block_rows) -> DataFrame:
-    """Blocks follow a hash of the id, so copies of one vector spread over all of them."""
-    def blocks(df: DataFrame) -> int:
-        return max(1, -(-df.count() // block_rows))
 
-    query_blocks, corpus_blocks = blocks(asked), blocks(stored)
+def piece(column: str, n: int) -> Column:
+    """A piece number by the id's hash, so copies of one vector spread over all of them."""
+    return F.pmod(F.xxhash64(column), F.lit(n)).cast("long")
 
-    def block_of(column: str, n: int) -> Column:
-        return F.pmod(F.xxhash64(column), F.lit(n)).cast("int")
 
-    def every(n: int) -> Column:
-        return F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+def every(n: int) -> Column:
+    return F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
 
-    left = asked.withColumn("_q", block_of("query_id", query_blocks)).withColumn(
-        "_c", every(corpus_blocks)
-    )
-    right = stored.withColumn("_c", block_of("hit_id", corpus_blocks)).withColumn(
-        "_q", every(query_blocks)
-    )
 
-    def scan(key, q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
-        ids = q["query_id"].to_numpy()
-        best = Best.empty(len(ids))
-        if len(q) and len(c):
+def scanned(left: DataFrame, right: DataFrame, keys: Sequence[str], k: int, floor: float,
+            skip_same_id: bool) -> DataFrame:
+    """The best k of every query in each group of (queries, corpus block) that share `keys`."""
+    def scan(key, queries: pa.Table, corpus: pa.Table) -> pa.Table:
+        ids, best = np.empty(0, np.int64), Best.empty(0)
+        if queries.num_rows and corpus.num_rows:
+            ids = queries["query_id"].to_numpy()
             best = scan_block(
-                best, unit_rows(np.stack(q["vector"]).astype(np.float64)), ids,
-                np.arange(len(ids)), c["hit_id"].to_numpy(),
-                unit_rows(np.stack(c["vector"]).astype(np.float64)), k, floor, skip_same_id,
+                Best.empty(len(ids)), unit_rows(vectors_of(queries["asked"].combine_chunks())), ids,
+                np.arange(len(ids)), corpus["hit_id"].to_numpy(),
+                unit_rows(vectors_of(corpus["vector"].combine_chunks())), k, floor, skip_same_id,
             )
-        return pd.DataFrame({
+        return pa.table({
             "query_id": ids[best.query], "hit_id": best.hit, "similarity": best.similarity,
+            "block": np.full(len(best.hit), key[0].as_py(), np.int64),
         })
 
-    return (
-        left.groupBy("_q", "_c")
-        .cogroup(right.groupBy("_q", "_c"))
-        .applyInPandas(scan, HIT_FIELDS)
-    )
+    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(scan, HIT_FIELDS)
 
 
 def unit_vector(vector: Column) -> Column:

@@ -11,7 +11,7 @@ from ticketloom.functions.features import feature_table
 from ticketloom.functions.rules import TRIAGE_RULES, RuleSet, label_table
 from ticketloom.operators.cleaning import cleaning_counts, tidy_tickets
 from ticketloom.operators.profiling import percent, with_one_row
-from ticketloom.operators.replies import attach_replies, reply_parts
+from ticketloom.operators.replies import attach_parts, attach_replies, reply_parts
 from ticketloom.operators.routing import other_handles
 from ticketloom.sources.tables import write_document, write_table
 
@@ -30,8 +30,8 @@ def clean_tickets(raw: DataFrame, brands: Sequence[str] = fv.BRANDS) -> DataFram
 
 
 def coverage_of(cleaned: DataFrame) -> DataFrame:
-    """Reply coverage read off a clean table; a null response is one too long for a cell."""
-    answered = F.col("agent_response").isNull() | (F.length("agent_response") > 0)
+    """Reply coverage read off a clean table."""
+    answered = F.length("agent_response") > 0
     counts = cleaned.agg(F.count_if(answered).alias("with_agent_response"),
                          F.count("*").alias("_n"))
     return counts.select(
@@ -67,14 +67,11 @@ def stats_document(counts: DataFrame, coverage: DataFrame, handles: DataFrame,
 def prepare(raw: DataFrame, out: str, brands: Sequence[str] = fv.BRANDS,
             rules: RuleSet = TRIAGE_RULES) -> Prepared:
     """Run every stage once. Each stage is written and the next one starts from its files."""
-    cleaned = write_table(clean_tickets(raw, brands), f"{out}/cleaned")
+    raw = write_table(raw, f"{out}/raw")  # a CSV is parsed once
+    parts = write_table(reply_parts(raw), f"{out}/reply_parts")
+    cleaned = write_table(attach_parts(tidy_tickets(raw, brands), parts), f"{out}/cleaned")
     labeled = write_table(label_table(cleaned, "text", rules), f"{out}/labeled")
     features = write_table(feature_table(labeled), f"{out}/features")
-    oversize = cleaned.filter(F.col("agent_response").isNull()).select("tweet_id")
-    if oversize.limit(1).count():
-        parents = oversize.withColumnRenamed("tweet_id", "in_response_to_tweet_id")
-        replies = raw.join(parents, "in_response_to_tweet_id", "left_semi")
-        write_table(reply_parts(replies), f"{out}/reply_parts")
     stats = stats_document(
         cleaning_counts(raw, brands), coverage_of(cleaned), other_handles(raw, brands), labeled
     )

@@ -125,11 +125,15 @@ def metrics_document(trained: Trained, columns: Sequence[str] = fv.FEATURES) ->
     )
 
 
+def save_trained(trained: Trained, out: str) -> None:
+    """The selected model and the metrics of all."""
+    save_model(trained.models[trained.best], fv.FEATURES, out, trained.split.sparkSession)
+    write_document(metrics_document(trained), f"{out}/metrics")
+
+
 def train_and_save(features: DataFrame, out: str, **options) -> Trained:
     trained = train(features, **options)
-    spark = features.sparkSession
-    save_model(trained.models[trained.best], fv.FEATURES, out, spark)
-    write_document(metrics_document(trained), f"{out}/metrics")
+    save_trained(trained, out)
     return trained
 
 

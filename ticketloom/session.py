@@ -1,5 +1,6 @@
 """Session defaults for local runs and the shared scratch folder."""
 
+import re
 import tempfile
 import uuid
 import zipfile
@@ -48,11 +49,11 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     """A fresh path for intermediate tables and stream checkpoints.
 
     It lies in the folder the cluster names in `spark.checkpoint.dir`, which every executor can
-    reach. Only a single-machine session may fall back to a temporary folder.
+    reach. Only a session that runs in one process may fall back to a temporary folder.
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
-        if not spark.sparkContext.master.startswith("local"):
+        if not re.match(r"local($|\[)", spark.sparkContext.master):
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
         base = tempfile.mkdtemp(prefix="ticketloom-")
     return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"

@@ -133,9 +133,11 @@ def start_retrieval(queries: DataFrame, vectors: DataFrame, path: str, checkpoin
     return start_batches(queries, search, checkpoint)
 
 
-def finish(query: StreamingQuery, seconds: int = 600) -> None:
-    """Wait for a bounded run; fail when it fails or does not end in time."""
-    if not query.awaitTermination(seconds):
+def finish(query: StreamingQuery, seconds: int | None = None) -> None:
+    """Wait for a bounded run, as long as it takes unless `seconds` is given; fail when it fails."""
+    if seconds is None:
+        query.awaitTermination()
+    elif not query.awaitTermination(seconds):
         query.stop()
         raise TimeoutError(f"stream did not finish in {seconds} s")
 
