@@ -15,9 +15,12 @@ def bag(text):
 
 
 def probability_jaccard(a, b):
-    total = 0.0
+    total, known = 0.0, {}
     for d in a.keys() & b.keys():
-        total += 1 / sum(max(a[e] / a[d], b[e] / b[d]) for e in a.keys() | b.keys())
+        pair = (a[d], b[d])
+        if pair not in known:
+            known[pair] = 1 / sum(max(a[e] / a[d], b[e] / b[d]) for e in a.keys() | b.keys())
+        total += known[pair]
     return total
 
 

@@ -2,6 +2,7 @@ import random
 
 import numpy as np
 import plain
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -31,7 +32,7 @@ def test_word_encoder_equals_whole_texts():
     pieces = ["the", "Don't", " ", "  ", "\n", "\t", " ", "́", "é", "ΑΣ", "é", "!!", "3rd",
               "<|endoftext|>", "<|startoftext|>", "中文", "\x1c", " ", "İ", "x'll", "🙂", "\r\n", "_", "\x00"]
     texts = ["".join(rng.choice(pieces) for _ in range(rng.randrange(12))) for _ in range(3000)]
-    coded = token_codes.WordEncoder(PATH)(texts)
+    coded = token_codes.WordEncoder(PATH)(pa.array(texts))
     for text, ids in zip(texts, coded):
         want = TOKENIZER.encode(text, add_special_tokens=False).ids
         assert np.frombuffer(ids, "<u4").tolist() == want, repr(text)

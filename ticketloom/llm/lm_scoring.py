@@ -209,7 +209,47 @@ def with_losses(docs: DataFrame, target_keys: DataFrame, key: str = "doc_id", te
 
 
 def digest(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """One row per document; the target is what labels.quality marks with 1."""
+    """One row per document, losses at six digits; the target is what labels.quality marks with 1."""
     found = with_losses(docs, labels.filter(F.col("quality") == 1).select("doc_id"), carry=["doc_id"])
     return found.select("doc_id", "n_tokens", *(
-        F.round(c, 9).alias(c) for c in ("ce_target", "ce_background", "ce_difference")))
+        F.round(c, 6).alias(c) for c in ("ce_target", "ce_background", "ce_difference")))
+
+
+ORACLE = r"""
+WITH docs AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[ \t\n\v\f\r\x00]+'),
+      lambda x: x <> '') AS w,
+    doc_id IN (SELECT doc_id FROM labels WHERE quality = 1 AND doc_id IS NOT NULL) AS t FROM documents
+), tok AS (
+  SELECT doc_id, t, p, w[p] AS w FROM (SELECT *, unnest(range(1, len(w) + 1)) AS p FROM docs)
+), least AS (
+  SELECT greatest(2, 1e-6 * count(*)) AS c, count(*) AS n, count(*) FILTER (t) AS nt FROM tok
+), known AS (
+  SELECT w FROM tok GROUP BY w HAVING count(*) >= (SELECT c FROM least)
+), named AS (
+  SELECT doc_id, t, p, coalesce(known.w, chr(10)) AS w FROM tok LEFT JOIN known USING (w)
+), pair AS (
+  SELECT doc_id, t, coalesce(lag(w) OVER (PARTITION BY doc_id ORDER BY p), '') AS h, w FROM named
+), word AS (
+  SELECT w, (count(*) + 1) / ((SELECT n FROM least) + (SELECT count(*) FROM known) + 1) AS b,
+    (count(*) FILTER (t) + 1) / ((SELECT nt FROM least) + (SELECT count(*) FROM known) + 1) AS g
+  FROM named GROUP BY w
+), counts AS (
+  SELECT h, w, count(*) AS n, count(*) FILTER (t) AS nt FROM pair GROUP BY h, w
+), head AS (
+  SELECT h, greatest(sum(n), 1) AS c, greatest(sum(nt), 1) AS ct,
+    coalesce(sum(n) FILTER (n >= (SELECT c FROM least)), 0) AS k,
+    coalesce(sum(nt) FILTER (n >= (SELECT c FROM least)), 0) AS kt FROM counts GROUP BY h
+), loss AS (
+  SELECT h, w,
+    -ln((1 - 0.6e0 * k / c) * b + CASE WHEN n >= (SELECT c FROM least) THEN 0.6e0 * n / c ELSE 0 END) AS b,
+    -ln((1 - 0.6e0 * kt / ct) * g + CASE WHEN n >= (SELECT c FROM least) THEN 0.6e0 * nt / ct ELSE 0 END)
+      AS g
+  FROM counts JOIN head USING (h) JOIN word USING (w)
+), mean AS (
+  SELECT doc_id, avg(b) AS b, avg(g) AS g FROM pair JOIN loss USING (h, w) GROUP BY doc_id
+)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_tokens, round(coalesce(g, 0), 6) AS ce_target,
+  round(coalesce(b, 0), 6) AS ce_background, round(coalesce(g - b, 0), 6) AS ce_difference
+FROM docs LEFT JOIN mean USING (doc_id)
+"""

@@ -232,3 +232,35 @@ def contamination(docs: DataFrame, items: DataFrame, text: str = "text", item_id
 def digest(docs: DataFrame, items: DataFrame) -> DataFrame:
     """One row per document with its counts, without text or spans."""
     return contamination(docs, items, carry=["doc_id"]).drop("hit_spans")
+
+
+ORACLE = r"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
+), i AS (
+  SELECT CAST(item_id AS VARCHAR) AS item, regexp_extract_all(translate(coalesce(text, ''),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark WHERE item_id IS NOT NULL
+), iw AS (
+  SELECT DISTINCT item, n, array_to_string(w[p:p + n - 1], ' ') AS win
+  FROM (SELECT item, w, least(len(w), 10) AS n, unnest(range(1, len(w) - least(len(w), 10) + 2)) AS p
+        FROM i WHERE len(w) > 0)
+), dw AS (
+  SELECT doc_id, n, p, array_to_string(w[p:p + n - 1], ' ') AS win
+  FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS p
+        FROM d, (SELECT DISTINCT n FROM iw) WHERE len(w) >= n)
+), hit AS (
+  SELECT doc_id, n, p, win FROM dw SEMI JOIN iw USING (n, win)
+), words AS (
+  SELECT doc_id, count(DISTINCT place) AS n_hit
+  FROM (SELECT doc_id, unnest(range(p, p + n)) AS place FROM hit) GROUP BY doc_id
+), items AS (
+  SELECT doc_id, count(*) AS n_items, sha256(string_agg(item, ',' ORDER BY item)) AS h
+  FROM (SELECT DISTINCT doc_id, item FROM hit JOIN iw USING (n, win)) GROUP BY doc_id
+)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit,
+  coalesce(n_items, 0) AS n_items, coalesce(h, sha256('')) AS items_sha256,
+  coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)
+"""
