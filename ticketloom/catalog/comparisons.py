@@ -116,8 +116,9 @@ def audit_append(spark, sf_dir):
 
 def audit_rollup(spark, sf_dir):
     rolled = au.roll_up(log_records(spark, sf_dir))
+    costs = [f"total_{c}" for c in au.COSTS]
     return rolled.select("calls", "low_similarity_calls", "low_similarity_pct", "compared",
-                         "agreed", F.round("total_llm_cost_usd", 4).alias("total_llm_cost_usd"))
+                         "agreed", *[F.round(c, 4).alias(c) for c in costs])
 
 
 def latency_quantiles(spark, sf_dir):
@@ -203,6 +204,7 @@ ORACLES = {
           100e0 * avg(low_similarity::int) as low_similarity_pct,
           count(*) filter (where ml_label <> 'UNAVAILABLE') as compared,
           count(*) filter (where ml_label = llm_label) as agreed,
+          round(sum(cost_usd), 4) as total_rag_cost_usd, 0e0 as total_non_rag_cost_usd,
           round(sum(cost_usd), 4) as total_llm_cost_usd from costed""",
     "latency_quantiles": f"""with {sql.PARSED}, l as (
           select 'rag_latency_ms' as metric, rag_latency_ms as v from log

@@ -51,6 +51,14 @@ def stage_tables(spark, sf_dir):
     return rows.select("tweet_id", "priority", "score")
 
 
+def stage_table_rows(spark, sf_dir):
+    """The whole labelled table written, checked and read back."""
+    path = scratch_path(spark, "labeled-whole")
+    write_table(labeled_tickets(spark, sf_dir), path)
+    return read_table(spark, path, columns=("tweet_id", "priority")).select(
+        "tweet_id", "airline", "text", "score", "priority")
+
+
 def stats_document(spark, sf_dir):
     """The stats document written as JSON, read back and flattened."""
     raw = raw_messages(spark, sf_dir)
@@ -158,8 +166,7 @@ def reply_join(spark, sf_dir):
 
 def coverage(spark, sf_dir):
     raw = raw_messages(spark, sf_dir)
-    counts = rp.reply_coverage(cl.tidy_tickets(raw, keep=("tweet_id", "text")), raw)
-    return counts.select("final_count", "with_agent_response")
+    return rp.reply_coverage(cl.tidy_tickets(raw, keep=("tweet_id", "text")), raw)
 
 
 def rule_flags(spark, sf_dir):
@@ -198,7 +205,7 @@ def filled_features(spark, sf_dir):
     """Features of the raw messages with gaps, filled with 0."""
     raw = raw_messages(spark, sf_dir).select("tweet_id", "inbound", "text")
     gaps = add_features(raw).withColumn("word_count", F.when(F.col("inbound"), F.col("word_count")))
-    return fill_missing_features(gaps).select("tweet_id", "word_count", "text_length")
+    return fill_missing_features(gaps).drop("inbound", "text")
 
 
 def payloads(spark, sf_dir):
@@ -224,7 +231,7 @@ def head_rows(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (
-    csv_round_trip, stage_tables, stats_document, direction_rows, routed, routed_by_table,
+    csv_round_trip, stage_tables, stage_table_rows, stats_document, direction_rows, routed, routed_by_table,
     routed_counts, clean_texts, clean_pages, junk_filter, dedup_first, document_dedup,
     duplicates_removed, funnel, reply_lines, reply_concat, reply_parts, conversation_replies,
     reply_join, coverage, rule_flags, score, raw_labels, brand_priorities, features,
@@ -249,6 +256,8 @@ ORACLES = {
         from raw""",
     "stage_tables": f"""with {sql.LABELED_ONLY}
         select tweet_id, priority, score from labeled order by tweet_id limit 50""",
+    "stage_table_rows": f"""with {sql.LABELED_ONLY}
+        select tweet_id, airline, text, score, priority from labeled""",
     "stats_document": f"""{FUNNEL_SQL},
         {sql.REPLIES}, {sql.labeled_from('firsts')},
         handles as (select airline as handle, count(*) as n from inbound_rows
@@ -312,7 +321,9 @@ ORACLES = {
     "reply_join": f"with {sql.TICKETS} select * from tickets",
     "coverage": f"""with {sql.TICKETS}
         select count(*) as final_count, count(*) filter (where agent_response <> '')
-          as with_agent_response from tickets""",
+          as with_agent_response,
+          round(100e0 * count(*) filter (where agent_response <> '') / count(*), 1)
+          as agent_response_pct from tickets""",
     "rule_flags": f"""with {sql.LABELED_ONLY}
         select tweet_id, has_critical_signal, has_urgency_keywords, has_delay, has_profanity,
           has_sarcasm, exclamation_count, question_count, caps_ratio from labeled""",
@@ -330,8 +341,8 @@ ORACLES = {
     "filled_features": f"""with {sql.MESSAGES_SQL},
         filled as (select tweet_id, inbound, coalesce(text, '') as text from raw),
         f as (select tweet_id, inbound, {sql.features('text')} from filled)
-        select tweet_id, case when inbound then word_count else 0 end as word_count, text_length
-        from f""",
+        select * exclude (inbound)
+          replace (case when inbound then word_count else 0 end as word_count) from f""",
     "payloads": f"""with {sql.LABELED}
         select tweet_id, null::bigint as customer_id, airline, original_text, agent_response,
           '[' || airline || '] ' || text as chunk_text, priority,

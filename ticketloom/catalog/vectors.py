@@ -128,6 +128,17 @@ def populate_tickets(spark, sf_dir):
                          F.size("vector").alias("dim"))
 
 
+def populate_once(spark, sf_dir):
+    """Points after a first fill and after a second one, which leaves a filled table alone."""
+    path = scratch_path(spark, "once")
+    labeled = staged(labeled_tickets(spark, sf_dir), "labeled-once")
+    first, encoder = populate(labeled, path)
+    second, _ = populate(labeled.filter(F.col("tweet_id") % 2 == 0), path, encoder)
+    return vt.read(spark, path).agg(F.count("*").alias("points")).select(
+        "points", F.lit(first).cast("long").alias("first_fill"),
+        F.lit(second).cast("long").alias("second_fill"))
+
+
 def retrieve_by_text(spark, sf_dir):
     """The most similar tickets of every clean ticket's text, itself included."""
     vectors, encoder = filled_table(spark, sf_dir)
@@ -212,7 +223,7 @@ def guard_prompts(spark, sf_dir):
 
 QUERIES = {f.__name__: f for f in (
     cosine_topk, cosine_topk_blocks, low_similarity, hit_lists, normalised, upsert, point_count,
-    chunk_texts, embed_hash, embed_documents, populate_tickets, retrieve_by_text, responses,
+    chunk_texts, embed_hash, embed_documents, populate_tickets, populate_once, retrieve_by_text, responses,
     cell_topk, cell_topk_all, cell_recall, context_block, answer_prompts, label_prompts,
     guard_prompts,
 )}
@@ -267,6 +278,8 @@ ORACLES = {
     "populate_tickets": f"""with {sql.CLEANED}
         select row_number() over (order by tweet_id) - 1 as point_id, tweet_id,
           '[' || airline || '] ' || text as chunk_text, {fv.VECTOR_DIM} as dim from firsts""",
+    "populate_once": f"""with {sql.CLEANED} select count(*) as points, count(*) as first_fill,
+        count(*) as second_fill from firsts""",
     "context_block": f"with {sql.LABELED_ONLY} select tweet_id, {block()} as context from labeled",
     "answer_prompts": f"""with {sql.LABELED_ONLY} select tweet_id, case when tweet_id % 3 > 0
           then {filled(fv.CONTEXT_PROMPT, context=block(), query='text')}
