@@ -13,10 +13,10 @@ HEADS = (
     "@AppleSupport ", "@AmazonHelp ", "", "  @Delta ", "http://t.co/ab @united ",
 )
 PHRASES = (
-    "thanks", "DM sent", "help", "ok", "", "my flight is delayed",
-    "still waiting 3 hours on hold", "I need a refund", "there is a medical emergency on board",
+    "thanks", "DM sent", "help", "ok", "", "our plane is delayed",
+    "still waiting 3 hours on hold", "I need a refund", "a medical emergency in row nine",
     "I am STRANDED at the gate", "missing", "WHY IS THIS SO LATE!!", "worst airline ever!! awful",
-    "oh great, wonderful service", "thanks for the lovely flight",
+    "oh great, wonderful service", "smooth trip, many thanks",
     "my bag is lost &amp; nobody answers?", "canceled again, 2 days now",
     "cancelled   my   trip http://t.co/xyz", "this is unacceptable", "REFUND MY DAMN MONEY!!",
     "seat issue, please fix?", "can you help me", "late crew", "nice crew today",
