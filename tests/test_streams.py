@@ -41,7 +41,7 @@ def test_short_delay_lets_late_copies_pass(spark, split_events):
     assert len(texts) > len(set(texts)) == 368
 
 
-def test_windows_in_complete_mode_equal_batch_and_append_emits_the_closed_ones(
+def test_merged_windows_equal_batch_and_append_emits_the_closed_ones(
         spark, sf, split_events):
     labeled = label_table(jobs.tidy_stream(message_stream(spark, split_events)))
     path = scratch_path(spark, "windows")

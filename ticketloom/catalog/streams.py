@@ -62,7 +62,7 @@ def stream_counts(spark, sf_dir):
     """Priority counts per brand and hour, kept in a table."""
     labeled = label_table(jobs.tidy_stream(message_stream(spark, sf_dir)))
     path = scratch_path(spark, "windows")
-    counts = jobs.windowed_counts(labeled, "created_at", "1 hour")
+    counts = jobs.windowed_counts(labeled, "created_at", "1 hour", delay="3650 days")
     jobs.finish(jobs.start_table(counts, path, f"{path}-checkpoint"))
     hour = F.date_format("window_start", "yyyy-MM-dd HH").alias("hour")
     return spark.read.parquet(path).select(hour, "airline", "priority", "tickets")

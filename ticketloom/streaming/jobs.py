@@ -17,6 +17,7 @@ from ticketloom.operators.similarity import top_k
 from ticketloom.plans.training import score_texts
 from ticketloom.session import scratch_path
 from ticketloom.sources.audit_log import stamped
+from ticketloom.sources.tables import path_exists, staged
 
 
 def message_stream(spark: SparkSession, path: str, schema, format: str = "parquet",
@@ -70,8 +71,8 @@ def windowed_counts(labeled: DataFrame, event_time: str, width: str = "1 hour",
                     delay: str | None = None) -> DataFrame:
     """Tickets per brand and priority in tumbling windows; counts combine before the shuffle.
 
-    Without a delay use complete or update mode. In append mode, windows behind the watermark
-    are emitted and those still open at the end of the input are not.
+    Without a delay use update mode; state then never ends. In append mode, windows behind the
+    watermark are emitted and those still open at the end of the input are not.
     """
     timed = labeled.withWatermark(event_time, delay) if delay else labeled
     return (
@@ -112,11 +113,28 @@ def start_batches(stream: DataFrame, handle: Callable[[DataFrame, int], None], c
     )
 
 
+WINDOW_KEYS = ("window_start", "airline", "priority")
+
+
 def start_table(counts: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Keep a table equal to the running result: complete mode, rewritten per batch."""
-    return start_batches(
-        counts, lambda df, _: df.write.mode("overwrite").parquet(path), checkpoint, "complete"
-    )
+    """Keep a table equal to the running windows: update mode, merged into the days it touches.
+
+    A micro-batch carries only the windows that changed. Their days are read, the changed windows
+    replaced, and those day folders overwritten; other days stay as they are. A repeated batch
+    writes the same rows again. With a watermark on `counts`, state ends with the delay.
+    """
+    def merge(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        changed = staged(batch.withColumn("day", F.to_date("window_start")), "changed")
+        if path_exists(spark, path):
+            old = spark.read.schema(changed.schema).parquet(path)
+            old = old.join(changed.select("day").distinct(), "day", "left_semi")
+            kept = old.join(changed.select(*WINDOW_KEYS), list(WINDOW_KEYS), "left_anti")
+            changed = staged(kept.select(*changed.columns).unionByName(changed), "merged")
+        changed.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(
+            "day").parquet(path)
+
+    return start_batches(counts, merge, checkpoint, "update")
 
 
 def start_retrieval(queries: DataFrame, vectors: DataFrame, path: str, checkpoint: str,
