@@ -20,6 +20,13 @@ def scope_guard(spark, sf_dir):
     return judged.select("query_id", "query", "reason", "message")
 
 
+def scope_guard_verdicts(spark, sf_dir):
+    """Both tiers of the guard: patterns, then the completions read as topic verdicts."""
+    triage = answering.screen(query_calls(spark, sf_dir).select("query_id", "query", "completion"),
+                              verdict="completion")
+    return triage.blocked.select("query_id", "reason", "code", "message", "hint")
+
+
 def screened(spark, sf_dir):
     """What became of every query: accepted, blocked or rejected."""
     triage = answering.screen(query_calls(spark, sf_dir).select("query_id", "query"))
@@ -132,7 +139,7 @@ def agreement_matrix(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (
-    scope_guard, screened, label_parse, token_cost, comparison, comparison_rows, audit_records,
+    scope_guard, scope_guard_verdicts, screened, label_parse, token_cost, comparison, comparison_rows, audit_records,
     audit_append, audit_rollup, latency_quantiles, agreement_matrix,
 )}
 
@@ -185,6 +192,12 @@ def comparison_sql() -> str:
 ORACLES = {
     "scope_guard": f"""with {sql.CALLS}, {GUARDED}
         select query_id, query, reason, case reason {MESSAGES} end as message from guarded""",
+    "scope_guard_verdicts": f"""with {sql.CALLS}, {GUARDED}, judged as (
+          select query_id, coalesce(reason,
+            case when starts_with(upper(substr(trim(completion), 1, 3)), 'NO') then 'off_topic' end)
+            as reason from guarded where {STRIPPED} <> '')
+        select query_id, reason, 'off_topic' as code, case reason {MESSAGES} end as message,
+          '{fv.SCOPE_HINT}' as hint from judged where reason is not null""",
     "screened": f"""with {sql.CALLS}, {GUARDED}
         select query_id, case when {STRIPPED} = '' then 'rejected'
           when reason is not null then 'blocked' else 'accepted' end as outcome from guarded""",

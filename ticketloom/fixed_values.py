@@ -111,6 +111,8 @@ BLOCK_MESSAGES = {
     "off_topic": "Your question doesn't appear to be about airline customer support.",
 }
 BLOCK_MESSAGE_DEFAULT = "Query is out of scope."
+BLOCK_CODE = "off_topic"
+SCOPE_HINT = "Ask about flights, bookings, baggage, refunds, delays or other airline service."
 GUARD_QUERY_CHARS = 400
 
 # --- fixed values: prompts ------------------------------------------------------------------

@@ -48,11 +48,23 @@ def block_message(reason: Column) -> Column:
     return F.when(reason.isNotNull(), message)
 
 
-def guarded(queries: DataFrame, query: str = "query") -> DataFrame:
-    """Add the block reason and message."""
-    return queries.withColumn("reason", guard_reason(F.col(query))).withColumn(
-        "message", block_message(F.col("reason"))
-    )
+def guarded(queries: DataFrame, query: str = "query", verdict: str | None = None) -> DataFrame:
+    """Add the block reason with its code, message and hint; null where a query may pass.
+
+    The fixed patterns come first. `verdict` names the column of a topic classifier's answers: an
+    explicit NO blocks what no pattern has blocked.
+    """
+    reason = guard_reason(F.col(query))
+    if verdict is not None:
+        second = F.when(~is_allowed(F.col(verdict)), F.lit(fv.BLOCK_CODE))
+        reason = F.coalesce(reason, second)
+    judged = queries.withColumn("reason", reason)
+    blocked = F.col("reason").isNotNull()
+    return judged.withColumns({
+        "code": F.when(blocked, F.lit(fv.BLOCK_CODE)),
+        "message": block_message(F.col("reason")),
+        "hint": F.when(blocked, F.lit(fv.SCOPE_HINT)),
+    })
 
 
 def split_blank(queries: DataFrame, query: str = "query") -> tuple[DataFrame, DataFrame]:

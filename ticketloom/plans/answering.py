@@ -23,12 +23,15 @@ class Triage:
     rejected: DataFrame
 
 
-def screen(queries: DataFrame) -> Triage:
-    """Blank queries are rejected, guarded ones blocked with a reason, the rest accepted."""
+def screen(queries: DataFrame, verdict: str | None = None) -> Triage:
+    """Blank queries are rejected, guarded ones blocked with a reason, the rest accepted.
+
+    `verdict` names a column of topic verdicts, the second tier of the guard.
+    """
     usable, rejected = pr.split_blank(queries)
-    judged = pr.guarded(usable)
+    judged = pr.guarded(usable, verdict=verdict)
     return Triage(
-        judged.filter(F.col("reason").isNull()).drop("reason", "message"),
+        judged.filter(F.col("reason").isNull()).drop("reason", "code", "message", "hint"),
         judged.filter(F.col("reason").isNotNull()),
         rejected,
     )
