@@ -77,12 +77,12 @@ def powers(base: int, n: int) -> np.ndarray:
             known = np.full(max(n, CHUNK_BYTES), base, dtype=np.uint64)
             known[0] = 1
             known = np.multiply.accumulate(known)
-        if n <= CHUNK_BYTES:
+        if n <= 4 * CHUNK_BYTES:
             _POWERS[base] = known
     return known[:n]
 
 
-def _chunk_end(fold: np.ndarray, data: np.ndarray, first: int) -> int:
+def chunk_end(fold: np.ndarray, data: np.ndarray, first: int) -> int:
     """Where a chunk that begins at `first` may end without cutting a word."""
     end = first + CHUNK_BYTES
     if end >= len(data):
@@ -104,7 +104,7 @@ class WordTable:
         hashes, starts, ends = [], [], []
         first = 0
         while first < len(data):
-            last = _chunk_end(fold, data, first)
+            last = chunk_end(fold, data, first)
             bytes_ = fold[data[first:last]]
             inside = bytes_ != 0
             begins = inside.copy()

@@ -37,8 +37,8 @@ MAGIC = b"DAC1"
 HEAD = struct.Struct("<4sIIIQI")
 SEGMENT_IDS = 1 << 20
 RANK_STEP = 512
-#: Words an encoding worker remembers before it starts afresh.
-CACHE_WORDS = 400_000
+#: Word parts an encoding worker remembers before it starts afresh.
+CACHE_PARTS = 1_500_000
 
 
 def levels_of(ids: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -129,32 +129,128 @@ class Segment:
         return out
 
 
+_SPACE, _LETTER, _PUNCT, _OTHER = range(4)
+_CLASS = np.full(256, _OTHER, dtype=np.uint8)
+_CLASS[[b for b in range(128) if chr(b).isalpha()]] = _LETTER
+_CLASS[[b for b in range(33, 127) if not chr(b).isalnum()]] = _PUNCT
+_CLASS[~arrays.TOKENS.astype(bool)] = _SPACE
+_LOWERED = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], dtype=np.uint8)
+
+
+def segments(data: np.ndarray, offsets: np.ndarray):
+    """Parts that texts fall into without changing their ids: (hash, first byte, last byte + 1, plain).
+
+    A part is a word between white space. A plain word, ASCII letters and then punctuation, is two
+    parts, and its letters count in lower case; other words keep their case.
+    """
+    breaks = np.zeros(len(data) + 1, dtype=bool)
+    breaks[offsets] = True
+    found, first = [], 0
+    while first < len(data):
+        last = arrays.chunk_end(arrays.TOKENS, data, first)
+        part = data[first:last]
+        kind = _CLASS[part]
+        inside = kind != _SPACE
+        edge = np.append(True, ~inside[:-1] | breaks[first + 1:last])
+        begins = np.flatnonzero(inside & edge)
+        if len(begins):
+            word = np.cumsum(inside & edge) - 1  # of each byte; blanks count to the word before them
+            letters = np.add.reduceat((kind == _LETTER).astype(np.int32), begins)
+            punct = np.add.reduceat((kind == _PUNCT).astype(np.int32), begins)
+            size = np.add.reduceat(inside.astype(np.int32), begins)
+            back = np.append(False, (kind[1:] == _LETTER) & (kind[:-1] == _PUNCT)) & ~edge
+            turns = np.add.reduceat(back.astype(np.int32), begins)
+            plain = (letters + punct == size) & (letters > 0) & (turns == 0) & (kind[begins] == _LETTER)
+            two = plain & (punct > 0)
+            at = np.sort(np.concatenate([begins, (begins + letters)[two]]))
+            owner = word[at]
+            ends = np.where(np.isin(at, begins) & two[owner], at + letters[owner],
+                            begins[owner] + size[owner])
+            folded = np.where(plain[np.maximum(word, 0)], _LOWERED[part], part)
+            folded = np.where(inside, folded, 0)
+            with np.errstate(over="ignore"):
+                weighed = folded.astype(np.uint64) * arrays.powers(arrays.STEP, len(part))
+                sums = np.add.reduceat(weighed, at) * arrays.powers(arrays.STEP_BACK, len(part))[at]
+            found.append((arrays.mix(sums), at + first, ends + first, plain[owner]))
+        first = last
+    if not found:
+        none = np.zeros(0, dtype=np.int64)
+        return np.zeros(0, dtype=np.uint64), none, none, none.astype(bool)
+    return tuple(np.concatenate(x) for x in zip(*found))
+
+
 class WordEncoder:
-    """Encodes texts word by word, remembering words.
+    """Encodes texts part by part, remembering parts by their 64-bit hash.
 
-    Valid for tokenizers whose merges never cross a space or a newline and which drop white space,
-    like the lower-casing word BPE: a text's ids are then those of its words in turn.
+    Valid for tokenizers that lower case, drop white space, and merge neither across white space nor
+    from letters into punctuation, like the word BPE: a text's ids are then those of its parts in
+    turn. Texts with a NUL byte, which hashes leave out, are encoded whole.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {"": b""}
+        self._forget()
+
+    def _forget(self):
+        self.hashes = np.zeros(0, dtype=np.uint64)
+        self.starts = self.sizes = np.zeros(0, dtype=np.int64)
+        self.ids = np.zeros(0, dtype=np.uint32)
+
+    def _encode(self, texts: list[str]) -> list[list[int]]:
+        out = []
+        for i in range(0, len(texts), 20_000):
+            some = self.tokenizer.encode_batch(texts[i:i + 20_000], add_special_tokens=False)
+            out += [coded.ids for coded in some]
+        return out
 
-    def __call__(self, texts: list[str]) -> list[bytes]:
+    def _places(self, hashes: np.ndarray) -> np.ndarray:
+        """Where the hashes are remembered; -1 for unknown ones."""
+        if not len(self.hashes):
+            return np.full(len(hashes), -1)
+        at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
+        return np.where(self.hashes[at] == hashes, at, -1)
+
+    def _learn(self, data: np.ndarray, hashes, first, last, plain):
+        raw = data.tobytes()
+        texts = [raw[a:b].lower().decode() if p else raw[a:b].decode("utf-8", "replace")
+                 for a, b, p in zip(first.tolist(), last.tolist(), plain.tolist())]
+        coded = self._encode(texts)
+        sizes = np.array([len(c) for c in coded], dtype=np.int64)
+        ids = np.fromiter((i for c in coded for i in c), dtype=np.uint32, count=int(sizes.sum()))
+        starts = np.cumsum(sizes) - sizes + len(self.ids)
+        order = np.argsort(np.concatenate([self.hashes, hashes]), kind="stable")
+        self.hashes = np.concatenate([self.hashes, hashes])[order]
+        self.starts = np.concatenate([self.starts, starts])[order]
+        self.sizes = np.concatenate([self.sizes, sizes])[order]
+        self.ids = np.concatenate([self.ids, ids])
+
+    def __call__(self, column: pa.Array) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
-        split = [text.replace("\n", " ").split(" ") for text in texts]
-        new = list({word for words in split for word in words} - self.known.keys())
-        if len(self.known) + len(new) > CACHE_WORDS:
-            new = list({word for words in split for word in words if word})
-            self.known = {"": b""}
-        for i in range(0, len(new), 20_000):
-            some = new[i:i + 20_000]
-            for word, coded in zip(some, self.tokenizer.encode_batch(some, add_special_tokens=False)):
-                self.known[word] = np.array(coded.ids, dtype="<u4").tobytes()
-        look = self.known.__getitem__
-        return [b"".join(map(look, words)) for words in split]
+        data, offsets = arrays.text_bytes(column)
+        hashes, first, last, plain = segments(data, offsets)
+        distinct, sample, place = np.unique(hashes, return_index=True, return_inverse=True)
+        known = self._places(distinct)
+        if len(self.hashes) + (known < 0).sum() > CACHE_PARTS:
+            self._forget()
+            known = self._places(distinct)
+        new = sample[known < 0]
+        if len(new):
+            self._learn(data, hashes[new], first[new], last[new], plain[new])
+            known = self._places(distinct)
+        at = known[place]
+        sizes = self.sizes[at]
+        ends = np.cumsum(sizes)
+        ids = self.ids[np.arange(ends[-1] if len(ends) else 0)
+                       + np.repeat(self.starts[at] - (ends - sizes), sizes)].astype("<u4").tobytes()
+        bounds = np.append(0, ends)[np.searchsorted(first, offsets)] * 4
+        out = [ids[a:b] for a, b in zip(bounds, bounds[1:])]
+        if (data == 0).any():
+            odd = [i for i, t in enumerate(column.to_pylist()) if t and "\0" in t]
+            for i, coded in zip(odd, self._encode([column[i].as_py() for i in odd])):
+                out[i] = np.array(coded, dtype="<u4").tobytes()
+        return out
 
 
 _ENCODERS: dict[str, WordEncoder] = {}
@@ -210,8 +306,7 @@ def write(docs: DataFrame, folder: str, make_encoder: Callable[[], Callable], ke
                 "n_ids": len(ids)}], schema=_MANIFEST)
 
         for piece in arrays.slices(batches, "text"):
-            texts = [t or "" for t in piece.column("text").to_pylist()]
-            for k, ids in zip(piece.column("key").to_pylist(), coder(texts)):
+            for k, ids in zip(piece.column("key").to_pylist(), coder(piece.column("text"))):
                 keys.append(k)
                 coded.append(ids + end)
                 size += len(ids) // 4 + 1
