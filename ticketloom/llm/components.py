@@ -32,8 +32,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     while (state := _state(now)) != before:
         before = state
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        large = staged(_stars(now, both, F.col("b") > F.col("a")), "large-star")
-        now = staged(_stars(large, large, F.lit(True)), "small-star")
+        large = _stars(now, both, F.col("b") > F.col("a"))
+        now = staged(_stars(large, large, F.lit(True)), "stars")
     roots = now.select(F.col("b").alias("node")).distinct().select(
         "node", F.col("node").alias("component"))
     return now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(roots)

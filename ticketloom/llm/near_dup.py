@@ -12,8 +12,8 @@ Texts with equal shingle weights are one representative. In each bucket every me
 with the first one, which links most groups at a linear number of pairs. Buckets whose other members
 still lie in several classes are compared in blocks of at most BLOCK by BLOCK signatures; only pairs
 that the signatures (at 5 standard errors below the threshold) leave possible and that are in
-different classes come out. They are verified best first, then all that still cross classes. All
-verification is exact, on whole texts. Classes are the connected components of the verified links.
+different classes come out: first each member's best one of a block, and, once these are verified and
+their classes merged, all that still cross classes. All verification is exact, on whole texts. Classes are the connected components of the verified links.
 
 A null text is a class of its own. Texts without words are alike only if equal. Repeated rows are
 kept and share a class. Class ids are the row numbers of their smallest row.
@@ -32,13 +32,15 @@ from pyspark.sql import types as T
 
 from ticketloom.llm import arrays
 from ticketloom.llm.components import components
-from ticketloom.llm.staging import staged
+from ticketloom.llm.staging import arrow_rows, staged
 
 SHINGLE = 5
 THRESHOLD = 0.8
 BANDS = 32
 ROWS = 5
 BLOCK = 64
+#: Rows of a batch that Python receives; a row may hold two whole texts.
+ARROW_ROWS = 500
 
 SIZE = BANDS * ROWS
 
@@ -186,11 +188,12 @@ def _possible(threshold: float) -> int:
     return math.floor(SIZE * threshold - 5 * math.sqrt(SIZE * threshold * (1 - threshold)))
 
 
-def crossing_pairs(members: DataFrame, least: int) -> DataFrame:
-    """Possible pairs of members of one bucket that lie in different components: (a, b, agree).
+def crossing_pairs(members: DataFrame, least: int, only_best: bool) -> DataFrame:
+    """Possible pairs of members of one bucket that lie in different components: (a, b).
 
     `members` has bucket, rep, component and _sketch. Buckets are cut into blocks of about BLOCK
-    members; a group is one pair of blocks.
+    members; a group is one pair of blocks. With `only_best` a group gives each member's most
+    agreeing partner alone, so at most as many pairs as it has members.
     """
     sizes = members.groupBy("bucket").agg(F.ceil(F.count(F.lit(1)) / F.lit(BLOCK)).alias("n"))
     placed = members.join(sizes, "bucket").withColumn(
@@ -205,41 +208,62 @@ def crossing_pairs(members: DataFrame, least: int) -> DataFrame:
         sketch = np.stack([np.frombuffer(x.as_py(), dtype=np.uint16) for x in table.column("_sketch")])
         rep, component, own = (table.column(c).to_numpy() for c in ("rep", "component", "own"))
         one_block = (table.column("i").to_numpy() == table.column("j").to_numpy()).all()
-        a, b, agree = [], [], []
+        a, b = [], []
         for x in range(len(rep)):
             n = (sketch == sketch[x]).sum(axis=1)
-            ok = (n >= least) & (component != component[x]) & (rep > rep[x])
+            ok = (n >= least) & (component != component[x])
             if not one_block:
                 ok &= own != own[x]
-            at = np.flatnonzero(ok)
-            a += [int(rep[x])] * len(at)
-            b += rep[at].tolist()
-            agree += n[at].tolist()
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()),
-                         "agree": pa.array(agree, pa.int64())})
+            if only_best:
+                at = [np.where(ok, n, -1).argmax()] if ok.any() else []
+            else:
+                at = np.flatnonzero(ok & (rep > rep[x]))
+            a += [int(min(rep[x], rep[y])) for y in at]
+            b += [int(max(rep[x], rep[y])) for y in at]
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    return spread.groupBy("bucket", "i", "j").applyInArrow(
-        compare, "a long, b long, agree long").distinct()
+    return spread.groupBy("bucket", "i", "j").applyInArrow(compare, "a long, b long").distinct()
 
 
-def _labelled(nodes: DataFrame, links: DataFrame, node: str) -> DataFrame:
-    """`nodes` with the component of `node`; a node without a link is its own."""
-    found = components(links).withColumnRenamed("node", "_n")
-    return nodes.join(found, F.col(node) == F.col("_n"), "left").withColumn(
-        "component", F.coalesce("component", F.col(node))).drop("_n")
+def _open_members(members: DataFrame, found: DataFrame, sketches: DataFrame) -> DataFrame:
+    """Members, the first ones aside, of buckets that reach into several components."""
+    others = _labelled(members.filter((F.col("rep") != F.col("first")) & (F.col("n") > 2)), found, "rep")
+    open_ = others.groupBy("bucket").agg(
+        F.min("component").alias("low"), F.max("component").alias("high"),
+        F.count(F.lit(1)).alias("m"), F.sum(F.xxhash64("rep").cast("decimal(38,0)")).alias("s"))
+    # the same members often share several bands: one bucket of each set is enough
+    open_ = open_.filter(F.col("low") != F.col("high")).groupBy("m", "s").agg(
+        F.min("bucket").alias("bucket")).select("bucket")
+    return others.join(open_, "bucket", "left_semi").join(sketches, "rep").select(
+        "bucket", "rep", "component", "_sketch")
 
 
-def _across(pairs: DataFrame, links: DataFrame) -> DataFrame:
-    """Pairs whose ends are not yet in one component."""
-    found = staged(components(links), "components")
-    for end in ("a", "b"):
-        pairs = pairs.join(found.select(F.col("node").alias(end), F.col("component").alias(f"c{end}")),
-                           end, "left")
-    return pairs.filter(F.coalesce("ca", "a") != F.coalesce("cb", "b")).drop("ca", "cb")
+def _labelled(rows: DataFrame, found: DataFrame, node: str, out: str = "component") -> DataFrame:
+    """`rows` with the component of `node`; a node without a link is its own."""
+    named = found.select(F.col("node").alias("_n"), F.col("component").alias("_c"))
+    return rows.join(named, F.col(node) == F.col("_n"), "left").withColumn(
+        out, F.coalesce("_c", F.col(node))).drop("_n", "_c")
+
+
+def _across(pairs: DataFrame, found: DataFrame) -> DataFrame:
+    """Pairs whose ends are not yet in one component, with both components."""
+    ends = _labelled(_labelled(pairs, found, "a", "ca"), found, "b", "cb")
+    return ends.filter(F.col("ca") != F.col("cb"))
 
 
-def links_between(reps: DataFrame, threshold: float) -> DataFrame:
-    """Verified links between representatives (_row, _bands, _sketch, _text)."""
+def _merged(found: DataFrame, links: DataFrame) -> DataFrame:
+    """Components after more links: only the components that these join are worked on."""
+    joined = _across(links, found).select("ca", "cb")
+    if joined.isEmpty():
+        return found
+    roots = staged(components(joined, "ca", "cb"), "merged")
+    new = roots.join(found.select(F.col("node").alias("_n")), F.col("node") == F.col("_n"), "left_anti")
+    moved = _labelled(found.withColumnRenamed("component", "old"), roots, "old").select("node", "component")
+    return staged(moved.unionByName(new), "components")
+
+
+def classes_of(reps: DataFrame, threshold: float) -> DataFrame:
+    """(node, component) of every representative (_row, _bands, _sketch, _text) that has a link."""
     buckets = reps.select(F.explode("_bands").alias("bucket"), F.col("_row").alias("rep"))
     full = buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("rep").alias("first"))
     members = staged(buckets.join(full.filter(F.col("n") > 1), "bucket"), "members")
@@ -248,26 +272,18 @@ def links_between(reps: DataFrame, threshold: float) -> DataFrame:
 
     first = members.filter(F.col("rep") != F.col("first")).select(
         F.col("first").alias("a"), F.col("rep").alias("b")).distinct()
-    pairs = _agreeing(first, sketches, least)
-    links = staged(verified(pairs, reps, threshold), "links-first")
+    links = staged(verified(_agreeing(first, sketches, least), reps, threshold), "links-first")
+    found = staged(components(links), "components")
 
-    others = _labelled(members.filter(F.col("rep") != F.col("first")), links, "rep")
-    open_ = others.groupBy("bucket").agg(
-        F.min("component").alias("low"), F.max("component").alias("high"),
-        F.count(F.lit(1)).alias("m"), F.sum(F.xxhash64("rep").cast("decimal(38,0)")).alias("s"))
-    # the same members often share several bands: one bucket of each set is enough
-    open_ = open_.filter(F.col("low") != F.col("high")).groupBy("m", "s").agg(
-        F.min("bucket").alias("bucket")).select("bucket")
-    rest = others.join(open_, "bucket", "left_semi").join(sketches, "rep").select(
-        "bucket", "rep", "component", "_sketch")
-    crossing = staged(crossing_pairs(rest, least), "crossing")
-    ends = crossing.select(F.col("a").alias("x"), "a", "b", "agree").unionByName(
-        crossing.select(F.col("b").alias("x"), "a", "b", "agree"))
-    best = ends.groupBy("x").agg(F.max(F.struct("agree", "a", "b")).alias("p"))
-    best = staged(best.select("p.a", "p.b").distinct(), "best")
-    links = links.unionByName(staged(verified(best, reps, threshold), "links-best"))
-    left = _across(crossing.select("a", "b").join(best, ["a", "b"], "left_anti"), links)
-    return links.unionByName(staged(verified(left, reps, threshold), "links-rest"))
+    best = staged(crossing_pairs(_open_members(members, found, sketches), least, True), "best")
+    if best.isEmpty():
+        return found
+    found = _merged(found, staged(verified(best, reps, threshold), "links-best"))
+    rest = crossing_pairs(_open_members(members, found, sketches), least, False)
+    rest = staged(rest.join(best, ["a", "b"], "left_anti"), "rest")
+    if rest.isEmpty():
+        return found
+    return _merged(found, staged(verified(rest, reps, threshold), "links-rest"))
 
 
 def _agreeing(pairs: DataFrame, sketches: DataFrame, least: int) -> DataFrame:
@@ -298,16 +314,19 @@ def with_classes(docs: DataFrame, text: str = "text", threshold: float = THRESHO
     kept = [c for c in (docs.columns if carry is None else carry) if c not in added]
     rows = docs.select(*[F.col(c).alias(f"c{i}") for i, c in enumerate(kept)],
                        F.col(text).cast("string").alias("_text"))
-    base = staged(signed_rows(rows, "_text").withColumn("_row", F.monotonically_increasing_id()),
-                  "signed")
+    spark = docs.sparkSession
+    with arrow_rows(spark, ARROW_ROWS):
+        base = staged(signed_rows(rows, "_text").withColumn("_row", F.monotonically_increasing_id()),
+                      "signed")
     keyed = base.filter(F.col("_key").isNotNull())
     firsts = keyed.groupBy("_key").agg(F.min("_row").alias("rep"))
     copies = staged(keyed.select("_row", "_key").join(firsts, "_key").select("_row", "rep"), "copies")
     reps = base.filter(F.col("_bands").isNotNull()).join(
         copies.filter(F.col("_row") == F.col("rep")).select("_row"), "_row", "left_semi").select(
         "_row", "_bands", "_sketch", "_text")
-    links = links_between(reps, threshold)
-    classes = staged(_labelled(copies, links, "rep").select("_row", "component"), "classes")
+    with arrow_rows(spark, ARROW_ROWS):
+        found = classes_of(reps, threshold)
+    classes = staged(_labelled(copies, found, "rep").select("_row", "component"), "classes")
     order = F.lit(0).alias("by") if first_by is None else F.col(f"c{kept.index(first_by)}").alias("by")
     ordered = classes.join(base.select("_row", order), "_row") if first_by else classes.withColumn("by", order)
     sizes = ordered.groupBy("component").agg(
