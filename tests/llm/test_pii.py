@@ -55,3 +55,17 @@ def test_redact_and_rows(spark):
 def test_long_text():
     text = ("x" * 50 + " a@b.co 4111111111111111 ") * 5000
     assert len(pii.find(text)) == 10_000
+
+
+def test_ibans_before_upper_case_words():
+    numbers = ["ES9121000418450200051332", "BE68 5390 0754 7034", "AT611904300234573201",
+               "PL61109010140000071219812874", "GB82 WEST 1234 5698 7654 32", "NO9386011117947"]
+    for number in numbers:
+        for after in ("", " BIC", " BIC ABNA", " KRS 12", " BANK OF", " A", ".", "\nBIC"):
+            spans = pii.find(f"IBAN {number}{after}")
+            assert [(k, a, b) for k, a, b, _ in spans] == [("iban", 5, 5 + len(number))], number + after
+    text = "IBAN BE68 5390 0754 7034 AT61 1904 3002 3457 3201 BIC"
+    assert pii.redact(text, pii.find(text)) == "IBAN [IBAN] [IBAN] BIC"
+    text = "IBAN XX12 ABCD ES91 2100 0418 4502 0005 1332 BIC"
+    assert pii.redact(text, pii.find(text)) == "IBAN XX12 ABCD [IBAN] BIC"
+    assert pii.find("IBAN ES9121000418450200051333 BIC") == []

@@ -4,7 +4,9 @@ Kinds, with what confirms a proposal:
 
 * email, ip, card, phone: the base kinds. Addresses have octets up to 255, cards have 14 to 19 digits
   and pass Luhn, phones have 10 to 15 digits. A confirmed base span is always reported.
-* iban: country code, check digits and up to 30 letters or digits that leave 1 modulo 97.
+* iban: country code, check digits and up to 30 letters or digits that leave 1 modulo 97. A proposal may
+  run into the words after it ("... 1332 BIC"), so its prefixes are tried too: the country's length first,
+  then the longest. Every place that could begin one is tried.
 * routing: nine digits passing the 3-7-1 checksum. Any ninth number or so passes it by chance, so
   it counts only if a context word stands nearby.
 * ssn: three, two and four digits in valid ranges; context decides as well.
@@ -50,6 +52,12 @@ _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?"
                    r"(?![A-Za-z0-9])", re.ASCII)
+#: Letters and digits of each country's account numbers.
+_IBAN_LENGTH = {country: n for n, countries in {
+    15: "NO", 16: "BE", 18: "DK FI FO GL NL", 19: "MK SI", 20: "AT BA EE KZ LT LU XK", 21: "CH HR LI LV",
+    22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ", 24: "AD CZ ES MD PK RO SA SE SK TN VG",
+    25: "PT", 26: "IS TR", 27: "FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HU LB PL", 29: "BR EG PS QA UA",
+    30: "JO KW MU", 31: "MT"}.items() for country in countries.split()}
 _ROUTING = re.compile(r"(?<![0-9])[0-9]{9}(?![0-9])")
 _SSN = re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")
 _CONTEXT = {kind: re.compile(r"(?<![a-z])(?:" + "|".join(words) + r")(?![a-z])")
@@ -111,6 +119,21 @@ def _emails(text: str):
             done = match.end()
 
 
+def _ibans(text: str):
+    """Spans that pass modulo 97; after a proposal that fails, the next may begin inside it."""
+    at = 0
+    while match := _IBAN.search(text, at):
+        start, found = match.start(), match.group()
+        length, ends = _IBAN_LENGTH.get(found[:2]), [len(found)]
+        while (end := found.rfind(" ", 0, ends[-1])) > 0:
+            ends.append(end)
+        ends.sort(key=lambda e: e - found.count(" ", 0, e) != length)
+        end = next((e for e in ends if mod97(found[:e])), None)
+        if end:
+            yield start, start + end
+        at = start + (end or 1)
+
+
 def _proposals(text: str):
     if "@" in text:
         for start, end in _emails(text):
@@ -127,9 +150,8 @@ def _proposals(text: str):
         for match in _PHONE.finditer(text):
             if 10 <= len(_only_digits(match.group())) <= 15:
                 yield "phone", *match.span()
-    for match in _IBAN.finditer(text):
-        if mod97(match.group()):
-            yield "iban", *match.span()
+    for start, end in _ibans(text):
+        yield "iban", start, end
     for match in _ROUTING.finditer(text):
         if aba(match.group()):
             yield "routing", *match.span()
