@@ -143,6 +143,13 @@ def test_probing_all_cells_is_exact_and_fewer_reads_less(spark, sf):
     assert ids(salted) == ids(exact)
 
 
+@pytest.mark.parametrize("size", ["sf0.01", "sf0.1"])
+def test_search_by_cell_finds_nine_tenths_of_the_exact_hits(spark, size):
+    found = cat.cell_recall(spark, f"/root/testdata/{size}").first()
+    print(size, found)
+    assert found["recall"] >= 0.9
+
+
 def test_hashing_encoder_gives_unit_vectors(spark, sf):
     rows = cat.embed_hash(spark, sf).collect()
     norms = np.linalg.norm(np.array([r["vector"] for r in rows]), axis=1)
