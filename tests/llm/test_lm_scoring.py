@@ -71,3 +71,24 @@ def test_spilled_counts_are_exact(spark, monkeypatch):
     want = lm_scoring.with_losses(df, keys).collect()
     monkeypatch.setattr(lm_scoring, "BROADCAST_KEYS", 3)
     assert sorted(map(tuple, lm_scoring.with_losses(df, keys).collect())) == sorted(map(tuple, want))
+
+
+def test_least_count_does_not_rise_with_the_corpus(spark):
+    # 2.1 million tokens: a share of one in a million would ask for three of a word or bigram
+    docs = [(1, "rare pair here"), (2, "rare pair there"), (3, "a b " * 1_050_000), (4, "b a rare")]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1)], "doc_id long, quality int")
+    plainly = [dict(doc_id=i, text=t) for i, t in docs]
+    check(lm_scoring.digest(df, labels).collect(), brute(plainly, {1}, share=0))
+
+
+def test_groups_do_not_change_scores(spark, monkeypatch):
+    docs = plain.rows("documents")[:80]
+    df = spark.createDataFrame([(d["doc_id"], d["text"], "x") for d in docs],
+                               "doc_id long, text string, _text string").repartition(3)
+    keys = df.filter("doc_id % 3 = 0").select("doc_id")
+    plainly = brute(docs, {d["doc_id"] for d in docs if d["doc_id"] % 3 == 0})
+    monkeypatch.setattr(lm_scoring, "GROUP_BYTES", 3_000)
+    found = lm_scoring.with_losses(df, keys)
+    assert found.columns[:3] == df.columns and {r["_text"] for r in found.collect()} == {"x"}
+    check(found.collect(), plainly, 2e-9)

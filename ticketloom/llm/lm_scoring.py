@@ -2,15 +2,19 @@
 
 The background is every document, the target those of them that are marked. Both models are bigram
 models over one vocabulary and one inventory of bigrams: tokens (between white space) and bigrams
-whose share of the background's tokens is at least LEAST_SHARE; the rest are one unknown token, or
-back off. The share bounds the tables at 1 / LEAST_SHARE entries whatever the corpus' size, so they
-can be broadcast; the counts behind them are exact and cover all documents.
+that the background holds at least LEAST_COUNT times, at every size; the rest are one unknown token,
+or back off. The counts are exact and cover all documents.
 
 P(w | h) = L c(h, w) / c(h) + (1 - L k(h) / c(h)) P(w), k(h) the kept bigrams' count after h,
 P(w) = (c(w) + 1) / (n + size), with counts of the model's own corpus. A document's score is the
 mean over its tokens of the target's loss less the background's, in nats: below 0 means closer to
 the target. A text begins with a start mark.
 
+Both tables grow with the corpus and stay Spark tables. Documents are cut into groups of about
+GROUP_BYTES of text; a group's distinct words and bigrams, with its own counts, meet those of the other
+groups by word and by bigram, and each group is handed back the sums of what it holds. Only totals and
+the two marks' counts reach the driver.
+
 Null and empty texts have no tokens and scores of 0. Repeated rows count as often as they occur.
 Without a target document the target model is uniform.
 """
@@ -19,20 +23,25 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ticketloom.llm import arrays
+from ticketloom.llm.staging import staged
 
-LEAST_SHARE = 1e-6
+#: A share of all tokens that words and bigrams need besides LEAST_COUNT; with one, scores depend on size.
+LEAST_SHARE = 0.0
 LEAST_COUNT = 2
 MIX = 0.6
-#: Distinct n-grams a task holds before it hands them on.
-HELD = 3_000_000
+#: Bytes of text, and of 16 a row, that are counted and scored together; one text is never cut.
+GROUP_BYTES = 16 << 20
 #: Marked keys up to which they are broadcast to the documents instead of shuffled with them.
 BROADCAST_KEYS = 2_000_000
 
+#: The start mark and the unknown token, in place of a word's hash.
 START, UNKNOWN = 0, 1
 
 
@@ -45,140 +54,145 @@ def marked(docs: DataFrame, keys: DataFrame, key: str) -> DataFrame:
         "_target", F.col("_k").isNotNull()).drop("_k")
 
 
-class Counts:
-    """Counts of 64-bit n-grams in the background and, by weight, in the target."""
+def tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    words = arrays.WordTable(data, offsets, arrays.TOKENS)
+    return words.hashes, np.repeat(np.arange(len(words.counts)), words.counts)
 
-    def __init__(self):
-        self.parts, self.size = [], 0
 
-    def add(self, grams: np.ndarray, target: np.ndarray):
-        found, place = np.unique(grams, return_inverse=True)
-        self.parts.append((found, np.bincount(place, minlength=len(found)),
-                           np.bincount(place, target, len(found)).astype(np.int64)))
-        self.size += len(found)
-        if self.size > HELD:
-            self.merge()
+def token_counts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Tokens of each row, without their hashes."""
+    begins = arrays.TOKENS[data] != 0
+    after = begins[:-1].copy()
+    at = offsets[(offsets > 0) & (offsets < len(data))]
+    after[at - 1] = False
+    begins[1:] &= ~after
+    return np.diff(np.searchsorted(np.flatnonzero(begins), offsets))
+
+
+def grouped(docs: DataFrame) -> DataFrame:
+    """`docs` with _n, its tokens, and _g, its group; staged, so that a document keeps its group."""
+    names = [*docs.columns, "_n", "_g"]
+
+    def group(batches):
+        first, number, size = TaskContext.get().partitionId() << 32, 0, 0
+        for part in arrays.slices(batches, "_text", min(arrays.SLICE_BYTES, GROUP_BYTES)):
+            data, offsets = arrays.text_bytes(part.column("_text"))
+            more = len(data) + 16 * part.num_rows
+            if size and size + more > GROUP_BYTES:
+                number, size = number + 1, 0
+            size += more
+            yield pa.RecordBatch.from_arrays(
+                [*part.columns, pa.array(token_counts(data, offsets)),
+                 pa.array(np.full(part.num_rows, first + number))], names=names)
 
-    def merge(self):
-        grams = np.concatenate([p[0] for p in self.parts])
-        found, place = np.unique(grams, return_inverse=True)
-        sums = [np.bincount(place, np.concatenate([p[i] for p in self.parts]), len(found)).astype(np.int64)
-                for i in (1, 2)]
-        self.parts, self.size = [(found, *sums)], len(found)
+    schema = T.StructType([*docs.schema.fields, T.StructField("_n", T.LongType()),
+                           T.StructField("_g", T.LongType())])
+    return staged(docs.mapInArrow(group, schema), "lm-documents")
 
-    def batches(self, least: int = 0):
-        if self.parts and self.size > least:
-            self.merge()
-            if self.size > least:
-                for first in range(0, self.size, 100_000):
-                    grams, every, target = (x[first:first + 100_000] for x in self.parts[0])
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(grams.view(np.int64)), pa.array(every), pa.array(target)],
-                        names=["gram", "n", "n_target"])
-                self.parts, self.size = [], 0
 
+WORD_PARTS = "g long, w long, n long, nt long, c long, ct long"
 
-COUNTED = "gram long, n long, n_target long"
 
+def word_parts(docs: DataFrame) -> DataFrame:
+    """Counts of each group's words, and as a history (before another token), in both corpora."""
+    def parts(held, g):
+        hashes, target, history = (np.concatenate(x) for x in zip(*held))
+        found, place = np.unique(hashes, return_inverse=True)
+        sums = [np.bincount(place, x, len(found)).astype(np.int64)
+                for x in (np.ones(len(place)), target, history, target * history)]
+        for first in range(0, len(found), 100_000):
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(x[first:first + 100_000])
+                 for x in (np.full(len(found), g), found.view(np.int64), *sums)],
+                names=["g", "w", "n", "nt", "c", "ct"])
 
-def counted(docs: DataFrame, grams) -> DataFrame:
-    """Exact counts of the n-grams that `grams(data, offsets)` finds: (gram, n, n_target)."""
     def count(batches):
-        held = Counts()
+        held, last = [], None
         for part in arrays.slices(batches, "_text"):
-            found, row = grams(*arrays.text_bytes(part.column("_text")))
-            target = part.column("_target").to_numpy(False).astype(np.float64)
-            held.add(found, target[row])
-            yield from held.batches(HELD // 2)
-        yield from held.batches()
+            groups = part.column("_g").to_numpy()
+            cuts = [0, *(np.flatnonzero(groups[1:] != groups[:-1]) + 1).tolist(), len(groups)]
+            for a, b in zip(cuts, cuts[1:]):
+                if held and groups[a] != last:
+                    yield from parts(held, last)
+                    held = []
+                last, own = groups[a], part.slice(a, b - a)
+                hashes, row = tokens(*arrays.text_bytes(own.column("_text")))
+                if len(hashes):
+                    target = own.column("_target").to_numpy(False).astype(np.float64)
+                    held.append((hashes, target[row], np.append(row[1:] == row[:-1], False)))
+        if held:
+            yield from parts(held, last)
 
-    return docs.mapInArrow(count, COUNTED).groupBy("gram").agg(
-        F.sum("n").alias("n"), F.sum("n_target").alias("n_target"))
+    return docs.select("_text", "_target", "_g").mapInArrow(count, WORD_PARTS)
 
 
-def tokens(data: np.ndarray, offsets: np.ndarray):
-    words = arrays.WordTable(data, offsets, arrays.TOKENS)
-    return words.hashes, np.repeat(np.arange(len(words.counts)), words.counts)
+def summed(parts: DataFrame, key: list[str], counts: list[str], least: float) -> DataFrame:
+    """For each group its keys' sums over all groups, from `least` on, and one row a key with `once`.
 
+    A key has one row a group, so the commonest is no larger than the number of groups.
+    """
+    own = parts.repartition(*key).groupBy(*key, "g").agg(*(F.sum(c).alias(c) for c in counts))
+    over = Window.partitionBy(*key)
+    return own.select("g", *key, (F.min("g").over(over) == F.col("g")).alias("once"),
+                      *(F.sum(c).over(over).alias(c) for c in counts)).filter(F.col("n") >= least)
 
-class Vocabulary:
-    """Sorted hashes of the shared vocabulary; ids 0 and 1 are the start mark and unknown tokens."""
 
-    def __init__(self, hashes: np.ndarray):
-        self.hashes = np.sort(hashes)
+class Group:
+    """A group's tokens as places in its sorted known words; places 0 and 1 are the marks."""
 
-    def ids(self, hashes: np.ndarray) -> np.ndarray:
-        if not len(self.hashes):
-            return np.full(len(hashes), UNKNOWN, dtype=np.int64)
-        at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
-        return np.where(self.hashes[at] == hashes, at + 2, UNKNOWN)
+    def __init__(self, docs: pa.Table, words: np.ndarray):
+        column = docs.column("_text").combine_chunks()
+        if isinstance(column, pa.ChunkedArray):
+            column = pa.concat_arrays(c.cast(pa.large_string()) for c in column.chunks)
+        self.words = np.concatenate([np.array([START, UNKNOWN], dtype=np.int64), words])
+        hashes, self.row = tokens(*arrays.text_bytes(column))
+        known = words.view(np.uint64)
+        self.word = np.full(len(hashes), UNKNOWN)
+        if len(known):
+            at = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
+            self.word = np.where(known[at] == hashes, at + 2, UNKNOWN)
+        self.history = np.append(START, self.word[:-1])[:len(self.word)]
+        self.history[np.append(True, self.row[1:] != self.row[:-1])[:len(self.row)]] = START
 
-    def pairs(self, data: np.ndarray, offsets: np.ndarray):
-        """(history, word, row) of every token."""
-        hashes, row = tokens(data, offsets)
-        word = self.ids(hashes)
-        history = np.append(START, word[:-1]) if len(word) else word
-        history[np.append(True, row[1:] != row[:-1])[:len(row)]] = START
-        return history, word, row
+    def pairs(self):
+        """Distinct pairs as (history, word) and each token's place among them."""
+        codes, place = np.unique((self.history << 32) | self.word, return_inverse=True)
+        return codes >> 32, codes & 0xFFFFFFFF, place
 
 
-def coded(history: np.ndarray, word: np.ndarray) -> np.ndarray:
-    return ((history << 32) | word).astype(np.uint64)
+def by_hash(table: pa.Table, key: str, columns: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Keys in the order of unsigned hashes, and their columns."""
+    keys = table.column(key).to_numpy()
+    order = np.argsort(keys.view(np.uint64))
+    return keys[order], np.stack([table.column(c).to_numpy()[order] for c in columns], axis=1)
 
 
-class Models:
-    """Log-probabilities of target and background for a (history, word)."""
+def pair_hash(history: np.ndarray, word: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return arrays.mix(history.view(np.uint64) * np.uint64(arrays.STEP) + word.view(np.uint64))
 
-    def __init__(self, keys: np.ndarray, pair_counts: np.ndarray, history: np.ndarray, word: np.ndarray):
-        """Arrays of two columns, background and target: of kept pairs, histories and words."""
-        order = np.argsort(keys)
-        self.keys = keys[order]
-        heads = (self.keys >> np.uint64(32)).astype(np.int64)
-        kept = np.stack([np.bincount(heads, pair_counts[order, i], len(word)) for i in (0, 1)], axis=1)
-        known = np.maximum(history, 1)
-        self.pair = MIX * pair_counts[order] / known[heads]
-        self.back = 1 - MIX * kept / known
-        self.word = (word + 1) / (word.sum(axis=0) + len(word) - 1)  # the start mark is no word
 
-    def losses(self, history: np.ndarray, word: np.ndarray) -> np.ndarray:
-        """Nats of each token under the background and the target (n x 2)."""
-        chance = self.back[history] * self.word[word]
-        if len(self.keys):
-            code = coded(history, word)
-            at = np.minimum(np.searchsorted(self.keys, code), len(self.keys) - 1)
-            found = self.keys[at] == code
-            chance[found] += self.pair[at[found]]
-        return -np.log(chance)
+PAIR_PARTS = "g long, h long, w long, p long, n long, nt long"
 
 
-def fit(docs: DataFrame, share: float = LEAST_SHARE) -> tuple[Vocabulary, Models]:
-    """Models of `docs` (_text, _target) from two counting passes over all of them."""
-    from ticketloom.llm.staging import staged
+def pair_parts(docs: DataFrame, words: DataFrame) -> DataFrame:
+    """Counts of each group's bigrams of known words and marks; p is a bigram's hash."""
+    def count(key, left: pa.Table, right: pa.Table) -> pa.Table:
+        group = Group(left, by_hash(right, "w", ["w"])[0])
+        history, word, place = group.pairs()
+        target = left.column("_target").to_numpy().astype(np.float64)[group.row]
+        h, w = group.words[history], group.words[word]
+        return pa.table({
+            "g": np.full(len(h), key[0].as_py()), "h": h, "w": w, "p": pair_hash(h, w).view(np.int64),
+            "n": np.bincount(place, minlength=len(h)).astype(np.int64),
+            "nt": np.bincount(place, target, len(h)).astype(np.int64)})
+
+    return docs.select("_g", "_text", "_target").groupBy("_g").cogroup(
+        words.select("g", "w").groupBy("g")).applyInArrow(count, PAIR_PARTS)
 
-    words = staged(counted(docs, tokens), "word-counts")
-    n, n_target = (x or 0 for x in words.agg(F.sum("n"), F.sum("n_target")).first())
-    least = max(LEAST_COUNT, share * n)
-    table = words.filter(F.col("n") >= least).toArrow()
-    hashes = table.column("gram").to_numpy().view(np.uint64)
-    vocabulary = Vocabulary(hashes)
-    word = np.zeros((len(hashes) + 2, 2))
-    word[vocabulary.ids(hashes)] = np.stack([table.column(c).to_numpy() for c in ("n", "n_target")], axis=1)
-    word[UNKNOWN] = np.maximum(0, np.array([n, n_target]) - word.sum(axis=0))
-    shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
-
-    def pairs(data, offsets):
-        history, token, row = shared.value.pairs(data, offsets)
-        return coded(history, token), row
-
-    counts = staged(counted(docs, pairs), "pair-counts")
-    head = F.shiftrightunsigned("gram", 32).alias("h")
-    kept = counts.filter(F.col("n") >= least).toArrow()
-    history = np.zeros((len(word), 2))
-    for row in counts.groupBy(head).agg(F.sum("n").alias("n"), F.sum("n_target").alias("t")).toArrow().to_batches():
-        history[row.column("h").to_numpy()] = np.stack(
-            [row.column(c).to_numpy() for c in ("n", "t")], axis=1)
-    pair_counts = np.stack([kept.column(c).to_numpy() for c in ("n", "n_target")], axis=1).astype(float)
-    return vocabulary, Models(kept.column("gram").to_numpy().view(np.uint64), pair_counts, history, word)
+
+def totals(df: DataFrame, columns: list) -> list[int]:
+    return [x or 0 for x in df.agg(*(F.sum(c) for c in columns)).first()]
 
 
 def with_losses(docs: DataFrame, target_keys: DataFrame, key: str = "doc_id", text: str = "text",
@@ -186,26 +200,60 @@ def with_losses(docs: DataFrame, target_keys: DataFrame, key: str = "doc_id", te
     """`docs` with n_tokens, ce_target, ce_background and ce_difference (nats per token)."""
     added = ["n_tokens", "ce_target", "ce_background", "ce_difference"]
     kept = [c for c in (docs.columns if carry is None else carry) if c not in added]
-    rows = docs.select(F.col(text).cast("string").alias("_text"), F.col(key).alias("_key"))
-    vocabulary, models = fit(marked(rows, target_keys.withColumnRenamed(key, "_key"), "_key").select(
-        "_text", "_target"), share)
-    held = docs.sparkSession.sparkContext.broadcast((vocabulary, models))
+    own = [f"c{i}" for i in range(len(kept))]
+    rows = docs.select(*(F.col(c).alias(o) for c, o in zip(kept, own)),
+                       F.col(text).cast("string").alias("_text"), F.col(key).alias("_key"))
+    rows = grouped(marked(rows, target_keys.select(F.col(key).alias("_key")), "_key").drop("_key"))
 
-    def score(batches):
-        words, both = held.value
-        for part in arrays.slices(batches, "_text"):
-            history, word, row = words.pairs(*arrays.text_bytes(part.column("_text")))
-            losses, n = both.losses(history, word), part.num_rows
-            count = np.bincount(row, minlength=n)
-            background, target = (np.bincount(row, losses[:, i], n) / np.maximum(count, 1) for i in (0, 1))
-            yield pa.RecordBatch.from_arrays(
-                [part.column(i) for i in range(len(kept))]
-                + [pa.array(count), pa.array(target), pa.array(background), pa.array(target - background)],
-                names=kept + added)
-
-    schema = T.StructType([*(docs.schema[c] for c in kept), T.StructField(added[0], T.LongType()),
+    target, some = F.col("_target").cast("long"), (F.col("_n") > 0).cast("long")
+    n, nt, texts, texts_t = totals(rows, [F.col("_n"), F.col("_n") * target, some, some * target])
+    least = max(LEAST_COUNT, share * n)
+    words = staged(summed(word_parts(rows), ["w"], ["n", "nt", "c", "ct"], least), "lm-words")
+    size, *known = totals(words.filter("once"), [F.lit(1), "n", "nt", "c", "ct"])
+    pairs = staged(summed(pair_parts(rows, words), ["h", "w", "p"], ["n", "nt"], least), "lm-pairs")
+    heads = staged(pairs.filter("once").groupBy("h").agg(
+        F.sum("n").alias("k"), F.sum("nt").alias("kt")), "lm-heads")
+    k = {r["h"]: (r["k"], r["kt"]) for r in heads.filter(F.col("h").isin(START, UNKNOWN)).collect()}
+    # n, nt, c, ct, k, kt of the start mark, which is no word, and of the unknown token
+    marks = np.array([
+        (0, 0, texts, texts_t, *k.get(START, (0, 0))),
+        (n - known[0], nt - known[1], n - texts - known[2], nt - texts_t - known[3],
+         *k.get(UNKNOWN, (0, 0)))], dtype=np.float64)
+
+    counts = ["n", "nt", "c", "ct", "k", "kt"]
+    none = F.lit(0).cast("long")
+    held = words.join(heads, F.col("w") == F.col("h"), "left").select(
+        "g", F.lit(True).alias("word"), F.col("w").alias("key"), "n", "nt", "c", "ct",
+        F.coalesce("k", none).alias("k"), F.coalesce("kt", none).alias("kt")).unionByName(
+        pairs.select("g", F.lit(False).alias("word"), F.col("p").alias("key"), "n", "nt",
+                     *(none.alias(c) for c in counts[2:])))
+
+    def score(key, left: pa.Table, right: pa.Table) -> pa.Table:
+        is_word = right.column("word")
+        hashes, sums = by_hash(right.filter(is_word), "key", counts)
+        group, sums = Group(left, hashes), np.concatenate([marks, sums])
+        history, word, place = group.pairs()
+        before = np.maximum(sums[history, 2:4], 1)
+        chance = (1 - MIX * sums[history, 4:6] / before) * (sums[word, :2] + 1) / (
+            np.array([n, nt]) + size + 1)
+        keys, both = by_hash(right.filter(pc.invert(is_word)), "key", counts[:2])
+        if len(keys):
+            hashes = pair_hash(group.words[history], group.words[word])
+            at = np.minimum(np.searchsorted(keys.view(np.uint64), hashes), len(keys) - 1)
+            found = keys.view(np.uint64)[at] == hashes
+            chance[found] += MIX * both[at[found]] / before[found]
+        losses, n_tokens = -np.log(chance), left.column("_n").to_numpy()
+        background, target = (np.bincount(group.row, losses[place, i], len(n_tokens))
+                              / np.maximum(n_tokens, 1) for i in (0, 1))
+        return pa.table([*(left.column(o) for o in own), pa.array(n_tokens), pa.array(target),
+                         pa.array(background), pa.array(target - background)], names=own + added)
+
+    schema = T.StructType([*(T.StructField(o, docs.schema[c].dataType) for c, o in zip(kept, own)),
+                           T.StructField(added[0], T.LongType()),
                            *(T.StructField(c, T.DoubleType()) for c in added[1:])])
-    return docs.select(*kept, F.col(text).cast("string").alias("_text")).mapInArrow(score, schema)
+    scored = rows.select("_g", *own, "_text", "_n").groupBy("_g").cogroup(
+        held.groupBy("g")).applyInArrow(score, schema)
+    return scored.select(*(F.col(o).alias(c) for c, o in zip(kept, own)), *added)
 
 
 def digest(docs: DataFrame, labels: DataFrame) -> DataFrame:
