@@ -118,3 +118,9 @@ def test_whole_texts_on_one_line_and_bsd(spark):
     assert [got[i]["licence"] for i in range(4)] == names + ["CC-BY-4.0-notice"]
     assert all(got[i]["dice"] == 1 for i in range(4))
     assert "BSD-3-Clause:0:0:900:" in got[2]["licences"]
+
+
+def test_a_column_named_text_is_kept(spark):
+    df = spark.createDataFrame([("x", 1, "All rights reserved.")], "_text string, c1 int, text string")
+    row = licences.with_licences(df).first()
+    assert row[:3] == ("x", 1, "All rights reserved.") and len(row["licences"]) == 1

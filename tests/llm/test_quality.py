@@ -41,3 +41,15 @@ def test_bound_on_the_sample_is_kept(spark):
     assert all((r["score"] > 0.5) == (r["doc_id"] % 2 == 1) for r in got)
     again = quality.Model.from_bytes(model.to_bytes())
     assert abs(again.offset - model.offset) < 1e-6
+
+
+def test_a_column_named_text_is_not_scored(spark):
+    rows = [(i, ("good words here " if i % 2 else "b@@d !! ") * 5) for i in range(100)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i, _ in rows], "doc_id long, quality int")
+    model = quality.fit(docs, labels)
+    want = {r["doc_id"]: r["score"] for r in quality.with_score(docs, model).collect()}
+    more = docs.selectExpr("'b@@d !! ' as _text", "doc_id", "text", "0 as c0")
+    out = quality.with_score(more, model)
+    assert out.columns == [*more.columns, "score"]
+    assert {r["doc_id"]: r["score"] for r in out.collect()} == want

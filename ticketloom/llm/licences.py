@@ -160,6 +160,7 @@ def with_licences(docs: DataFrame, text: str = "text", templates: dict[str, str]
     Without `whole_lines` a region may begin and end inside a line.
     """
     kept = [c for c in docs.columns if c != column]
+    own = [f"c{i}" for i in range(len(kept))]
     known = Templates(TEMPLATES if templates is None else templates, threshold)
     keys = MATCH.names
 
@@ -169,11 +170,13 @@ def with_licences(docs: DataFrame, text: str = "text", templates: dict[str, str]
             yield pa.RecordBatch.from_arrays(
                 [part.column(i) for i in range(len(kept))]
                 + [pa.array([[dict(zip(keys, m)) for m in f] for f in found], _ARROW)],
-                names=kept + [column])
+                names=own + ["_matches"])
 
-    rows = docs.select(*kept, F.col(text).cast("string").alias("_text"))
-    return rows.mapInArrow(scan, T.StructType(
-        [*(docs.schema[c] for c in kept), T.StructField(column, T.ArrayType(MATCH))]))
+    rows = docs.select(*(F.col(c).alias(o) for c, o in zip(kept, own)),
+                       F.col(text).cast("string").alias("_text"))
+    fields = [T.StructField(o, docs.schema[c].dataType) for c, o in zip(kept, own)]
+    found = rows.mapInArrow(scan, T.StructType([*fields, T.StructField("_matches", T.ArrayType(MATCH))]))
+    return found.select(*(F.col(o).alias(c) for c, o in zip(kept, own)), F.col("_matches").alias(column))
 
 
 def digest(docs: DataFrame) -> DataFrame:

@@ -206,7 +206,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", key: str = "
 def with_score(docs: DataFrame, model: Model, text: str = "text", column: str = "score") -> DataFrame:
     """`docs` with the probability of label 1; a column of that name is replaced."""
     kept = [c for c in docs.columns if c != column]
-    fields = [docs.schema[c] for c in kept]
+    own = [f"c{i}" for i in range(len(kept))]  # no column of the input is taken for the text
     gains = docs.sparkSession.sparkContext.broadcast(model.gains())
     offset = model.offset
 
@@ -223,11 +223,13 @@ def with_score(docs: DataFrame, model: Model, text: str = "text", column: str =
             value = 1 / (1 + np.exp(-np.clip(odds, -40, 40)))
             yield pa.RecordBatch.from_arrays(
                 [part.column(i) for i in range(len(kept))] + [pa.array(np.round(value, 9))],
-                names=kept + [column])
+                names=own + ["_score"])
 
-    rows = docs.select(*kept, F.col(text).cast("string").alias("_text")) if "_text" not in kept \
-        else docs.select(*kept)
-    return rows.mapInArrow(score, T.StructType([*fields, T.StructField(column, T.DoubleType())]))
+    rows = docs.select(*(F.col(c).alias(o) for c, o in zip(kept, own)),
+                       F.col(text).cast("string").alias("_text"))
+    fields = [T.StructField(o, docs.schema[c].dataType) for c, o in zip(kept, own)]
+    scored = rows.mapInArrow(score, T.StructType([*fields, T.StructField("_score", T.DoubleType())]))
+    return scored.select(*(F.col(o).alias(c) for c, o in zip(kept, own)), F.col("_score").alias(column))
 
 
 THRESHOLD = 0.3
