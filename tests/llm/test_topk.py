@@ -41,3 +41,14 @@ def test_awkward_vectors(spark, monkeypatch):
     assert topk.digest(df.limit(0)).collect() == []
     few = topk.digest(df.filter("vec_id in (0, 1, 2)"), every=2).collect()
     assert sorted(r["rank"] for r in few) == [1, 1, 2, 2]
+
+
+def test_large_components_take_part(spark):
+    rng = random.Random(6)
+    for most, small in ((3e4, None), (4e5, None), (3e5, 1.0), (1e12, 1e-2)):
+        # scores must fit a long: where vectors are large, the queries are small
+        rows = [(i, [rng.uniform(-1, 1) * (most if i % 100 or not small else small) for _ in range(12)])
+                for i in range(150)]
+        df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+        want = brute([dict(vec_id=i, embedding=v) for i, v in rows])
+        assert len(want) == 20 and sorted(map(tuple, topk.digest(df).collect())) == want

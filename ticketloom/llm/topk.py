@@ -10,8 +10,8 @@ Corpus and queries meet in groups of bounded size: (corpus group, query group) i
 group keeps k candidates per query, and the groups' candidates are merged in two steps.
 
 Components are floor(scale * x). Vectors that are null, hold a null or non-finite component, have no
-id, or hold a scaled component beyond MOST_COMPONENT (its products would not fit a long) take no
-part. Rows that share an id count as one vector, the smallest; shorter vectors are padded with
+id, or hold a scaled component that is no long take no part. Groups whose products could pass 2**53 are
+searched in integers, without bounds; a score among the best that is no long ends the query. Rows that share an id count as one vector, the smallest; shorter vectors are padded with
 zeros. Ties go to the smaller id. Empty tables give an empty result, fewer than k candidates all.
 """
 
@@ -28,7 +28,8 @@ from ticketloom.llm.staging import staged
 GROUP_ROWS = 4096
 GROUP_QUERIES = 1024
 BLOCK = 8
-MOST_COMPONENT = 1 << 25
+#: Sums of products below it are exact as floats.
+EXACT = 1 << 53
 #: Groups whose candidates are merged by one first-step task.
 MERGED_GROUPS = 64
 
@@ -38,20 +39,20 @@ RESULT = "query_id long, vec_id long, score long, cgroup long"
 def quantised(df: DataFrame, vec_id: str, embedding: str, scale: int) -> DataFrame:
     """One row per id: vec_id and its integer components."""
     raw = F.transform(F.col(embedding), lambda x: F.lit(float(scale)) * x.cast("double"))
-    fine = F.forall("raw", lambda x: F.coalesce(F.abs(x) < F.lit(float(MOST_COMPONENT)), F.lit(False)))
+    fine = F.forall("raw", lambda x: F.coalesce(F.abs(x) < F.lit(float(1 << 63)), F.lit(False)))
     rows = df.select(F.col(vec_id).cast("long").alias("vec_id"), raw.alias("raw"))
     rows = rows.filter(F.col("vec_id").isNotNull() & F.col("raw").isNotNull() & fine)
-    rows = rows.select("vec_id", F.transform("raw", lambda x: F.floor(x).cast("int")).alias("v"))
+    rows = rows.select("vec_id", F.transform("raw", lambda x: F.floor(x).cast("long")).alias("v"))
     return rows.groupBy("vec_id").agg(F.min("v").alias("v"))
 
 
 def _matrix(column: pa.ChunkedArray, width: int) -> np.ndarray:
-    """Rows of a list column as a dense float matrix, padded with zeros (exact below 2**53)."""
+    """Rows of a list column as a dense integer matrix, padded with zeros."""
     lists = column.combine_chunks()
     if isinstance(lists, pa.ChunkedArray):
         lists = pa.concat_arrays(lists.chunks)
     sizes = lists.value_lengths().to_numpy(False).astype(np.int64)
-    out = np.zeros((len(sizes), width))
+    out = np.zeros((len(sizes), width), dtype=np.int64)
     row = np.repeat(np.arange(len(sizes)), sizes)
     at = np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
     out[row, at] = lists.flatten().to_numpy(False)
@@ -88,6 +89,14 @@ def best(ids: np.ndarray, columns: np.ndarray, query_id: int, query: np.ndarray,
     return ids[alive][first], score[first]
 
 
+def best_exact(ids: np.ndarray, columns: np.ndarray, query_id: int, query: np.ndarray, k: int):
+    """The same for integers of any size: longs, or Python's integers as objects."""
+    alive = np.flatnonzero(ids != query_id)
+    score = query @ columns[:, alive]
+    first = sorted(range(len(alive)), key=lambda i: (-score[i], ids[alive[i]]))[:k]
+    return ids[alive][first], np.array([int(score[i]) for i in first], dtype=np.int64)
+
+
 def top_k(vectors: DataFrame, is_query: Column, k: int) -> DataFrame:
     """(query_id, rank, vec_id, score) over `vectors` (vec_id, v); queries are chosen rows of it."""
     n_rows, n_queries = vectors.agg(
@@ -114,9 +123,13 @@ def top_k(vectors: DataFrame, is_query: Column, k: int) -> DataFrame:
         ids = left.column("vec_id").to_numpy()
         columns = np.ascontiguousarray(_matrix(left.column("v"), width).T)
         asked = _matrix(right.column("q"), width)
-        out = []
+        most, other = int(np.abs(columns).max()), int(np.abs(asked).max())
+        search_one, kind = best, np.float64
+        if width * max(most, other) ** 2 >= EXACT:
+            search_one, kind = best_exact, np.int64 if width * most * other < 1 << 63 else object
+        columns, asked, out = columns.astype(kind), asked.astype(kind), []
         for query_id, query in zip(right.column("asked").to_pylist(), asked):
-            found, score = best(ids, columns, query_id, query, k)
+            found, score = search_one(ids, columns, query_id, query, k)
             out.append((np.full(len(found), query_id), found, score.astype(np.int64)))
         three = [np.concatenate(c) for c in zip(*out)]
         return pa.Table.from_arrays(
