@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ticketloom.llm import (
-    licences, lm_scoring, near_dup, pieces, pii, quality, rendezvous, token_codes, topk, winnow)
+    licences, lm_scoring, mixing, near_dup, pieces, pii, prefix_trie, quality, rendezvous, token_codes, topk,
+    whitening, winnow)
 from ticketloom.llm.staging import table
 
 
@@ -67,14 +68,29 @@ def op10_pii_spans(spark, sf_dir):
     return pii.digest(table(spark, sf_dir, "documents"))
 
 
+def op11_prefix_trie(spark, sf_dir):
+    return prefix_trie.digest(table(spark, sf_dir, "conversations"))
+
+
+def op12_source_mix(spark, sf_dir):
+    return mixing.digest(table(spark, sf_dir, "documents"))
+
+
+def op13_refined_whitening(spark, sf_dir):
+    return whitening.digest(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {q.__name__: q for q in (
     op1_cross_entropy_difference, op2_token_codes, op3_branch_and_bound_topk,
     op4_probminhash_classes, op5_subword_quality, op6_nbest_pieces, op7_rendezvous_shards,
-    op8_winnow_contamination, op9_licence_dice, op10_pii_spans)}
+    op8_winnow_contamination, op9_licence_dice, op10_pii_spans, op11_prefix_trie, op12_source_mix,
+    op13_refined_whitening)}
 #: The others hold checksums, learned scores or searches that SQL cannot state; tests compare them
 #: with brute force, exact round trips or held-out labels.
 ORACLES = {
     "op1_cross_entropy_difference": lm_scoring.ORACLE,
     "op3_branch_and_bound_topk": topk.ORACLE,
     "op8_winnow_contamination": winnow.ORACLE,
+    "op11_prefix_trie": prefix_trie.ORACLE,
+    "op12_source_mix": mixing.ORACLE,
 }
