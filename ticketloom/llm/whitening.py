@@ -40,6 +40,10 @@ LARGEST = float(1 << 52)
 
 STEPS = 40
 HIGH = np.longdouble
+#: The last bits of a sum of products. A division by a gap turns them into a rotation, whose square is an
+#: error of length: gaps that would let it be seen count as none, and a cluster's own matrix decides.
+ROUNDING = float(np.finfo(HIGH).eps)
+LEAST_GAP = ROUNDING * 2.0 ** 28
 
 
 @dataclass
@@ -172,7 +176,7 @@ def refined(matrix: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarr
         # rounding differs across the diagonal; symmetric, its part in a step is a rotation
         r, s = (r + r.T) / 2, (s + s.T) / 2
         values = np.diag(s) / (1 - np.diag(r))
-        near = 2 * (_spectral(s - np.diag(values)) + size * _spectral(r))
+        near = max(2 * (_spectral(s - np.diag(values)) + size * _spectral(r)), len(a) * size * LEAST_GAP)
         gap = values[None, :] - values[:, None]
         groups = _clusters(values, near)
         alike = np.zeros(gap.shape, dtype=bool)
@@ -188,7 +192,7 @@ def refined(matrix: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarr
             middle = values[group].mean()
             small = part.T @ (a @ part) - middle * (part.T @ part)
             rest = np.abs(small - np.diag(np.diag(small))).max()
-            if rest > size * 1e-18:
+            if rest > 8 * len(a) * size * ROUNDING:
                 _, turn = np.linalg.eigh((small / np.abs(small).max()).astype(np.float64))
                 x[:, group] = part @ turn.astype(HIGH)
                 solved = True
