@@ -88,13 +88,13 @@ def comparison_rows(spark, sf_dir):
     )
 
 
-def log_records(spark, sf_dir):
+def log_records(spark, sf_dir, *extra):
     calls = costed(spark, sf_dir)
     return calls.select(
         "query", "retrieved_count", "low_similarity", "rag_latency_ms",
         F.col("cost_usd").alias("rag_cost_usd"), "non_rag_latency_ms",
         F.lit(0.0).alias("non_rag_cost_usd"), "ml_label", "ml_confidence", "llm_label",
-        "llm_latency_ms", F.col("cost_usd").alias("llm_cost_usd"),
+        "llm_latency_ms", F.col("cost_usd").alias("llm_cost_usd"), *extra,
     )
 
 

@@ -1,8 +1,8 @@
 """All registered queries and their SQL twins."""
 
-from ticketloom.catalog import comparisons, messages, models, profiles, retrieval, streams, vectors
+from ticketloom.catalog import comparisons, messages, models, operations, profiles, retrieval, streams, vectors
 
-MODULES = (messages, profiles, models, vectors, comparisons, streams, retrieval)
+MODULES = (messages, profiles, models, vectors, comparisons, streams, retrieval, operations)
 
 
 def queries() -> dict:

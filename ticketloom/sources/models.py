@@ -1,8 +1,11 @@
 """Saved classifiers: a Spark ML pipeline and the feature list it was trained on."""
 
+import uuid
+
 from pyspark.ml import PipelineModel
 from pyspark.sql import SparkSession
 
+from ticketloom.sources import files
 from ticketloom.sources.tables import path_exists
 
 
@@ -20,3 +23,28 @@ def load_model(spark: SparkSession, path: str):
         return None, ()
     names = spark.read.json(f"{path}/features").orderBy("position").collect()
     return PipelineModel.load(f"{path}/model"), tuple(row["feature"] for row in names)
+
+
+def publish(model: PipelineModel, features, path: str, spark: SparkSession) -> int:
+    """Save a new version beside the others and move the pointer to it; returns its number.
+
+    The pointer moves by one committed file, so a reader finds the old version or the whole new one.
+    """
+    folder = uuid.uuid4().hex
+    save_model(model, features, f"{path}/saved/{folder}", spark)
+    while True:
+        number = len(versions(spark, path)) + 1
+        try:
+            files.commit_json(spark, f"{path}/versions/{number:09d}.json", folder)
+            return number
+        except files.Taken:  # another publisher came first
+            continue
+
+
+def versions(spark: SparkSession, path: str) -> list[int]:
+    return [int(name[:-5]) for name in files.names(spark, f"{path}/versions") if name[0] != "."]
+
+
+def load_version(spark: SparkSession, path: str, number: int):
+    folder = files.read_json(spark, f"{path}/versions/{number:09d}.json")
+    return load_model(spark, f"{path}/saved/{folder}")

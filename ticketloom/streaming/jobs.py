@@ -16,6 +16,7 @@ from ticketloom.operators.routing import route_to_brands
 from ticketloom.operators.similarity import top_k
 from ticketloom.plans.training import score_texts
 from ticketloom.session import scratch_path
+from ticketloom.sources import files, models
 from ticketloom.sources.audit_log import stamped
 from ticketloom.sources.tables import path_exists, staged
 
@@ -151,6 +152,35 @@ def start_retrieval(queries: DataFrame, vectors: DataFrame, path: str, checkpoin
     return start_batches(queries, search, checkpoint)
 
 
+def start_scored(messages: DataFrame, models_path: str, path: str, checkpoint: str,
+                 brands: Sequence[str] = fv.BRANDS) -> StreamingQuery:
+    """Triage each micro-batch with the model version that is current when it begins; rows carry its number.
+
+    A batch's version is committed before it is scored, so a repeated batch, as after a crash, takes the same
+    one and overwrites its own folder. A version published meanwhile serves from the next batch on; before
+    the first one rows are UNAVAILABLE with version 0.
+    """
+    loaded: dict[int, tuple] = {}
+
+    def score(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        mark = f"{path}-versions/{number:012d}.json"
+        if not path_exists(spark, mark):
+            known = models.versions(spark, models_path)
+            files.commit_json(spark, mark, known[-1] if known else 0)
+        version = files.read_json(spark, mark)
+        if version and version not in loaded:
+            loaded.clear()
+            loaded[version] = models.load_version(spark, models_path, version)
+        model, features = loaded.get(version, (None, ()))
+        scored = score_texts(model, label_table(tidy_stream(batch, brands)),
+                             features=features or fv.FEATURES)
+        scored.withColumn("model_version", F.lit(version)).write.mode("overwrite").parquet(
+            f"{path}/batch={number}")
+
+    return start_batches(messages, score, checkpoint)
+
+
 def finish(query: StreamingQuery, seconds: int | None = None) -> None:
     """Wait for a bounded run, as long as it takes unless `seconds` is given; fail when it fails."""
     if seconds is None:
