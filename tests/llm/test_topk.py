@@ -7,17 +7,16 @@ from ticketloom.llm import catalog, topk
 
 
 def brute(rows, every=100, k=10):
-    vectors = {}
+    vectors = []
     for r in rows:
         v = r["embedding"]
         if r["vec_id"] is None or v is None or any(x is None or not math.isfinite(x) for x in v):
             continue
-        v = [math.floor(1024 * x) for x in v]
-        vectors[r["vec_id"]] = min(v, vectors.get(r["vec_id"], v))
+        vectors.append((r["vec_id"], [math.floor(1024 * x) for x in v]))
     out = []
-    for q, a in vectors.items():
+    for own, (q, a) in enumerate(vectors):
         if q % every == 0:
-            scores = sorted((-sum(x * y for x, y in zip(a, b)), i) for i, b in vectors.items() if i != q)
+            scores = sorted((-sum(x * y for x, y in zip(a, b)), i) for n, (i, b) in enumerate(vectors) if n != own)
             out += [(q, rank, i, -s) for rank, (s, i) in enumerate(scores[:k], 1)]
     return sorted(out)
 
@@ -52,3 +51,18 @@ def test_large_components_take_part(spark):
         df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
         want = brute([dict(vec_id=i, embedding=v) for i, v in rows])
         assert len(want) == 20 and sorted(map(tuple, topk.digest(df).collect())) == want
+
+
+def test_repeated_ids_all_take_part_and_the_twin_agrees(spark, tmp_path):
+    import duckdb
+
+    rows = [(100, [1.0, 0.0]), (1, [1.0, 0.0]), (1, [0.5, 0.0]), (2, [0.25, 1.0]), (100, [0.0, 1.0]), (200, None)]
+    rows += [(1, [0.5, 0.0])] * 3
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = sorted(map(tuple, topk.digest(df).collect()))
+    assert got == brute([dict(vec_id=i, embedding=v) for i, v in rows])
+    assert (100, 1, 1, 1048576) in got and len(got) == 14
+    df.write.parquet(str(tmp_path / "embeddings"))
+    db = duckdb.connect()
+    db.execute(f"create view embeddings as select * from read_parquet('{tmp_path}/embeddings/*.parquet')")
+    assert sorted(db.execute(topk.ORACLE).fetchall()) == got
