@@ -7,10 +7,9 @@ import plain
 from ticketloom.llm import catalog, lm_scoring
 
 
-def brute(docs, target_ids, share=lm_scoring.LEAST_SHARE):
+def brute(docs, target_ids):
     split = [[t for t in re.split(r"[ \t\n\v\f\r\0]+", d["text"] or "") if t] for d in docs]
-    total = sum(map(len, split))
-    least = max(lm_scoring.LEAST_COUNT, share * total)
+    least = lm_scoring.LEAST_COUNT
     every = Counter(t for s in split for t in s)
     known = {t for t, n in every.items() if n >= least}
     split = [[t if t in known else None for t in s] for s in split]
@@ -59,8 +58,6 @@ def test_rare_words_nulls_and_no_target(spark):
     labels = spark.createDataFrame([(1, 1), (1, 1), (5, 0), (None, 1)], "doc_id long, quality int")
     check(lm_scoring.digest(df, labels).collect(), brute(plainly, {1}))
     check(lm_scoring.digest(df, labels.limit(0)).collect(), brute(plainly, set()))
-    check(lm_scoring.with_losses(df, labels.filter("quality = 1"), share=0.2).collect(),
-          brute(plainly, {1}, share=0.2), 2e-9)
     assert lm_scoring.digest(df.limit(0), labels).collect() == []
 
 
@@ -79,7 +76,7 @@ def test_least_count_does_not_rise_with_the_corpus(spark):
     df = spark.createDataFrame(docs, "doc_id long, text string")
     labels = spark.createDataFrame([(1, 1)], "doc_id long, quality int")
     plainly = [dict(doc_id=i, text=t) for i, t in docs]
-    check(lm_scoring.digest(df, labels).collect(), brute(plainly, {1}, share=0))
+    check(lm_scoring.digest(df, labels).collect(), brute(plainly, {1}))
 
 
 def test_groups_do_not_change_scores(spark, monkeypatch):

@@ -32,8 +32,6 @@ from pyspark.sql import types as T
 from ticketloom.llm import arrays
 from ticketloom.llm.staging import staged
 
-#: A share of all tokens that words and bigrams need besides LEAST_COUNT; with one, scores depend on size.
-LEAST_SHARE = 0.0
 LEAST_COUNT = 2
 MIX = 0.6
 #: Bytes of text, and of 16 a row, that are counted and scored together; one text is never cut.
@@ -126,15 +124,15 @@ def word_parts(docs: DataFrame) -> DataFrame:
     return docs.select("_text", "_target", "_g").mapInArrow(count, WORD_PARTS)
 
 
-def summed(parts: DataFrame, key: list[str], counts: list[str], least: float) -> DataFrame:
-    """For each group its keys' sums over all groups, from `least` on, and one row a key with `once`.
+def summed(parts: DataFrame, key: list[str], counts: list[str]) -> DataFrame:
+    """For each group its keys' sums over all groups, from LEAST_COUNT on, and one row a key with `once`.
 
     A key has one row a group, so the commonest is no larger than the number of groups.
     """
     own = parts.repartition(*key).groupBy(*key, "g").agg(*(F.sum(c).alias(c) for c in counts))
     over = Window.partitionBy(*key)
     return own.select("g", *key, (F.min("g").over(over) == F.col("g")).alias("once"),
-                      *(F.sum(c).over(over).alias(c) for c in counts)).filter(F.col("n") >= least)
+                      *(F.sum(c).over(over).alias(c) for c in counts)).filter(F.col("n") >= LEAST_COUNT)
 
 
 class Group:
@@ -196,7 +194,7 @@ def totals(df: DataFrame, columns: list) -> list[int]:
 
 
 def with_losses(docs: DataFrame, target_keys: DataFrame, key: str = "doc_id", text: str = "text",
-                share: float = LEAST_SHARE, carry: list[str] | None = None) -> DataFrame:
+                carry: list[str] | None = None) -> DataFrame:
     """`docs` with n_tokens, ce_target, ce_background and ce_difference (nats per token)."""
     added = ["n_tokens", "ce_target", "ce_background", "ce_difference"]
     kept = [c for c in (docs.columns if carry is None else carry) if c not in added]
@@ -207,10 +205,9 @@ def with_losses(docs: DataFrame, target_keys: DataFrame, key: str = "doc_id", te
 
     target, some = F.col("_target").cast("long"), (F.col("_n") > 0).cast("long")
     n, nt, texts, texts_t = totals(rows, [F.col("_n"), F.col("_n") * target, some, some * target])
-    least = max(LEAST_COUNT, share * n)
-    words = staged(summed(word_parts(rows), ["w"], ["n", "nt", "c", "ct"], least), "lm-words")
+    words = staged(summed(word_parts(rows), ["w"], ["n", "nt", "c", "ct"]), "lm-words")
     size, *known = totals(words.filter("once"), [F.lit(1), "n", "nt", "c", "ct"])
-    pairs = staged(summed(pair_parts(rows, words), ["h", "w", "p"], ["n", "nt"], least), "lm-pairs")
+    pairs = staged(summed(pair_parts(rows, words), ["h", "w", "p"], ["n", "nt"]), "lm-pairs")
     heads = staged(pairs.filter("once").groupBy("h").agg(
         F.sum("n").alias("k"), F.sum("nt").alias("kt")), "lm-heads")
     k = {r["h"]: (r["k"], r["kt"]) for r in heads.filter(F.col("h").isin(START, UNKNOWN)).collect()}
@@ -271,7 +268,7 @@ WITH docs AS (
 ), tok AS (
   SELECT doc_id, t, p, w[p] AS w FROM (SELECT *, unnest(range(1, len(w) + 1)) AS p FROM docs)
 ), least AS (
-  SELECT greatest(2, 1e-6 * count(*)) AS c, count(*) AS n, count(*) FILTER (t) AS nt FROM tok
+  SELECT 2 AS c, count(*) AS n, count(*) FILTER (t) AS nt FROM tok
 ), known AS (
   SELECT w FROM tok GROUP BY w HAVING count(*) >= (SELECT c FROM least)
 ), named AS (
