@@ -22,6 +22,7 @@ from __future__ import annotations
 import heapq
 import math
 import re
+import uuid
 import zlib
 
 import numpy as np
@@ -339,13 +340,14 @@ def with_pieces(df: DataFrame, path: str, text: str = "text", n: int = 3, ids: b
     added = [f for f in ADDED if ids or f.name != "piece_ids"]
     kept = [c for c in df.columns if c not in {f.name for f in added}]
     schema = T.StructType([*(df.schema[c] for c in kept), *added])
-    rows = df.select(*kept, F.col(text).cast("string").alias("_whole"))
+    whole = f"whole_{uuid.uuid4().hex}"  # whatever other columns are called
+    rows = df.select(*kept, F.col(text).cast("string").alias(whole))
 
     def encode(batches):
         coder = encoder(path, n)
         decode = coder.vocabulary.decode
-        for part in arrays.slices(batches, "_whole"):
-            texts = part.column("_whole").to_pylist()
+        for part in arrays.slices(batches, whole):
+            texts = part.column(whole).to_pylist()
             found = coder(texts)
             best = [np.frombuffer(f[0][1], dtype="<u4") for f in found]
             columns = [part.column(i) for i in range(len(kept))] + [
