@@ -15,9 +15,7 @@ import pyarrow.compute as pc
 SLICE_BYTES = 2 << 20
 CHUNK_BYTES = 1 << 19
 
-#: An odd multiplier has an inverse modulo 2**64, so a word's hash does not depend on its place.
 STEP = 0x9E3779B97F4A7C15
-STEP_BACK = pow(STEP, -1, 1 << 64)
 
 
 def fold_table(kept: bytes, lower: bool) -> np.ndarray:
@@ -66,22 +64,6 @@ def mix(values: np.ndarray) -> np.ndarray:
         return values ^ (values >> np.uint64(31))
 
 
-_POWERS: dict[int, np.ndarray] = {}
-
-
-def powers(base: int, n: int) -> np.ndarray:
-    """base**0 .. base**(n - 1) modulo 2**64, kept for the next call."""
-    known = _POWERS.get(base)
-    if known is None or len(known) < n:
-        with np.errstate(over="ignore"):
-            known = np.full(max(n, CHUNK_BYTES), base, dtype=np.uint64)
-            known[0] = 1
-            known = np.multiply.accumulate(known)
-        if n <= 4 * CHUNK_BYTES:
-            _POWERS[base] = known
-    return known[:n]
-
-
 def chunk_end(fold: np.ndarray, data: np.ndarray, first: int) -> int:
     """Where a chunk that begins at `first` may end without cutting a word."""
     end = first + CHUNK_BYTES
@@ -95,6 +77,37 @@ def chunk_end(fold: np.ndarray, data: np.ndarray, first: int) -> int:
     return end
 
 
+#: MASKS[n] keeps the first n bytes of a little-endian 64-bit block.
+MASKS = np.array([(1 << 8 * n) - 1 for n in range(9)], dtype=np.uint64)
+
+
+def word_hashes(folded: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the words folded[start:end], none of whose bytes is 0.
+
+    Words up to 8 bytes never share one. A longer word's blocks of 8 are mixed each with its place before
+    they are added, so no regular pattern of bytes cancels out: two of n long words collide with
+    probability n * n / 2**65.
+    """
+    if not len(starts):
+        return np.zeros(0, dtype=np.uint64)
+    padded = np.concatenate([folded, np.zeros(8, dtype=np.uint8)])
+    at_byte = np.lib.stride_tricks.as_strided(padded[:8].view(np.uint64), (len(folded) + 1,), (1,))
+    sizes = ends - starts
+    step = np.uint64(STEP)
+    with np.errstate(over="ignore"):
+        sums = mix((at_byte[starts] & MASKS[np.minimum(sizes, 8)]) + step)
+        long = np.flatnonzero(sizes > 8)
+        if len(long):
+            blocks = (sizes[long] - 1) >> 3  # besides the first
+            before = np.cumsum(blocks) - blocks
+            place = np.arange(int(blocks.sum())) - np.repeat(before, blocks) + 1
+            first = np.repeat(starts[long], blocks) + 8 * place
+            rest = np.minimum(np.repeat(ends[long], blocks) - first, 8)
+            parts = mix((at_byte[first] & MASKS[rest]) + step * (place + 1).astype(np.uint64))
+            sums[long] += np.add.reduceat(parts, before)
+    return mix(sums)
+
+
 class WordTable:
     """Words of a slice: 64-bit hashes, byte spans and each row's range of words."""
 
@@ -113,12 +126,10 @@ class WordTable:
             if len(at):
                 stops = inside.copy()
                 stops[:-1] &= ~inside[1:] | breaks[first + 1:last]
-                with np.errstate(over="ignore"):
-                    weighed = bytes_.astype(np.uint64) * powers(STEP, last - first)
-                    sums = np.add.reduceat(weighed, at)
-                    hashes.append(mix(sums * powers(STEP_BACK, last - first)[at]))
+                over = np.flatnonzero(stops) + 1
+                hashes.append(word_hashes(bytes_, at, over))
                 starts.append(at + first)
-                ends.append(np.flatnonzero(stops) + first + 1)
+                ends.append(over + first)
             first = last
         none = np.zeros(0, dtype=np.int64)
         self.hashes = np.concatenate(hashes) if hashes else np.zeros(0, dtype=np.uint64)

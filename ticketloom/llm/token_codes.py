@@ -168,10 +168,7 @@ def segments(data: np.ndarray, offsets: np.ndarray):
                             begins[owner] + size[owner])
             folded = np.where(plain[np.maximum(word, 0)], _LOWERED[part], part)
             folded = np.where(inside, folded, 0)
-            with np.errstate(over="ignore"):
-                weighed = folded.astype(np.uint64) * arrays.powers(arrays.STEP, len(part))
-                sums = np.add.reduceat(weighed, at) * arrays.powers(arrays.STEP_BACK, len(part))[at]
-            found.append((arrays.mix(sums), at + first, ends + first, plain[owner]))
+            found.append((arrays.word_hashes(folded, at, ends), at + first, ends + first, plain[owner]))
         first = last
     if not found:
         none = np.zeros(0, dtype=np.int64)
@@ -180,7 +177,7 @@ def segments(data: np.ndarray, offsets: np.ndarray):
 
 
 class WordEncoder:
-    """Encodes texts part by part, remembering parts by their 64-bit hash.
+    """Encodes texts part by part, remembering parts by their 64-bit hash, see `arrays.word_hashes`.
 
     Valid for tokenizers that lower case, drop white space, and merge neither across white space nor
     from letters into punctuation, like the word BPE: a text's ids are then those of its parts in
