@@ -10,10 +10,13 @@ them with probability (1 - 0.8**5)**32, about 3 in a million.
 
 Texts with equal shingle weights are one representative. In each bucket every member is compared
 with the first one, which links most groups at a linear number of pairs. Buckets whose other members
-still lie in several classes are compared in blocks of at most BLOCK by BLOCK signatures; only pairs
-that the signatures (at 5 standard errors below the threshold) leave possible and that are in
-different classes come out: first each member's best one of a block, and, once these are verified and
-their classes merged, all that still cross classes. All verification is exact, on whole texts. Classes are the connected components of the verified links.
+still lie in several classes are cut into blocks of at most BLOCK members and BLOCK_BYTES of text, and
+one task compares two blocks: it takes pairs of different classes that the signatures (at 5 standard
+errors below the threshold) leave possible, the likeliest first, verifies them, merges classes as it
+goes, and hands on the links of a spanning forest alone. So no pair leaves a task unless it is a link,
+however many similar texts stay unlinked. A pair that shares several buckets is compared in the first
+one. Verification is exact on the shingle weights of whole texts; words are told apart by the hashes of
+`arrays.word_hashes`. Classes are the connected components of the verified links.
 
 A null text is a class of its own. Texts without words are alike only if equal. Repeated rows are
 kept and share a class. Class ids are the row numbers of their smallest row.
@@ -38,7 +41,8 @@ SHINGLE = 5
 THRESHOLD = 0.8
 BANDS = 32
 ROWS = 5
-BLOCK = 64
+BLOCK = 512
+BLOCK_BYTES = 4 << 20
 #: Rows of a batch that Python receives; a row may hold two whole texts.
 ARROW_ROWS = 500
 
@@ -120,11 +124,13 @@ def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray
 
 
 def signed_rows(docs: DataFrame, text: str) -> DataFrame:
-    """`docs` (columns c0..) with _key, _bands and _sketch, one pass."""
+    """`docs` (columns c0..) with _key, _bands, _sketch (a byte of each component) and _marks (32 bits of
+    each band: two bands that differ look equal once in 2**32), one pass."""
     names = docs.columns
     schema = T.StructType([*docs.schema.fields, T.StructField("_key", T.BinaryType()),
                            T.StructField("_bands", T.ArrayType(T.LongType())),
-                           T.StructField("_sketch", T.BinaryType())])
+                           T.StructField("_sketch", T.BinaryType()),
+                           T.StructField("_marks", T.BinaryType())])
 
     def sign(batches):
         for part in arrays.slices(batches, text):
@@ -134,9 +140,10 @@ def signed_rows(docs: DataFrame, text: str) -> DataFrame:
             hashes, row, weight = shingles(words)
             signature = signatures(hashes, row, weight, n)
             bands = arrays.signed(band_hashes(signature))
-            sketch = arrays.mix(signature).astype(np.uint16)
+            sketch = arrays.mix(signature).astype(np.uint8)
+            marks = arrays.mix(bands.view(np.uint64)).astype(np.uint32)
             ends = np.searchsorted(row, np.arange(n + 1))
-            keys, kept, sketches = [], [], []
+            keys, kept, sketches, marked = [], [], [], []
             texts = part.column(text)
             for i in range(n):
                 a, b = ends[i], ends[i + 1]
@@ -146,17 +153,19 @@ def signed_rows(docs: DataFrame, text: str) -> DataFrame:
                         b"t" + whole.encode(), digest_size=16).digest())
                     kept.append(None)
                     sketches.append(None)
+                    marked.append(None)
                     continue
                 gcd = np.gcd.reduce(weight[a:b].astype(np.int64))
                 even = (weight[a:b].astype(np.int64) // gcd).tobytes()
                 keys.append(hashlib.blake2b(hashes[a:b].tobytes() + even, digest_size=16).digest())
                 kept.append(bands[i])
                 sketches.append(sketch[i].tobytes())
+                marked.append(marks[i].tobytes())
             yield pa.RecordBatch.from_arrays(
                 [part.column(name) for name in names]
                 + [pa.array(keys, pa.binary()), pa.array(kept, pa.list_(pa.int64())),
-                   pa.array(sketches, pa.binary())],
-                names=[*names, "_key", "_bands", "_sketch"])
+                   pa.array(sketches, pa.binary()), pa.array(marked, pa.binary())],
+                names=[*names, "_key", "_bands", "_sketch", "_marks"])
 
     return docs.mapInArrow(sign, schema)
 
@@ -168,10 +177,7 @@ def verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
             for part in arrays.slices([batch], "ta", arrays.SLICE_BYTES // 2):
                 sides = []
                 for name in ("ta", "tb"):
-                    data, offsets = arrays.text_bytes(part.column(name))
-                    hashes, row, weight = shingles(arrays.WordTable(data, offsets, arrays.WORDS))
-                    ends = np.searchsorted(row, np.arange(part.num_rows + 1))
-                    sides.append([(hashes[i:j], weight[i:j]) for i, j in zip(ends, ends[1:])])
+                    sides.append(_weights(part.column(name)))
                 held = pa.array([similarity(x, y) >= threshold - 1e-12 for x, y in zip(*sides)],
                                 pa.bool_())
                 yield pa.RecordBatch.from_arrays(
@@ -188,54 +194,81 @@ def _possible(threshold: float) -> int:
     return math.floor(SIZE * threshold - 5 * math.sqrt(SIZE * threshold * (1 - threshold)))
 
 
-def crossing_pairs(members: DataFrame, least: int, only_best: bool) -> DataFrame:
-    """Possible pairs of members of one bucket that lie in different components: (a, b).
+def block_links(members: DataFrame, least: int, threshold: float) -> DataFrame:
+    """Links (a, b) that join the components of members of one bucket: a spanning forest of each group.
 
-    `members` has bucket, rep, component and _sketch. Buckets are cut into blocks of about BLOCK
-    members; a group is one pair of blocks. With `only_best` a group gives each member's most
-    agreeing partner alone, so at most as many pairs as it has members.
+    `members` has bucket, band, rep, component, _sketch, _marks and _text. A group is one pair of blocks.
     """
-    sizes = members.groupBy("bucket").agg(F.ceil(F.count(F.lit(1)) / F.lit(BLOCK)).alias("n"))
-    placed = members.join(sizes, "bucket").withColumn(
-        "own", F.pmod(F.xxhash64("rep"), F.col("n")))
-    spread = placed.select("bucket", "rep", "component", "_sketch", "own", F.explode(
+    sizes = members.groupBy("bucket").agg(F.greatest(
+        F.ceil(F.count(F.lit(1)) / F.lit(BLOCK)),
+        F.ceil(F.sum(F.octet_length("_text")) / F.lit(BLOCK_BYTES))).cast("long").alias("n"))
+    placed = members.join(sizes, "bucket").withColumn("own", F.pmod(F.xxhash64("rep"), F.col("n")))
+    kept = ["bucket", "band", "rep", "component", "_sketch", "_marks", "_text", "own"]
+    spread = placed.select(*kept, F.explode(
         F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("other"))
-    spread = spread.select(
-        "bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"),
-        "own", "rep", "component", "_sketch")
-
-    def compare(table: pa.Table) -> pa.Table:
-        sketch = np.stack([np.frombuffer(x.as_py(), dtype=np.uint16) for x in table.column("_sketch")])
-        rep, component, own = (table.column(c).to_numpy() for c in ("rep", "component", "own"))
-        one_block = (table.column("i").to_numpy() == table.column("j").to_numpy()).all()
-        a, b = [], []
-        for x in range(len(rep)):
-            n = (sketch == sketch[x]).sum(axis=1)
-            ok = (n >= least) & (component != component[x])
-            if not one_block:
-                ok &= own != own[x]
-            if only_best:
-                at = [np.where(ok, n, -1).argmax()] if ok.any() else []
-            else:
-                at = np.flatnonzero(ok & (rep > rep[x]))
-            a += [int(min(rep[x], rep[y])) for y in at]
-            b += [int(max(rep[x], rep[y])) for y in at]
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
-
-    return spread.groupBy("bucket", "i", "j").applyInArrow(compare, "a long, b long").distinct()
-
-
-def _open_members(members: DataFrame, found: DataFrame, sketches: DataFrame) -> DataFrame:
+    spread = spread.select(*kept, F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+
+    def link(table: pa.Table) -> pa.Table:
+        sketch = np.stack([np.frombuffer(x.as_py(), dtype=np.uint8) for x in table.column("_sketch")])
+        marks = np.stack([np.frombuffer(x.as_py(), dtype=np.uint32) for x in table.column("_marks")])
+        rep, component, own, band = (table.column(c).to_numpy() for c in ("rep", "component", "own", "band"))
+        two_blocks = (table.column("i").to_numpy() != table.column("j").to_numpy()).any()
+        _, tree = np.unique(component, return_inverse=True)
+        found = [], [], []
+        for x in range(len(rep) - 1):
+            n = (sketch[x + 1:] == sketch[x]).sum(axis=1)
+            ok = (n >= least) & (component[x + 1:] != component[x])
+            if two_blocks:
+                ok &= own[x + 1:] != own[x]
+            at = np.flatnonzero(ok)
+            at = at[(marks[x + 1 + at] == marks[x]).argmax(axis=1) == band[x]]
+            for part, values in zip(found, (np.full(len(at), x), at + x + 1, n[at])):
+                part.append(values)
+        xs, ys, agree = (np.concatenate(part) if part else np.zeros(0, np.int64) for part in found)
+        links = [], []
+        if len(xs):
+            root = np.arange(tree.max() + 1)
+
+            def find(node: int) -> int:
+                while root[node] != node:
+                    root[node] = root[root[node]]
+                    node = root[node]
+                return node
+
+            weights = _weights(table.column("_text"))
+            for at in np.argsort(-agree, kind="stable"):
+                x, y = int(xs[at]), int(ys[at])
+                one, other = find(tree[x]), find(tree[y])
+                if one != other and similarity(weights[x], weights[y]) >= threshold - 1e-12:
+                    root[one] = other
+                    links[0].append(int(min(rep[x], rep[y])))
+                    links[1].append(int(max(rep[x], rep[y])))
+        return pa.table({"a": pa.array(links[0], pa.int64()), "b": pa.array(links[1], pa.int64())})
+
+    return spread.groupBy("bucket", "i", "j").applyInArrow(link, "a long, b long")
+
+
+def _weights(column: pa.ChunkedArray | pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
+    """The sorted shingles of each text and their weights."""
+    if isinstance(column, pa.ChunkedArray):
+        column = pa.concat_arrays(c.cast(pa.large_string()) for c in column.chunks)
+    data, offsets = arrays.text_bytes(column)
+    hashes, row, weight = shingles(arrays.WordTable(data, offsets, arrays.WORDS))
+    ends = np.searchsorted(row, np.arange(len(column) + 1))
+    return [(hashes[i:j], weight[i:j]) for i, j in zip(ends, ends[1:])]
+
+
+def _open_members(members: DataFrame, found: DataFrame, reps: DataFrame) -> DataFrame:
     """Members, the first ones aside, of buckets that reach into several components."""
     others = _labelled(members.filter((F.col("rep") != F.col("first")) & (F.col("n") > 2)), found, "rep")
-    open_ = others.groupBy("bucket").agg(
+    open_ = others.groupBy("bucket", "band").agg(
         F.min("component").alias("low"), F.max("component").alias("high"),
         F.count(F.lit(1)).alias("m"), F.sum(F.xxhash64("rep").cast("decimal(38,0)")).alias("s"))
-    # the same members often share several bands: one bucket of each set is enough
+    # the same members often share several bands: the first bucket of each set is enough
     open_ = open_.filter(F.col("low") != F.col("high")).groupBy("m", "s").agg(
-        F.min("bucket").alias("bucket")).select("bucket")
-    return others.join(open_, "bucket", "left_semi").join(sketches, "rep").select(
-        "bucket", "rep", "component", "_sketch")
+        F.min(F.struct("band", "bucket")).alias("_b")).select(F.col("_b.bucket").alias("bucket"))
+    return others.join(open_, "bucket", "left_semi").select("bucket", "band", "rep", "component").join(
+        reps.select(F.col("_row").alias("rep"), "_sketch", "_marks", "_text"), "rep")
 
 
 def _labelled(rows: DataFrame, found: DataFrame, node: str, out: str = "component") -> DataFrame:
@@ -263,27 +296,22 @@ def _merged(found: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def classes_of(reps: DataFrame, threshold: float) -> DataFrame:
-    """(node, component) of every representative (_row, _bands, _sketch, _text) that has a link."""
-    buckets = reps.select(F.explode("_bands").alias("bucket"), F.col("_row").alias("rep"))
+    """(node, component) of every representative (_row, _bands, _sketch, _marks, _text) with a link."""
+    buckets = reps.select(F.posexplode("_bands").alias("band", "bucket"), F.col("_row").alias("rep"))
     full = buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("rep").alias("first"))
     members = staged(buckets.join(full.filter(F.col("n") > 1), "bucket"), "members")
-    sketches = reps.select(F.col("_row").alias("rep"), "_sketch")
+    # only texts that share a bucket are moved again
+    texts = staged(reps.drop("_bands").join(
+        members.select(F.col("rep").alias("_row")).distinct(), "_row", "left_semi"), "texts")
+    sketches = texts.select(F.col("_row").alias("rep"), "_sketch")
     least = _possible(threshold)
 
     first = members.filter(F.col("rep") != F.col("first")).select(
         F.col("first").alias("a"), F.col("rep").alias("b")).distinct()
-    links = staged(verified(_agreeing(first, sketches, least), reps, threshold), "links-first")
+    links = staged(verified(_agreeing(first, sketches, least), texts, threshold), "links-first")
     found = staged(components(links), "components")
-
-    best = staged(crossing_pairs(_open_members(members, found, sketches), least, True), "best")
-    if best.isEmpty():
-        return found
-    found = _merged(found, staged(verified(best, reps, threshold), "links-best"))
-    rest = crossing_pairs(_open_members(members, found, sketches), least, False)
-    rest = staged(rest.join(best, ["a", "b"], "left_anti"), "rest")
-    if rest.isEmpty():
-        return found
-    return _merged(found, staged(verified(rest, reps, threshold), "links-rest"))
+    return _merged(found, staged(block_links(_open_members(members, found, texts), least, threshold),
+                                 "links-blocks"))
 
 
 def _agreeing(pairs: DataFrame, sketches: DataFrame, least: int) -> DataFrame:
@@ -292,7 +320,7 @@ def _agreeing(pairs: DataFrame, sketches: DataFrame, least: int) -> DataFrame:
         for part in batches:
             if not part.num_rows:
                 continue
-            x, y = (np.frombuffer(b"".join(part.column(c).to_pylist()), dtype=np.uint16).reshape(-1, SIZE)
+            x, y = (np.frombuffer(b"".join(part.column(c).to_pylist()), dtype=np.uint8).reshape(-1, SIZE)
                     for c in ("sa", "sb"))
             held = pa.array((x == y).sum(axis=1) >= least)
             yield pa.RecordBatch.from_arrays(
@@ -323,7 +351,7 @@ def with_classes(docs: DataFrame, text: str = "text", threshold: float = THRESHO
     copies = staged(keyed.select("_row", "_key").join(firsts, "_key").select("_row", "rep"), "copies")
     reps = base.filter(F.col("_bands").isNotNull()).join(
         copies.filter(F.col("_row") == F.col("rep")).select("_row"), "_row", "left_semi").select(
-        "_row", "_bands", "_sketch", "_text")
+        "_row", "_bands", "_sketch", "_marks", "_text")
     with arrow_rows(spark, ARROW_ROWS):
         found = classes_of(reps, threshold)
     classes = staged(_labelled(copies, found, "rep").select("_row", "component"), "classes")
