@@ -252,6 +252,7 @@ class Encoder:
     def forget(self):
         self.index: dict[str, int] = {}
         self.ids: list[list[bytes]] = []
+        self.firsts: list[bytes] = []
         self.scores = np.zeros((0, self.n), dtype=np.int64)
 
     def _learn(self, chunks: list[str]):
@@ -279,23 +280,26 @@ class Encoder:
         base = len(self.ids)
         self.index.update(zip(chunks, range(base, base + len(chunks))))
         self.ids += paths
+        self.firsts += [some[0] for some in paths]
 
     def __call__(self, texts: list[str | None]) -> list[list[tuple[int, bytes]]]:
         """Per text its best n segmentations: (score, ids as little-endian unsigned 32 bits)."""
         split = [_CHUNK.findall(MARK + t.replace(MARK, LITERAL_MARK).replace(" ", MARK)) if t
                  else [] for t in texts]
-        new = {c for chunks in split for c in chunks} - self.index.keys()
+        distinct = set().union(*split)
+        new = distinct - self.index.keys()
         if len(self.index) + len(new) > CACHE_CHUNKS:
             self.forget()
-            new = {c for chunks in split for c in chunks}
+            new = distinct
         if new:
             self._learn(sorted(new))
-        return [self._combined([self.index[c] for c in chunks]) for chunks in split]
+        place = self.index.__getitem__
+        return [self._combined(list(map(place, chunks))) for chunks in split]
 
     def _combined(self, chunks: list[int]) -> list[tuple[int, bytes]]:
-        best = [self.ids[i][0] for i in chunks]
         if not chunks:
             return [(0, b"")]
+        best = list(map(self.firsts.__getitem__, chunks))
         scores = self.scores[chunks]
         top = int(scores[:, 0].sum())
         out = [(0, ())]  # (loss, changed places)
