@@ -184,10 +184,10 @@ def raw_labels(spark, sf_dir):
 
 
 def brand_priorities(spark, sf_dir):
-    labeled = label_table(prep.clean_tickets(raw_messages(spark, sf_dir)))
-    answered = F.length("agent_response") > 0
-    return labeled.groupBy("airline", "priority").agg(
-        F.count("*").alias("tickets"), F.count_if(answered).alias("answered"),
+    raw = raw_messages(spark, sf_dir)
+    labeled = label_table(cl.tidy_tickets(raw, keep=SHORT))
+    return rp.with_answered(labeled, raw).groupBy("airline", "priority").agg(
+        F.count("*").alias("tickets"), F.count_if("answered").alias("answered"),
         F.sum("score").alias("total_score"),
     )
 

@@ -98,18 +98,19 @@ def score_bands(labeled: DataFrame) -> DataFrame:
 def numeric_summary(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Count, mean, sample deviation, min, quartiles and max of each column.
 
-    Everything comes from one set of value counts, so the table is read once.
+    Quartiles come from value counts; the rest is one plain aggregate of the table, combined before its
+    one-row shuffle.
     """
-    counts = staged_counts(df, columns)
-    spread = quantiles_of(counts, QUARTILES)
-    means = weighted_means(counts)
-    squares = counts.join(means, "metric").groupBy("metric").agg(
-        F.sum(F.col("n") * (F.col("value") - F.col("mean")) ** 2).alias("_squares")
-    )
-    return spread.join(means, "metric").join(squares, "metric").select(
-        "metric", "count", "mean",
-        F.when(F.col("count") > 1, F.sqrt(F.col("_squares") / (F.col("count") - 1))).alias("std"),
-        "min", "q1", "median", "q3", "max",
+    values = {c: F.col(c).cast("double") for c in columns}
+    plain = df.agg(*[F.struct(
+        F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"), F.min(v).alias("min"), F.max(v).alias("max"),
+    ).alias(c) for c, v in values.items()])
+    moments = plain.select(F.explode(F.array(*[
+        F.struct(F.lit(c).alias("metric"), F.col(f"`{c}`.*")) for c in columns])).alias("_m")).select("_m.*")
+    inner = {name: p for name, p in QUARTILES.items() if 0 < p < 1}
+    spread = quantiles_of(staged_counts(df, columns), inner)
+    return spread.join(F.broadcast(moments), "metric").select(
+        "metric", "count", "mean", "std", "min", "q1", "median", "q3", "max",
     )
 
 

@@ -96,18 +96,24 @@ def attach_replies(tickets: DataFrame, raw: DataFrame, part_chars: int = PART_CH
     return attach_parts(tickets, reply_parts(raw, part_chars))
 
 
-def reply_coverage(tickets: DataFrame, raw: DataFrame) -> DataFrame:
-    """One row: tickets, tickets with a reply, and their share; 0 for an empty table.
+def with_answered(tickets: DataFrame, raw: DataFrame) -> DataFrame:
+    """Tickets with `answered`: whether `raw` holds a qualified reply.
 
     Parents are made distinct before the shuffle and no text is gathered.
     """
     parents = (
         reply_lines(reply_candidates(raw))
-        .select(F.col("parent_id").alias("tweet_id"), F.lit(1).alias("_hit"))
+        .select(F.col("parent_id").alias("tweet_id"), F.lit(True).alias("answered"))
         .distinct()
     )
-    counts = tickets.select("tweet_id").join(parents, "tweet_id", "left").agg(
-        F.count("*").alias("final_count"), F.count("_hit").alias("with_agent_response")
+    return tickets.join(parents, "tweet_id", "left").withColumn(
+        "answered", F.coalesce("answered", F.lit(False)))
+
+
+def reply_coverage(tickets: DataFrame, raw: DataFrame) -> DataFrame:
+    """One row: tickets, tickets with a reply, and their share; 0 for an empty table."""
+    counts = with_answered(tickets.select("tweet_id"), raw).agg(
+        F.count("*").alias("final_count"), F.count_if("answered").alias("with_agent_response")
     )
     share = F.when(
         F.col("final_count") > 0, 100.0 * F.col("with_agent_response") / F.col("final_count")
