@@ -218,7 +218,10 @@ def contamination(docs: DataFrame, items: DataFrame, text: str = "text", item_id
     names = hits.select("_row", "win", "len").join(windows, ["win", "len"]).select(
         "_row", "item").distinct()
     names = names.groupBy("_row").agg(F.array_sort(F.collect_list("item")).alias("_items"))
-    out = base.drop("_wins").join(spans, "_row", "left").join(names, "_row", "left")
+    # a row without proposals has no hits: it stays where it is
+    proposed = base.filter(F.col("_wins").isNotNull()).drop("_wins")
+    out = proposed.join(spans, "_row", "left").join(names, "_row", "left")
+    out = out.unionByName(base.filter(F.col("_wins").isNull()).drop("_wins"), allowMissingColumns=True)
     none = F.array().cast("array<string>")
     ids = F.coalesce(F.col("_items"), none)
     hit = F.when(F.col("hit_spans").isNull(), F.lit(0).cast("long")).otherwise(covered(F.col("hit_spans")))
