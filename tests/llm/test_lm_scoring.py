@@ -2,9 +2,11 @@ import math
 import re
 from collections import Counter
 
+import numpy as np
 import plain
 
 from ticketloom.llm import catalog, lm_scoring
+from ticketloom.llm.packing import pack, unpack
 
 
 def brute(docs, target_ids):
@@ -89,3 +91,21 @@ def test_groups_do_not_change_scores(spark, monkeypatch):
     found = lm_scoring.with_losses(df, keys)
     assert found.columns[:3] == df.columns and {r["_text"] for r in found.collect()} == {"x"}
     check(found.collect(), plainly, 2e-9)
+
+
+def test_hot_histories_and_many_parts(spark, monkeypatch):
+    # a third of the tokens is one word; hot histories meet their followers in several parts
+    docs = [dict(d, text=re.sub(r" ", " the ", d["text"] or "", count=400)) for d in plain.rows("documents")[:70]]
+    docs += [dict(doc_id=-1, text=None), dict(doc_id=-2, text="the " * 500)]
+    df = spark.createDataFrame([(d["doc_id"], d["text"]) for d in docs], "doc_id long, text string").repartition(3)
+    plainly = brute(docs, {d["doc_id"] for d in docs if d["doc_id"] % 3 == 0})
+    for name, value in (("GROUP_BYTES", 9_000), ("PART_KEYS", 700), ("HOT_COUNT", 20), ("ROW_TOKENS", 100)):
+        monkeypatch.setattr(lm_scoring, name, value)
+    check(lm_scoring.with_losses(df, df.filter("doc_id % 3 = 0").select("doc_id")).collect(), plainly, 2e-9)
+
+
+def test_packed_integers_come_back():
+    for values in ([], [0], [0, 0], [1, 255, 256, 1 << 40], [-1, 5], [1 << 62, -(1 << 63)]):
+        assert unpack(pack(np.array(values, dtype=np.int64))).tolist() == values
+    hashes = np.array([3, (1 << 64) - 1], dtype=np.uint64)
+    assert unpack(pack(hashes)).view(np.uint64).tolist() == hashes.tolist()

@@ -10,10 +10,12 @@ P(w) = (c(w) + 1) / (n + size), with counts of the model's own corpus. A documen
 mean over its tokens of the target's loss less the background's, in nats: below 0 means closer to
 the target. A text begins with a start mark.
 
-Both tables grow with the corpus and stay Spark tables. Documents are cut into groups of about
-GROUP_BYTES of text; a group's distinct words and bigrams, with its own counts, meet those of the other
-groups by word and by bigram, and each group is handed back the sums of what it holds. Only totals and
-the two marks' counts reach the driver.
+Both tables grow with the corpus and stay Spark tables. Documents are read once and cut into groups of
+about GROUP_BYTES of text, kept as numbers of the group's distinct words. Groups deal out what they
+counted as packed slices, words by a range of their hash and bigrams by their history; a slice's answer
+holds the sums over all groups in the slice's own order, so that no key travels back. k(h) is c(h) less the
+bigrams after h that occur once. Histories of at least HOT_COUNT tokens are dealt out by both words, and
+their parts added up in a table of their own. Only totals and the two marks' counts reach the driver.
 
 Null and empty texts have no tokens and scores of 0. Repeated rows count as often as they occur.
 Without a target document the target model is uniform.
@@ -23,13 +25,13 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ticketloom.llm import arrays
+from ticketloom.llm.packing import pack, unpack
 from ticketloom.llm.staging import staged
 
 LEAST_COUNT = 2
@@ -38,9 +40,20 @@ MIX = 0.6
 GROUP_BYTES = 16 << 20
 #: Marked keys up to which they are broadcast to the documents instead of shuffled with them.
 BROADCAST_KEYS = 2_000_000
+#: Words, or bigrams, of all groups that a part of the exchange aims at.
+PART_KEYS = 1_000_000
+#: Tokens from which a history's bigrams are dealt out by both words.
+HOT_COUNT = 100_000
+#: Tokens of a group that one stored row holds.
+ROW_TOKENS = 1_000_000
 
-#: The start mark and the unknown token, in place of a word's hash.
-START, UNKNOWN = 0, 1
+#: Numbers of the start mark and the unknown token; a known word's is 2 + (part << 32) + its rank there.
+START, UNKNOWN, FIRST = 0, 1, 2
+
+BLOBS = [f"x{i}" for i in range(6)]
+#: Packed columns of a group: `kind` and `b` say which.
+PACKED = T.StructType([T.StructField("g", T.LongType()), T.StructField("kind", T.StringType()),
+                       T.StructField("b", T.LongType()), *(T.StructField(x, T.BinaryType()) for x in BLOBS)])
 
 
 def marked(docs: DataFrame, keys: DataFrame, key: str) -> DataFrame:
@@ -53,146 +66,272 @@ def marked(docs: DataFrame, keys: DataFrame, key: str) -> DataFrame:
 
 
 def tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all tokens, and each row's number of them."""
     words = arrays.WordTable(data, offsets, arrays.TOKENS)
-    return words.hashes, np.repeat(np.arange(len(words.counts)), words.counts)
+    return words.hashes, words.counts
+
+
+def packed(g: int, kind: str, b: int, *blobs: bytes) -> dict:
+    return {"g": g, "kind": kind, "b": b} | dict(zip(BLOBS, blobs))
 
 
-def token_counts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """Tokens of each row, without their hashes."""
-    begins = arrays.TOKENS[data] != 0
-    after = begins[:-1].copy()
-    at = offsets[(offsets > 0) & (offsets < len(data))]
-    after[at - 1] = False
-    begins[1:] &= ~after
-    return np.diff(np.searchsorted(np.flatnonzero(begins), offsets))
+def counted(number: np.ndarray, sizes: np.ndarray, target: np.ndarray, distinct: int) -> list[np.ndarray]:
+    """Per word: occurrences, those in the target, and both of those that end a text."""
+    inside = np.repeat(target, sizes).astype(np.float64)
+    last = np.cumsum(sizes)[sizes > 0] - 1
+    return [np.bincount(place, weight, distinct).astype(np.int64) for place, weight in (
+        (number, None), (number, inside), (number[last], None), (number[last], inside[last]))]
 
 
-def grouped(docs: DataFrame) -> DataFrame:
-    """`docs` with _n, its tokens, and _g, its group; staged, so that a document keeps its group."""
-    names = [*docs.columns, "_n", "_g"]
+def numbered(docs: DataFrame) -> DataFrame:
+    """`docs` without texts but with _n, their tokens, and their place (g, b), beside packed rows.
+
+    A group's `text` row holds its documents' tokens and marks, `code` rows the tokens as numbers of its
+    distinct words, the `word` row these words' hashes and counts. Staged: a document keeps its group.
+    """
+    own = [c for c in docs.columns if c not in ("_text", "_target")]
+    schema = T.StructType([*PACKED.fields, T.StructField("_n", T.LongType()),
+                           *(T.StructField(c, docs.schema[c].dataType) for c in own)])
+
+    def finish(g, held):
+        hashes, sizes, target = (np.concatenate(x) for x in zip(*held))
+        yield packed(g, "text", 0, pack(sizes), pack(target)) | {"_n": 0}
+        found, number = np.unique(hashes, return_inverse=True)
+        for first in range(0, len(number), ROW_TOKENS):
+            yield packed(g, "code", first // ROW_TOKENS, pack(number[first:first + ROW_TOKENS])) | {"_n": 0}
+        if len(found):
+            yield packed(g, "word", 0, pack(np.diff(found, prepend=np.uint64(0))),
+                         *(pack(x) for x in counted(number, sizes, target, len(found)))) | {"_n": len(found)}
+
+    def number(batches):
+        g, size, rows, held, types = TaskContext.get().partitionId() << 32, 0, 0, [], None
+
+        def batch(rows):
+            return pa.RecordBatch.from_arrays(
+                [pa.array([r.get(name) for r in rows], kind) for name, kind in types], names=schema.names)
 
-    def group(batches):
-        first, number, size = TaskContext.get().partitionId() << 32, 0, 0
         for part in arrays.slices(batches, "_text", min(arrays.SLICE_BYTES, GROUP_BYTES)):
+            types = types or [
+                ("g", pa.int64()), ("kind", pa.string()), ("b", pa.int64()), *((x, pa.binary()) for x in BLOBS),
+                ("_n", pa.int64()), *((c, part.schema.field(c).type) for c in own)]
             data, offsets = arrays.text_bytes(part.column("_text"))
             more = len(data) + 16 * part.num_rows
             if size and size + more > GROUP_BYTES:
-                number, size = number + 1, 0
-            size += more
-            yield pa.RecordBatch.from_arrays(
-                [*part.columns, pa.array(token_counts(data, offsets)),
-                 pa.array(np.full(part.num_rows, first + number))], names=names)
-
-    schema = T.StructType([*docs.schema.fields, T.StructField("_n", T.LongType()),
-                           T.StructField("_g", T.LongType())])
-    return staged(docs.mapInArrow(group, schema), "lm-documents")
-
-
-WORD_PARTS = "g long, w long, n long, nt long, c long, ct long"
-
-
-def word_parts(docs: DataFrame) -> DataFrame:
-    """Counts of each group's words, and as a history (before another token), in both corpora."""
-    def parts(held, g):
-        hashes, target, history = (np.concatenate(x) for x in zip(*held))
-        found, place = np.unique(hashes, return_inverse=True)
-        sums = [np.bincount(place, x, len(found)).astype(np.int64)
-                for x in (np.ones(len(place)), target, history, target * history)]
-        for first in range(0, len(found), 100_000):
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(x[first:first + 100_000])
-                 for x in (np.full(len(found), g), found.view(np.int64), *sums)],
-                names=["g", "w", "n", "nt", "c", "ct"])
-
-    def count(batches):
-        held, last = [], None
-        for part in arrays.slices(batches, "_text"):
-            groups = part.column("_g").to_numpy()
-            cuts = [0, *(np.flatnonzero(groups[1:] != groups[:-1]) + 1).tolist(), len(groups)]
-            for a, b in zip(cuts, cuts[1:]):
-                if held and groups[a] != last:
-                    yield from parts(held, last)
-                    held = []
-                last, own = groups[a], part.slice(a, b - a)
-                hashes, row = tokens(*arrays.text_bytes(own.column("_text")))
-                if len(hashes):
-                    target = own.column("_target").to_numpy(False).astype(np.float64)
-                    held.append((hashes, target[row], np.append(row[1:] == row[:-1], False)))
+                for row in finish(g, held):
+                    yield batch([row])
+                g, size, rows, held = g + 1, 0, 0, []
+            hashes, sizes = tokens(data, offsets)
+            held.append((hashes, sizes, part.column("_target").to_numpy(False).astype(np.int64)))
+            yield pa.RecordBatch.from_arrays([
+                pa.array(np.full(part.num_rows, g)), pa.array(["document"] * part.num_rows, pa.string()),
+                pa.array(np.arange(rows, rows + part.num_rows)),
+                *(pa.nulls(part.num_rows, pa.binary()) for _ in BLOBS), pa.array(sizes.astype(np.int64)),
+                *(part.column(c) for c in own)], names=schema.names)
+            size, rows = size + more, rows + part.num_rows
         if held:
-            yield from parts(held, last)
+            for row in finish(g, held):
+                yield batch([row])
 
-    return docs.select("_text", "_target", "_g").mapInArrow(count, WORD_PARTS)
+    return staged(docs.mapInArrow(number, schema), "lm-documents")
 
 
-def summed(parts: DataFrame, key: list[str], counts: list[str]) -> DataFrame:
-    """For each group its keys' sums over all groups, from LEAST_COUNT on, and one row a key with `once`.
+def table_of(rows: list[dict], schema: T.StructType) -> pa.Table:
+    kinds = {"bigint": pa.int64(), "string": pa.string(), "binary": pa.binary()}
+    return pa.table({f.name: pa.array([r.get(f.name) for r in rows], kinds[f.dataType.simpleString()])
+                     for f in schema.fields})
 
-    A key has one row a group, so the commonest is no larger than the number of groups.
-    """
-    own = parts.repartition(*key).groupBy(*key, "g").agg(*(F.sum(c).alias(c) for c in counts))
-    over = Window.partitionBy(*key)
-    return own.select("g", *key, (F.min("g").over(over) == F.col("g")).alias("once"),
-                      *(F.sum(c).over(over).alias(c) for c in counts)).filter(F.col("n") >= LEAST_COUNT)
+
+def joined(rows: list[dict], column: str) -> np.ndarray:
+    found = [unpack(r[column]) for r in rows]
+    return np.concatenate(found) if found else np.zeros(0, dtype=np.int64)
+
+
+def tasks(df: DataFrame, groups: int) -> int:
+    """Tasks for so many groups: each has one of its own as long as they are not many thousands."""
+    return max(1, min(2 * groups, max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), groups // 16)))
+
+
+def word_slices(rows: DataFrame, parts: int) -> DataFrame:
+    """The groups' words cut by ranges of their hashes."""
+    def cut(batches):
+        for batch in batches:
+            for row in batch.to_pylist():
+                columns = [unpack(row[x]) for x in BLOBS[:5]]
+                hashes = np.cumsum(columns[0].view(np.uint64), dtype=np.uint64)
+                part = ((hashes >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
+                at = np.searchsorted(part, np.arange(parts + 1).astype(np.uint64))
+                out = [packed(row["g"], "word", b, pack(np.diff(hashes[i:j], prepend=np.uint64(0))),
+                              *(pack(c[i:j]) for c in columns[1:]))
+                       for b, (i, j) in enumerate(zip(at, at[1:])) if i < j]
+                yield from table_of(out, PACKED).to_batches()
+
+    return rows.filter("kind = 'word'").select(*PACKED.names).mapInArrow(cut, PACKED)
+
+
+SUMS = ["size", "n", "nt", "e", "et"]
+WORDS = T.StructType([*PACKED.fields, *(T.StructField(c, T.LongType()) for c in SUMS)])
+
+
+def word_sums(table: pa.Table) -> pa.Table:
+    """Each slice's words that are known, their ranks and sums over all groups; one row has the totals."""
+    rows = table.to_pylist()
+    keys = [np.cumsum(unpack(r["x0"]).view(np.uint64), dtype=np.uint64) for r in rows]
+    found, place = np.unique(np.concatenate(keys), return_inverse=True)
+    sums = [np.bincount(place, joined(rows, x), len(found)).astype(np.int64) for x in BLOBS[1:5]]
+    known = sums[0] >= LEAST_COUNT
+    rank = np.cumsum(known) - 1
+    totals = dict(zip(SUMS, [int(known.sum()), *(int(s[known].sum()) for s in sums)]))
+    out, ends = [], np.cumsum([len(k) for k in keys])
+    for row, key, end in zip(rows, keys, ends):
+        at = place[end - len(key):end]
+        kept = at[known[at]]
+        out.append(packed(row["g"], "word", row["b"], pack(known[at]), pack(np.diff(rank[kept], prepend=0)),
+                          *(pack(s[kept]) for s in sums)) | (dict.fromkeys(SUMS, 0) if out else totals))
+    return table_of(out, WORDS)
+
+
+def exchanged(slices: DataFrame, parts: int, add, schema: T.StructType, label: str) -> DataFrame:
+    """The answers to all slices; slices of one part meet in one task."""
+    return staged(slices.repartition(tasks(slices, parts), "b").groupBy("b").applyInArrow(add, schema), label)
 
 
 class Group:
-    """A group's tokens as places in its sorted known words; places 0 and 1 are the marks."""
-
-    def __init__(self, docs: pa.Table, words: np.ndarray):
-        column = docs.column("_text").combine_chunks()
-        if isinstance(column, pa.ChunkedArray):
-            column = pa.concat_arrays(c.cast(pa.large_string()) for c in column.chunks)
-        self.words = np.concatenate([np.array([START, UNKNOWN], dtype=np.int64), words])
-        hashes, self.row = tokens(*arrays.text_bytes(column))
-        known = words.view(np.uint64)
-        self.word = np.full(len(hashes), UNKNOWN)
-        if len(known):
-            at = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
-            self.word = np.where(known[at] == hashes, at + 2, UNKNOWN)
+    """A group's tokens as places among its known words, in the order of their numbers; 0 and 1 are the marks."""
+
+    def __init__(self, rows: list[dict], parts: int, hot_count: int):
+        kinds = {}
+        for row in sorted(rows, key=lambda r: r["b"]):
+            kinds.setdefault(row["kind"], []).append(row)
+        self.kinds, self.parts = kinds, parts
+        words = kinds.get("word", [])
+        known = joined(words, "x0").astype(bool)
+        self.ids = np.concatenate([np.array([START, UNKNOWN]), *(
+            FIRST + (r["b"] << 32) + np.cumsum(unpack(r["x1"])) for r in words)])
+        self.sums = np.stack([joined(words, x) for x in BLOBS[2:6]], axis=1)
+        place = np.full(len(known), UNKNOWN)
+        place[known] = np.arange(FIRST, FIRST + known.sum())
+        self.sizes = joined(kinds["text"], "x0")
+        self.target = np.repeat(joined(kinds["text"], "x1"), self.sizes)
+        codes = joined(kinds.get("code", []), "x0")
+        self.word = place[codes] if len(codes) else codes
         self.history = np.append(START, self.word[:-1])[:len(self.word)]
-        self.history[np.append(True, self.row[1:] != self.row[:-1])[:len(self.row)]] = START
+        self.history[(np.cumsum(self.sizes) - self.sizes)[self.sizes > 0]] = START
+        self.hot = np.append([True, True], self.sums[:, 0] >= hot_count)
 
     def pairs(self):
-        """Distinct pairs as (history, word) and each token's place among them."""
+        """Distinct bigrams as (history, word), their parts' order, and each token's place among them."""
         codes, place = np.unique((self.history << 32) | self.word, return_inverse=True)
-        return codes >> 32, codes & 0xFFFFFFFF, place
+        history, word = codes >> 32, codes & 0xFFFFFFFF
+        with np.errstate(over="ignore"):
+            key = self.ids[history].view(np.uint64) * np.uint64(arrays.STEP)
+            key += np.where(self.hot[history], self.ids[word].view(np.uint64), np.uint64(0))
+        part = (arrays.mix(key) % np.uint64(self.parts)).astype(np.int64)
+        order = np.argsort(part, kind="stable")
+        cuts = np.append(np.flatnonzero(np.diff(part[order], prepend=-1)), len(order))
+        return history, word, place, [(int(part[order[i]]), order[i:j]) for i, j in zip(cuts, cuts[1:])]
 
 
-def by_hash(table: pa.Table, key: str, columns: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Keys in the order of unsigned hashes, and their columns."""
-    keys = table.column(key).to_numpy()
-    order = np.argsort(keys.view(np.uint64))
-    return keys[order], np.stack([table.column(c).to_numpy()[order] for c in columns], axis=1)
+def heads_of(history: np.ndarray) -> np.ndarray:
+    """Where another history begins."""
+    return np.flatnonzero(np.diff(history, prepend=-1))
 
 
-def pair_hash(history: np.ndarray, word: np.ndarray) -> np.ndarray:
-    with np.errstate(over="ignore"):
-        return arrays.mix(history.view(np.uint64) * np.uint64(arrays.STEP) + word.view(np.uint64))
+def pair_slices(coded: DataFrame, words: DataFrame, groups: int, parts: int) -> DataFrame:
+    """The groups' bigrams: histories' numbers, marks of hot ones and followers; words' numbers and counts."""
+    def cut(table: pa.Table) -> pa.Table:
+        group = Group(table.to_pylist(), parts, HOT_COUNT)
+        g = table.column("g")[0].as_py()
+        history, word, place, slices = group.pairs()
+        n = np.bincount(place, minlength=len(history))
+        nt = np.bincount(place, group.target, len(history)).astype(np.int64)
+        out = []
+        for b, at in slices:
+            begin = heads_of(history[at])
+            head = history[at][begin]
+            out.append(packed(
+                g, "pair", b, pack(np.diff(group.ids[head], prepend=0)), pack(group.hot[head]),
+                pack(np.diff(begin, append=len(at))), pack(group.ids[word[at]]), pack(n[at]), pack(nt[at])))
+        return table_of(out, PACKED)
 
+    rows = coded.unionByName(words.select(*PACKED.names))
+    return rows.repartition(tasks(rows, groups), "g").groupBy("g").applyInArrow(cut, PACKED)
 
-PAIR_PARTS = "g long, h long, w long, p long, n long, nt long"
 
+PAIRS = T.StructType([*PACKED.fields, *(T.StructField(x, T.BinaryType()) for x in ("hot", "s", "st"))])
 
-def pair_parts(docs: DataFrame, words: DataFrame) -> DataFrame:
-    """Counts of each group's bigrams of known words and marks; p is a bigram's hash."""
-    def count(key, left: pa.Table, right: pa.Table) -> pa.Table:
-        group = Group(left, by_hash(right, "w", ["w"])[0])
-        history, word, place = group.pairs()
-        target = left.column("_target").to_numpy().astype(np.float64)[group.row]
-        h, w = group.words[history], group.words[word]
-        return pa.table({
-            "g": np.full(len(h), key[0].as_py()), "h": h, "w": w, "p": pair_hash(h, w).view(np.int64),
-            "n": np.bincount(place, minlength=len(h)).astype(np.int64),
-            "nt": np.bincount(place, target, len(h)).astype(np.int64)})
 
-    return docs.select("_g", "_text", "_target").groupBy("_g").cogroup(
-        words.select("g", "w").groupBy("g")).applyInArrow(count, PAIR_PARTS)
+def pair_sums(table: pa.Table) -> pa.Table:
+    """Each slice's kept bigrams, their sums, and after each history the bigrams that occur once.
+
+    A hot history's are this part's alone; one row has them all, to be added up.
+    """
+    rows = table.to_pylist()
+    heads = [np.cumsum(unpack(r["x0"])) for r in rows]
+    every, number = np.unique(np.concatenate(heads), return_inverse=True)
+    hot = np.zeros(len(every), dtype=bool)
+    hot[number] = joined(rows, "x1").astype(bool)
+    words, word = np.unique(joined(rows, "x3"), return_inverse=True)
+    codes, place = np.unique(np.repeat(number, joined(rows, "x2")) * len(words) + word, return_inverse=True)
+    n, nt = (np.bincount(place, joined(rows, x), len(codes)).astype(np.int64) for x in ("x4", "x5"))
+    kept = n >= LEAST_COUNT
+    single = codes[~kept] // len(words)
+    s, st = (np.bincount(single, c[~kept], len(every)).astype(np.int64) for c in (n, nt))
+    out, first, first_head = [], 0, 0
+    for row, head in zip(rows, heads):
+        size = int(unpack(row["x2"]).sum())
+        at, own = place[first:first + size], number[first_head:first_head + len(head)]
+        first, first_head = first + size, first_head + len(head)
+        of = at[kept[at]]
+        out.append(packed(row["g"], "pair", row["b"], pack(kept[at]), pack(n[of]), pack(nt[of]),
+                          pack(s[own]), pack(st[own]))
+                   | ({} if out else {"hot": pack(every[hot]), "s": pack(s[hot]), "st": pack(st[hot])}))
+    return table_of(out, PAIRS)
+
+
+def hot_heads(pairs: DataFrame) -> DataFrame:
+    """For hot histories: the bigrams after them that occur once, in both corpora."""
+    def spread(batches):
+        for batch in batches:
+            for row in batch.to_pylist():
+                yield pa.RecordBatch.from_arrays([pa.array(unpack(row[c])) for c in ("hot", "s", "st")],
+                                                 names=["h", "s", "st"])
+
+    parts = pairs.filter("hot IS NOT NULL").select("hot", "s", "st").mapInArrow(spread, "h long, s long, st long")
+    return staged(parts.groupBy("h").agg(F.sum("s").alias("s"), F.sum("st").alias("st")), "lm-heads")
+
+
+def hot_members(words: DataFrame) -> DataFrame:
+    """Groups and the numbers of the hot words they hold."""
+    def spread(batches):
+        for batch in batches:
+            for row in batch.to_pylist():
+                rank, n = np.cumsum(unpack(row["x1"])), unpack(row["x2"])
+                ids = FIRST + (row["b"] << 32) + rank[n >= HOT_COUNT]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), row["g"])), pa.array(ids)],
+                                                 names=["g", "h"])
+
+    return words.select("g", "b", "x1", "x2").mapInArrow(spread, "g long, h long")
 
 
 def totals(df: DataFrame, columns: list) -> list[int]:
     return [x or 0 for x in df.agg(*(F.sum(c) for c in columns)).first()]
 
 
+def text_totals(rows: DataFrame) -> list[int]:
+    """Tokens, those of the target, texts that have some, and those of the target."""
+    def add(batches):
+        for batch in batches:
+            for row in batch.to_pylist():
+                sizes, target = unpack(row["x0"]), unpack(row["x1"])
+                some = (sizes > 0).astype(np.int64)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([int(x)]) for x in (sizes.sum(), sizes @ target, some.sum(), some @ target)],
+                    names=["n", "nt", "t", "tt"])
+
+    found = rows.filter("kind = 'text'").select("x0", "x1").mapInArrow(add, "n long, nt long, t long, tt long")
+    return totals(found, ["n", "nt", "t", "tt"])
+
+
 def with_losses(docs: DataFrame, target_keys: DataFrame, key: str = "doc_id", text: str = "text",
                 carry: list[str] | None = None) -> DataFrame:
     """`docs` with n_tokens, ce_target, ce_background and ce_difference (nats per token)."""
@@ -201,55 +340,62 @@ def with_losses(docs: DataFrame, target_keys: DataFrame, key: str = "doc_id", te
     own = [f"c{i}" for i in range(len(kept))]
     rows = docs.select(*(F.col(c).alias(o) for c, o in zip(kept, own)),
                        F.col(text).cast("string").alias("_text"), F.col(key).alias("_key"))
-    rows = grouped(marked(rows, target_keys.select(F.col(key).alias("_key")), "_key").drop("_key"))
-
-    target, some = F.col("_target").cast("long"), (F.col("_n") > 0).cast("long")
-    n, nt, texts, texts_t = totals(rows, [F.col("_n"), F.col("_n") * target, some, some * target])
-    words = staged(summed(word_parts(rows), ["w"], ["n", "nt", "c", "ct"]), "lm-words")
-    size, *known = totals(words.filter("once"), [F.lit(1), "n", "nt", "c", "ct"])
-    pairs = staged(summed(pair_parts(rows, words), ["h", "w", "p"], ["n", "nt"]), "lm-pairs")
-    heads = staged(pairs.filter("once").groupBy("h").agg(
-        F.sum("n").alias("k"), F.sum("nt").alias("kt")), "lm-heads")
-    k = {r["h"]: (r["k"], r["kt"]) for r in heads.filter(F.col("h").isin(START, UNKNOWN)).collect()}
-    # n, nt, c, ct, k, kt of the start mark, which is no word, and of the unknown token
-    marks = np.array([
-        (0, 0, texts, texts_t, *k.get(START, (0, 0))),
-        (n - known[0], nt - known[1], n - texts - known[2], nt - texts_t - known[3],
-         *k.get(UNKNOWN, (0, 0)))], dtype=np.float64)
-
-    counts = ["n", "nt", "c", "ct", "k", "kt"]
-    none = F.lit(0).cast("long")
-    held = words.join(heads, F.col("w") == F.col("h"), "left").select(
-        "g", F.lit(True).alias("word"), F.col("w").alias("key"), "n", "nt", "c", "ct",
-        F.coalesce("k", none).alias("k"), F.coalesce("kt", none).alias("kt")).unionByName(
-        pairs.select("g", F.lit(False).alias("word"), F.col("p").alias("key"), "n", "nt",
-                     *(none.alias(c) for c in counts[2:])))
-
-    def score(key, left: pa.Table, right: pa.Table) -> pa.Table:
-        is_word = right.column("word")
-        hashes, sums = by_hash(right.filter(is_word), "key", counts)
-        group, sums = Group(left, hashes), np.concatenate([marks, sums])
-        history, word, place = group.pairs()
-        before = np.maximum(sums[history, 2:4], 1)
-        chance = (1 - MIX * sums[history, 4:6] / before) * (sums[word, :2] + 1) / (
-            np.array([n, nt]) + size + 1)
-        keys, both = by_hash(right.filter(pc.invert(is_word)), "key", counts[:2])
-        if len(keys):
-            hashes = pair_hash(group.words[history], group.words[word])
-            at = np.minimum(np.searchsorted(keys.view(np.uint64), hashes), len(keys) - 1)
-            found = keys.view(np.uint64)[at] == hashes
-            chance[found] += MIX * both[at[found]] / before[found]
-        losses, n_tokens = -np.log(chance), left.column("_n").to_numpy()
-        background, target = (np.bincount(group.row, losses[place, i], len(n_tokens))
-                              / np.maximum(n_tokens, 1) for i in (0, 1))
-        return pa.table([*(left.column(o) for o in own), pa.array(n_tokens), pa.array(target),
+    rows = numbered(marked(rows, target_keys.select(F.col(key).alias("_key")), "_key").drop("_key"))
+
+    n, nt, texts, texts_t = text_totals(rows)
+    groups, distinct = totals(rows.filter("kind IN ('text', 'word')"), [
+        (F.col("kind") == "text").cast("long"), "_n"])
+    word_parts, pair_parts = max(1, -(-distinct // PART_KEYS)), max(1, -(-n // PART_KEYS))
+    words = exchanged(word_slices(rows, word_parts), word_parts, word_sums, WORDS, "lm-words")
+    size, *known = totals(words, SUMS)
+    coded = rows.filter("kind IN ('text', 'code')").select(*PACKED.names)
+    pairs = exchanged(pair_slices(coded, words, groups, pair_parts), pair_parts, pair_sums, PAIRS, "lm-pairs")
+    heads = hot_heads(pairs)
+    single = {r["h"]: (r["s"], r["st"]) for r in heads.filter(F.col("h").isin(START, UNKNOWN)).collect()}
+    # n, nt, e, et of the start mark, as if it ended no text, and of the unknown token
+    marks = np.array([(texts, texts_t, 0, 0), (n - known[0], nt - known[1], texts - known[2], texts_t - known[3])])
+
+    longs = [F.lit(None).cast("long").alias(c) for c in ("s", "st")]
+    blobs = [F.lit(None).cast("binary").alias(x) for x in BLOBS]
+    held = coded.unionByName(words.select(*PACKED.names)).unionByName(pairs.select(*PACKED.names)).select(
+        "*", *longs).unionByName(hot_members(words).join(heads, "h").select(
+            "g", F.lit("head").alias("kind"), F.col("h").alias("b"), *blobs, "s", "st"))
+
+    def score(left: pa.Table, right: pa.Table) -> pa.Table:
+        left = left.sort_by("_b")
+        group = Group(right.to_pylist(), pair_parts, HOT_COUNT)
+        sums = np.concatenate([marks, group.sums])
+        history, word, place, slices = group.pairs()
+        once, both = np.zeros((len(sums), 2)), np.zeros((len(history), 2))
+        answers = {r["b"]: r for r in group.kinds.get("pair", [])}
+        for b, at in slices:
+            row = answers[b]
+            once[history[at][heads_of(history[at])]] = np.stack([unpack(row["x3"]), unpack(row["x4"])], axis=1)
+            both[at[unpack(row["x0"]).astype(bool)]] = np.stack([unpack(row["x1"]), unpack(row["x2"])], axis=1)
+        for mark in (START, UNKNOWN):
+            once[mark] = single.get(mark, (0, 0))
+        hot = group.kinds.get("head", [])
+        once[np.searchsorted(group.ids, [r["b"] for r in hot])] = np.array(
+            [(r["s"], r["st"]) for r in hot]).reshape(-1, 2)
+        count = (sums[:, :2] - sums[:, 2:]).astype(np.float64)
+        before, after = np.maximum(count, 1)[history], (count - once)[history]
+        unigram = sums[:, :2] + 1.0
+        unigram[START] = 0
+        chance = (1 - MIX * after / before) * unigram[word] / (np.array([n, nt]) + size + 1) + MIX * both / before
+        losses = -np.log(chance)
+        row = np.repeat(np.arange(len(group.sizes)), group.sizes)
+        target, background = (np.bincount(row, losses[place, i], len(group.sizes))
+                              / np.maximum(group.sizes, 1) for i in (1, 0))
+        return pa.table([*(left.column(o) for o in own), pa.array(group.sizes), pa.array(target),
                          pa.array(background), pa.array(target - background)], names=own + added)
 
     schema = T.StructType([*(T.StructField(o, docs.schema[c].dataType) for c, o in zip(kept, own)),
                            T.StructField(added[0], T.LongType()),
                            *(T.StructField(c, T.DoubleType()) for c in added[1:])])
-    scored = rows.select("_g", *own, "_text", "_n").groupBy("_g").cogroup(
-        held.groupBy("g")).applyInArrow(score, schema)
+    count = tasks(rows, groups)
+    found = rows.filter("kind = 'document'").select(F.col("g").alias("_g"), F.col("b").alias("_b"), *own)
+    scored = found.repartition(count, "_g").groupBy("_g").cogroup(
+        held.repartition(count, "g").groupBy("g")).applyInArrow(score, schema)
     return scored.select(*(F.col(o).alias(c) for c, o in zip(kept, own)), *added)
 
 
