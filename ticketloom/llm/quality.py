@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import io
 import math
+from collections.abc import Iterable
 
 import numpy as np
 import pyarrow as pa
@@ -83,13 +84,14 @@ def features(data: np.ndarray, offsets: np.ndarray):
             yield (code % np.uint64(BUCKETS)).astype(np.int64), rows[at + first + 1]
 
 
-def document_features(texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Per text: distinct features and their counts."""
+def document_features(texts: Iterable[str]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Per text: distinct features and their counts, in 32 bits: the sample is held as a whole."""
     out = []
     for text in texts:
         data = np.frombuffer(text.encode(), dtype=np.uint8)
         parts = [f for f, _ in features(data, np.array([0, len(data)]))]
-        out.append(np.unique(np.concatenate(parts), return_counts=True))
+        found, counts = np.unique(np.concatenate(parts), return_counts=True)
+        out.append((found.astype(np.int32), counts.astype(np.int32)))
     return out
 
 
@@ -193,7 +195,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", key: str = "
 
     def learn(table: pa.Table) -> pa.Table:
         table = table.sort_by([("k", "ascending"), ("y", "ascending"), ("t", "ascending")])
-        texts = [t or "" for t in table.column("t").to_pylist()]
+        texts = (t.as_py() or "" for t in table.column("t"))
         y = table.column("y").to_numpy().astype(np.int64)
         model = Model.fit(document_features(texts), y, share) if len(set(y.tolist())) == 2 \
             else Model.constant(share)
