@@ -32,6 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ticketloom.llm import arrays
+from ticketloom.llm.worker_memory import remembered
 
 MARK = "▁"
 LITERAL_MARK = "\ud800"  # a lone surrogate, which no text holds, stands for a word mark in the text
@@ -321,14 +322,9 @@ class Encoder:
         return result
 
 
-_ENCODERS: dict[tuple[str, int], Encoder] = {}
-
-
 def encoder(path: str, n: int) -> Encoder:
-    """One encoder per worker process, model file and n."""
-    if (path, n) not in _ENCODERS:
-        _ENCODERS[path, n] = Encoder(Vocabulary(path), n)
-    return _ENCODERS[path, n]
+    """The worker's encoder for a model file and n."""
+    return remembered(("pieces", path, n), lambda: Encoder(Vocabulary(path), n))
 
 
 ADDED = T.StructType([

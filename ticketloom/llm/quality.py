@@ -23,11 +23,13 @@ from collections.abc import Iterable
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ticketloom.llm import arrays
+from ticketloom.llm.worker_memory import let_go
 
 BUCKETS = 1 << 17
 DIM = 8
@@ -194,9 +196,10 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", key: str = "
         F.broadcast(chosen), "k").groupBy("k", "y").agg(F.min("t").alias("t"))
 
     def learn(table: pa.Table) -> pa.Table:
-        table = table.sort_by([("k", "ascending"), ("y", "ascending"), ("t", "ascending")])
-        texts = (t.as_py() or "" for t in table.column("t"))
-        y = table.column("y").to_numpy().astype(np.int64)
+        let_go()  # of what operators before this one left in the worker
+        order = pc.sort_indices(table, [("k", "ascending"), ("y", "ascending"), ("t", "ascending")]).to_pylist()
+        texts = (table["t"][i].as_py() or "" for i in order)
+        y = table["y"].to_numpy().astype(np.int64)[order]
         model = Model.fit(document_features(texts), y, share) if len(set(y.tolist())) == 2 \
             else Model.constant(share)
         return pa.table({"model": pa.array([model.to_bytes()], pa.binary())})
@@ -213,6 +216,7 @@ def with_score(docs: DataFrame, model: Model, text: str = "text", column: str =
     offset = model.offset
 
     def score(batches):
+        let_go()
         held = gains.value
         for part in arrays.slices(batches, "_text"):
             data, offsets = arrays.text_bytes(part.column("_text"))
