@@ -62,6 +62,7 @@ def pairs(spark, sf_dir):
     model = calls.filter(F.col("ml_label") != "UNAVAILABLE").select(
         F.col("query_id").alias("ticket_id"), F.col("ml_label").alias("label"),
         F.col("ml_confidence").alias("confidence"),
+        (F.col("non_rag_latency_ms") / 1024).alias("latency_ms"),
     )
     completion = calls.filter(~pr.is_error(F.col("completion"))).select(
         F.col("query_id").alias("ticket_id"), F.col("llm_label").alias("label"),
@@ -79,13 +80,9 @@ def comparison(spark, sf_dir):
 
 
 def comparison_rows(spark, sf_dir):
-    """The display rows with the selected model's test metrics."""
+    """All eight display rows with the selected model's test metrics."""
     metrics = ev.compare_models(ev.binary_metrics(judged_documents(spark, sf_dir)), NAMES)
-    wide = co.with_test_metrics(pairs(spark, sf_dir), metrics)
-    wide = wide.withColumn("ml_latency_ms", F.lit(None).cast("double"))
-    return co.comparison_rows(wide).filter(
-        ~F.col("measure").startswith("Latency") & ~F.col("measure").startswith("Cost @")
-    )
+    return co.comparison_rows(co.with_test_metrics(pairs(spark, sf_dir), metrics))
 
 
 def log_records(spark, sf_dir, *extra):
@@ -162,6 +159,7 @@ SIDES = f"""sides as (select query_id as ticket_id,
     case when ml_label <> 'UNAVAILABLE' then ml_label end as ml_label,
     case when not {ERROR} then llm_label end as llm_label,
     case when ml_label <> 'UNAVAILABLE' then ml_confidence end as ml_confidence,
+    case when ml_label <> 'UNAVAILABLE' then non_rag_latency_ms / 1024 end as ml_latency_ms,
     case when not {ERROR} then llm_latency_ms end as llm_latency_ms,
     case when not {ERROR} then cost_usd end as llm_cost_usd
   from costed where ml_label <> 'UNAVAILABLE' or not {ERROR})"""
@@ -179,7 +177,12 @@ def comparison_sql() -> str:
         (2, "Test Accuracy", "printf('%.1f%%', 100 * test_accuracy)", "'—'"),
         (3, "F1 (test)", "printf('%.3f', test_f1)", "'—'"),
         (4, "ROC-AUC (test)", "printf('%.3f', test_roc_auc)", "'—'"),
+        # halves are rounded up, where printf would round them to even
+        (5, "Latency / call", "coalesce(printf('%.3f ms', floor(ml_latency_ms * 1000 + 0.5) / 1000), '—')",
+         "coalesce(printf('%.0f ms', floor(llm_latency_ms + 0.5)), '—')"),
         (6, "Cost / call", "'$0.000000'", "coalesce(printf('$%.6f', llm_cost_usd), '—')"),
+        (7, "Cost @ 10,000 tickets / hr", "'$0.00'",
+         "coalesce(printf('$%.2f/hr', llm_cost_usd * 10000), '—')"),
     )
     rows = " union all ".join(
         f"select ticket_id, {i} as position, '{name}' as measure, {ml} as ml, {llm} as llm"
