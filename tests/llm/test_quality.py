@@ -1,8 +1,11 @@
+import math
+import re
 import zlib
 
+import numpy as np
 import plain
 
-from ticketloom.llm import catalog, quality
+from ticketloom.llm import arrays, catalog, quality
 
 
 def test_held_out_accuracy(spark):
@@ -53,3 +56,40 @@ def test_a_column_named_text_is_not_scored(spark):
     out = quality.with_score(more, model)
     assert out.columns == [*more.columns, "score"]
     assert {r["doc_id"]: r["score"] for r in out.collect()} == want
+
+
+def plain_score(text, model):
+    """The score by its definition, one text and one feature at a time."""
+    gaps = b" \t\n\v\f\r\0"
+    data = (text or "").encode()
+    found = []
+    words = [w for w in re.split(rb"[ \t\n\x0b\x0c\r\0]+", data) if w]
+    for i, word in enumerate(words):
+        one = np.frombuffer(word, dtype=np.uint8)
+        found.append(int(arrays.word_hashes(one, np.array([0]), np.array([len(one)]))[0]) % quality.BUCKETS)
+        if i and words[i - 1] == word:
+            found.append(quality.BUCKETS)
+    shown = b"\n" + bytes(10 if b in gaps else b for b in data) + b"\n"
+    for k in quality.GRAMS:
+        for i in range(len(shown) - k + 1):
+            gram = shown[i:i + k]
+            if 10 in gram[1:-1] or gram[0] == gram[-1] == 10:
+                continue
+            code = int.from_bytes(bytes([k]) + gram, "big") * arrays.STEP % 2 ** 64 >> 47
+            found.append(code % quality.BUCKETS)
+    gains = model.gains()
+    odds = sum(gains[f] for f in found) / max(1, len(found)) + model.offset
+    return 1 / (1 + math.exp(-min(40, max(-40, odds))))
+
+
+def test_scores_equal_the_definition_whatever_stands_beside_a_text(spark):
+    texts = [r["text"] for r in plain.rows("documents")[:60]]
+    texts += [None, "", "a", "aa aa aa", " x", "x ", "\n\t", "żółć ", "a\0b", "word" * 400, "a", None, "z"]
+    rng = np.random.default_rng(5)
+    model = quality.Model(rng.normal(size=(quality.BUCKETS + 1, quality.DIM)).astype(np.float32),
+                          rng.normal(size=(quality.DIM, 2)).astype(np.float32), np.array([0.0, 0.3]), 0.5)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for parts in (1, 7):
+        got = {r["doc_id"]: r["score"] for r in quality.with_score(docs.repartition(parts), model).collect()}
+        for i, text in enumerate(texts):
+            assert abs(got[i] - plain_score(text, model)) < 1e-8, (parts, i, text)

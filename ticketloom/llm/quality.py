@@ -82,8 +82,8 @@ def features(data: np.ndarray, offsets: np.ndarray):
                 code = (code << np.uint64(8)) | part[at + j]
             with np.errstate(over="ignore"):
                 code = (code * np.uint64(arrays.STEP)) >> np.uint64(64 - 17)
-            # a pair's row is that of its last byte: a leading border belongs to the text after it
-            yield (code % np.uint64(BUCKETS)).astype(np.int64), rows[at + first + 1]
+            # its first byte tells an n-gram's text; a border before it stands between two, so take the next
+            yield (code % np.uint64(BUCKETS)).astype(np.int64), rows[at + first + gaps[at]]
 
 
 def document_features(texts: Iterable[str]) -> list[tuple[np.ndarray, np.ndarray]]:
