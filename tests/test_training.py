@@ -3,6 +3,7 @@
 import numpy as np
 import pytest
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from ticketloom import fixed_values as fv
@@ -73,6 +74,16 @@ def test_candidates_keep_the_declared_protocol():
     assert gb.getMaxIter() == 100 and gb.getMaxDepth() == 3 and gb.getStepSize() == 0.1
 
 
+def test_models_score_in_a_session_that_observes_metrics(spark, sf):
+    rows = features_of_tickets(spark, sf)
+    seen = Observation("rows")
+    assert rows.observe(seen, F.count("*").alias("n")).count() == seen.get["n"]
+    done = tr.train(rows, trees=2, depth=3, iterations=5)
+    assert done.predictions.select("model").distinct().count() == 3
+    assert not any(m.stages[-1].hasSummary for m in (
+        done.models["logistic_regression"], done.models["random_forest"]))
+
+
 def test_training_job(spark, sf, tmp_path):
     features = features_of_tickets(spark, sf)
     done = tr.train_and_save(features, str(tmp_path), trees=5, depth=4, iterations=20)

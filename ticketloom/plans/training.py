@@ -17,7 +17,7 @@ from ticketloom.functions.features import add_features, fill_missing_features
 from ticketloom.operators.evaluation import binary_metrics, compare_models
 from ticketloom.operators.ranking import stratified_split
 from ticketloom.schemas import require_columns
-from ticketloom.sources.models import save_model
+from ticketloom.sources.models import detached, save_model
 from ticketloom.sources.tables import staged, write_document
 
 TARGET = "is_urgent"
@@ -86,7 +86,8 @@ def train(features: DataFrame, key: str = "tweet_id", trees: int = 100, depth: i
     estimators = candidates(train_rows.count(), trees, depth, iterations, seed)
     models, scored = {}, None
     for name, estimator in estimators.items():
-        models[name] = Pipeline(stages=[assembler(columns), estimator]).fit(train_rows)
+        fitted = Pipeline(stages=[assembler(columns), estimator]).fit(train_rows)
+        models[name] = detached(fitted, split.sparkSession)
         part = predictions_of(models[name], name, held_out, key)
         scored = part if scored is None else scored.unionByName(part)
     predictions = staged(scored, "predictions")

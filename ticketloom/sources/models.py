@@ -5,6 +5,7 @@ import uuid
 from pyspark.ml import PipelineModel
 from pyspark.sql import SparkSession
 
+from ticketloom.session import scratch_path
 from ticketloom.sources import files
 from ticketloom.sources.tables import path_exists
 
@@ -17,6 +18,18 @@ def save_model(model: PipelineModel, features, path: str, spark: SparkSession) -
     ).json(f"{path}/features")
 
 
+def detached(model: PipelineModel, spark: SparkSession) -> PipelineModel:
+    """The model as read back from the shared scratch folder, without its training summary.
+
+    A fitted logistic regression or forest keeps its summary, and that the Spark session. Scoring sends the
+    model to the tasks, which fails as soon as the session holds anything that cannot be sent, such as the
+    listener of an observed metric.
+    """
+    path = scratch_path(spark, "fitted")
+    model.write().save(path)
+    return PipelineModel.load(path)
+
+
 def load_model(spark: SparkSession, path: str):
     """The model and its feature list, or (None, ()) when nothing was trained."""
     if not path_exists(spark, f"{path}/model"):
