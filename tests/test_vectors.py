@@ -69,6 +69,48 @@ def test_small_pair_budget_changes_nothing(spark, sf):
     assert got == expected
 
 
+@pytest.mark.parametrize("rows, size, pieces", [
+    (0, 10, 1), (40, 10, 4), (1_000, 10, 8), (100_000, 150, 8), (400_001, 150, 9), (2_000_000, 150, 40)])
+def test_copies_of_a_row_stay_few(spark, rows, size, pieces):
+    assert sim.pieces_of(spark.range(rows), size) == pieces
+
+
+def test_small_steps_and_repeated_ids_change_nothing(monkeypatch):
+    rng = np.random.default_rng(5)
+    vectors = rng.integers(-2, 3, (400, 4)).astype(float)  # many equal ones
+    unit, numbers = sim.unit_rows(vectors), np.repeat(np.arange(200), 2)
+    products = np.round(unit @ unit.T, 10)
+    products[numbers[:, None] == numbers] = -1
+    monkeypatch.setattr(sim, "STEP_QUERIES", 7)
+    monkeypatch.setattr(sim, "STEP_ROWS", 11)
+    best = sim.Best.empty(400)
+    for start in range(0, 400, 90):
+        part = slice(start, start + 90)
+        for which in (np.arange(399, 150, -1), np.arange(151)):
+            best = sim.scan_block(best, unit, numbers, which, numbers[part], unit[part], 5, 0.2, True)
+    for q in range(400):
+        order = sorted(range(400), key=lambda i: (-products[q, i], numbers[i]))[:5]
+        mine = best.query == q
+        assert list(zip(best.hit[mine], best.similarity[mine])) == [
+            (numbers[i], products[q, i]) for i in order if products[q, i] >= 0.2]
+
+
+def test_a_cell_meets_the_queries_in_groups(spark, sf, monkeypatch):
+    monkeypatch.setattr(sim, "GROUP_QUERIES", 60)
+    held, scan = [], sim.scanned
+
+    def watched(left, right, keys, *others, **options):
+        held.append(max(r["count"] for r in left.groupBy(*keys).count().collect()))
+        return scan(left, right, keys, *others, **options)
+
+    monkeypatch.setattr(sim, "scanned", watched)
+    stored = cat.stored_vectors(spark, sf)
+    found = cat.cell_topk_all(spark, sf).orderBy("query_id", "rank").collect()
+    assert max(held) < stored.count() / 2
+    expected = cat.cosine_topk(spark, sf).select("query_id", "rank", "hit_id").orderBy("query_id", "rank")
+    assert found == expected.collect()
+
+
 def test_empty_sides(spark):
     none = frame(spark, np.ones((1, 4))).limit(0)
     some = frame(spark, np.eye(4))

@@ -23,6 +23,8 @@ from ticketloom.operators import similarity as sim
 LEAST_RECALL = 0.9
 MEASURED = 1_000
 MARGIN = 0.02
+#: Rows of a cell that one task holds.
+SALT_ROWS = 20_000
 
 
 def as_features(corpus: DataFrame, vector: str) -> DataFrame:
@@ -106,26 +108,26 @@ def cell_top_k(queries: DataFrame, stored: DataFrame, model: PipelineModel, dim:
                probes: int, k: int = fv.TOP_K, floor: float = fv.SIMILARITY_FLOOR,
                query_id: str = "query_id", query_vector: str = "vector",
                hit_id: str = "point_id", hit_vector: str = "vector",
-               skip_same_id: bool = False, block_rows: int = sim.BLOCK_ROWS) -> DataFrame:
+               skip_same_id: bool = False, block_rows: int = SALT_ROWS) -> DataFrame:
     """Best k per query among the rows of its `probes` nearest cells.
 
-    Queries and rows join on (cell, salt): a cell is cut into as many salts as its rows need, and a
-    query goes to each salt of its cells.
+    Queries and rows join on (cell, salt, group): a cell is cut into as many salts as its rows need, the
+    queries into groups of bounded size; a query goes to each salt of its cells, a row to each group.
     """
     sim.check_k(k)
     asked, rows = sim.as_sides(queries, stored, query_id, query_vector, hit_id, hit_vector)
-    salts = rows.groupBy("cell").agg(
+    groups, every = sim.pieces_of(asked, sim.GROUP_QUERIES), len(model.stages[-1].clusterCenters())
+    # one row per cell
+    salts = F.broadcast(rows.groupBy("cell").agg(
         F.ceil(F.count("*") / F.lit(block_rows)).cast("long").alias("_salts")
-    )
+    ))
     salted = rows.join(salts, "cell").withColumn(
         "_salt", F.pmod(F.xxhash64("hit_id"), F.col("_salts"))
-    ).drop("_salts")
-    probed = nearest_cells(asked, model, probes).join(
-        salts.select(F.col("cell").alias("_cell"), F.col("_salts").alias("_n")),
-        F.col("cell") == F.col("_cell"))
-    wanted = probed.select("query_id", "asked", "cell", F.explode(
-        F.sequence(F.lit(0).cast("long"), F.col("_n") - 1)).alias("_salt"))
-    hits = sim.scanned(wanted, salted, ["cell", "_salt"], k, floor, skip_same_id)
+    ).drop("_salts").withColumn("_g", sim.every(groups))
+    probed = nearest_cells(asked, model, probes).join(salts, "cell")
+    wanted = probed.select("query_id", "asked", sim.piece("query_id", groups).alias("_g"), "cell", F.explode(
+        F.sequence(F.lit(0).cast("long"), F.col("_salts") - 1)).alias("_salt"))
+    hits = sim.scanned(wanted, salted, ["cell", "_salt", "_g"], k, floor, skip_same_id, tasks=groups * every)
     return sim.ranked_hits(hits, k)
 
 

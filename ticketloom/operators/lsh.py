@@ -25,6 +25,8 @@ from ticketloom.operators import similarity as sim
 LEAST_RECALL = 0.9
 MEASURED = 1_000
 MARGIN = 0.02
+#: Rows of a bucket that one task holds.
+SALT_ROWS = 20_000
 
 
 @dataclass(frozen=True)
@@ -85,7 +87,7 @@ def with_codes(corpus: DataFrame, hashing: Hashing, point_id: str = "point_id",
         F.explode("codes").alias("code"), "hit_id", "vector")
 
 
-def write_index(coded: DataFrame, path: str, block_rows: int = sim.BLOCK_ROWS) -> DataFrame:
+def write_index(coded: DataFrame, path: str, block_rows: int = SALT_ROWS) -> DataFrame:
     """Store by bucket. A bucket is cut into salts of about `block_rows` rows, each written by one task."""
     salts = coded.groupBy("code").agg(
         F.ceil(F.count("*") / F.lit(block_rows)).cast("long").alias("salts"))

@@ -2,7 +2,8 @@
 
 Queries and corpus meet in groups of bounded size: the corpus is cut into blocks by a hash of the
 id, the queries into groups, and each (query group, block) pair yields its best k per query. With no
-more queries than one group holds, which is the usual case, no corpus row is copied. Candidates
+more queries than one group holds, which is the usual case, no corpus row is copied; otherwise a row is
+copied MOST times, or once per MOST_ROWS rows of the other side if those are more. Candidates
 are merged in two steps. Nothing goes through the driver and no pair of rows is emitted.
 """
 
@@ -18,8 +19,13 @@ from ticketloom import fixed_values as fv
 from ticketloom.sources.vector_table import SHARD_POINTS, shard_of
 
 PAIR_BUDGET = 1 << 22
-BLOCK_ROWS = 20_000
-GROUP_QUERIES = 100_000
+#: Queries and corpus rows that are multiplied at once: their products stay in a core's cache.
+STEP_QUERIES, STEP_ROWS = 512, 1024
+BLOCK_ROWS = 4_096
+GROUP_QUERIES = 4_096
+#: A side is cut in at most MOST pieces, unless these would hold more than MOST_ROWS rows.
+MOST = 8
+MOST_ROWS = 50_000
 MERGED_BLOCKS = 64
 MANY = 4
 SLACK = 1e-9
@@ -58,6 +64,14 @@ class Best:
         keep = place < k
         return Best(query[keep], hit[keep], similarity[keep], kth, kth_hit)
 
+    def of(self, which: np.ndarray) -> "Best":
+        """Those of some queries, numbered by their places in `which`."""
+        place = np.full(len(self.kth), -1)
+        place[which] = np.arange(len(which))
+        mine = place[self.query] >= 0
+        return Best(place[self.query[mine]], self.hit[mine], self.similarity[mine], self.kth[which],
+                    self.kth_hit[which])
+
     def can_enter(self, query, hit, similarity) -> np.ndarray:
         bar = self.kth[query]
         return (similarity > bar) | ((similarity == bar) & (hit < self.kth_hit[query]))
@@ -81,21 +95,52 @@ def scan_block(best: Best, queries: np.ndarray, query_ids: np.ndarray, which: np
     """Fold one block of the corpus into the best hits of the queries numbered `which`."""
     if not len(ids) or not len(which):
         return best
-    step = max(1, PAIR_BUDGET // len(which))
-    for start in range(0, len(ids), step):
-        part_ids, part = ids[start:start + step], vectors[start:start + step]
-        found = queries[which] @ part.T
-        if skip_same_id:
-            found[query_ids[which][:, None] == part_ids[None, :]] = -np.inf
+    others = ~np.isin(best.query, which)
+    parts = [(best.query[others], best.hit[others], best.similarity[others])]
+    kth, kth_hit = best.kth.copy(), best.kth_hit.copy()
+    by_id = np.argsort(ids, kind="stable")
+    for start in range(0, len(which), STEP_QUERIES):
+        some = which[start:start + STEP_QUERIES]
+        own = same_ids(query_ids[some], ids, by_id) if skip_same_id else None
+        part = scan_rows(best.of(some), queries[some], ids, vectors, own, k, floor)
+        parts.append((some[part.query], part.hit, part.similarity))
+        kth[some], kth_hit[some] = part.kth, part.kth_hit
+    query, hit, similarity = (np.concatenate(p) for p in zip(*parts))
+    order = np.argsort(query, kind="stable")
+    return Best(query[order], hit[order], similarity[order], kth, kth_hit)
+
+
+def same_ids(asking: np.ndarray, ids: np.ndarray, by_id: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of the pairs that share an id, in order of the row; `by_id` sorts `ids`."""
+    first = np.searchsorted(ids, asking, side="left", sorter=by_id)
+    n = np.searchsorted(ids, asking, side="right", sorter=by_id) - first
+    row = np.repeat(np.arange(len(asking)), n)
+    col = by_id[np.arange(n.sum()) + np.repeat(first - np.cumsum(n) + n, n)]
+    order = np.argsort(col, kind="stable")
+    return row[order], col[order]
+
+
+def scan_rows(best: Best, queries: np.ndarray, ids: np.ndarray, vectors: np.ndarray, own, k: int,
+              floor: float) -> Best:
+    """Fold the rows into the best hits of a few queries, without the pairs in `own`."""
+    for start in range(0, len(ids), STEP_ROWS):
+        part_ids, part = ids[start:start + STEP_ROWS], vectors[start:start + STEP_ROWS]
+        found = queries @ part.T
+        if own:
+            here = slice(*np.searchsorted(own[1], (start, start + len(part_ids))))
+            found[own[0][here], own[1][here] - start] = -np.inf
         # Only what reaches a query's k-th best so far can enter. The slack covers rounding, so
         # ties stay in and the id decides between them.
-        cut = np.maximum(best.kth[which], floor) - SLACK
+        cut = np.maximum(best.kth, floor) - SLACK
         near = found >= cut[:, None]
-        if len(part_ids) > k and near.sum() > MANY * k * len(which):
+        if len(part_ids) > k and np.count_nonzero(near) > MANY * k * len(queries):
             cut = np.maximum(cut, np.partition(found, -k, axis=1)[:, -k] - SLACK)
             near = found >= cut[:, None]
-        row, col = np.nonzero(near)
-        asking, hits, value = which[row], part_ids[col], np.round(found[row, col], DIGITS)
+        place = np.flatnonzero(near)
+        if not len(place):
+            continue
+        asking, hits = place // len(part_ids), part_ids[place % len(part_ids)]
+        value = np.round(found.ravel()[place], DIGITS)
         good = (value >= floor) & best.can_enter(asking, hits, value)
         best = best.add(asking[good], hits[good], value[good], k)
     return best
@@ -140,19 +185,23 @@ def top_k(queries: DataFrame, corpus: DataFrame, dim: int, k: int = fv.TOP_K,
           block_rows: int = BLOCK_ROWS, group_queries: int = GROUP_QUERIES) -> DataFrame:
     """The k most similar corpus rows of every query with similarity >= floor.
 
-    Returns query_id, hit_id, similarity, rank. Vectors need not be normalised. A block of
-    `block_rows` rows and a group of `group_queries` queries are what one task holds at once.
+    Returns query_id, hit_id, similarity, rank. Vectors need not be normalised. One task holds a block of
+    `block_rows` rows and a group of `group_queries` queries, or larger ones where there would be more than
+    MOST of them.
     """
     check_k(k)
     asked, stored = as_sides(queries, corpus, query_id, query_vector, hit_id, hit_vector)
     groups, blocks = pieces_of(asked, group_queries), pieces_of(stored, block_rows)
     left = asked.withColumn("_g", piece("query_id", groups)).withColumn("_b", every(blocks))
     right = stored.withColumn("_b", piece("hit_id", blocks)).withColumn("_g", every(groups))
-    return ranked_hits(scanned(left, right, ["_b", "_g"], k, floor, skip_same_id), k)
+    hits = scanned(left, right, ["_b", "_g"], k, floor, skip_same_id, tasks=groups * blocks)
+    return ranked_hits(hits, k)
 
 
 def pieces_of(df: DataFrame, rows: int) -> int:
-    return max(1, -(-df.count() // rows))
+    """Pieces of about `rows` rows, but at most MOST; more only to keep each within MOST_ROWS."""
+    n = df.count()
+    return max(1, min(-(-n // rows), MOST), -(-n // MOST_ROWS))
 
 
 def piece(column: str, n: int) -> Column:
@@ -165,8 +214,12 @@ def every(n: int) -> Column:
 
 
 def scanned(left: DataFrame, right: DataFrame, keys: Sequence[str], k: int, floor: float,
-            skip_same_id: bool) -> DataFrame:
-    """The best k of every query in each group of (queries, corpus block) that share `keys`."""
+            skip_same_id: bool, tasks: int = 1) -> DataFrame:
+    """The best k of every query in each group of (queries, corpus block) that share `keys`.
+
+    More than one of `tasks`: the groups are dealt to so many; Spark else merges groups of few bytes, though
+    their work grows with the product of both sides.
+    """
     def scan(key, queries: pa.Table, corpus: pa.Table) -> pa.Table:
         ids, best = np.empty(0, np.int64), Best.empty(0)
         if queries.num_rows and corpus.num_rows:
@@ -181,6 +234,8 @@ def scanned(left: DataFrame, right: DataFrame, keys: Sequence[str], k: int, floo
             "block": np.full(len(best.hit), key[0].as_py(), np.int64),
         })
 
+    if tasks > 1:
+        left, right = left.repartition(tasks, *keys), right.repartition(tasks, *keys)
     return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(scan, HIT_FIELDS)
 
 
