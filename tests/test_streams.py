@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ticketloom.catalog import streams as cat
+from ticketloom.catalog import vectors
 from ticketloom.catalog.recipes import messages_from, raw_messages, table
 from ticketloom.functions.rules import label_table
 from ticketloom.operators.cleaning import tidy_tickets
@@ -81,3 +82,15 @@ def test_a_stream_that_does_not_end_is_stopped(spark):
 def test_scored_stream_without_a_model_keeps_both_feature_sets(spark, sf):
     df = jobs.triage_stream(cat.message_stream(spark, sf))
     assert {"rule_has_delay", "has_delay", "rule_caps_ratio", "caps_ratio"} <= set(df.columns)
+
+
+def test_tables_of_several_files_stream_whole(spark, sf):
+    path = scratch_path(spark, "several-files")
+    for name in ("events", "embeddings"):
+        rows = table(spark, sf, name)
+        rows.repartition(3).write.parquet(f"{path}/{name}.parquet")
+        assert cat.table_stream(spark, path, name).schema == rows.schema
+    order = ["query_id", "rank"]
+    assert cat.stream_retrieval(spark, path).orderBy(order).collect() == vectors.cosine_topk(
+        spark, sf).orderBy(order).collect()
+    assert cat.stream_triage(spark, path).count() == cat.stream_triage(spark, sf).count() > 0

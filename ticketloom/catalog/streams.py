@@ -7,12 +7,20 @@ from ticketloom.catalog.recipes import messages_from, table
 from ticketloom.functions.rules import label_table
 from ticketloom.session import scratch_path
 from ticketloom.sources.audit_log import read_log
+from ticketloom.sources.tables import is_folder
 from ticketloom.streaming import jobs
 
 
+def table_stream(spark, sf_dir, name):
+    """A shared table as a stream, be it one file or a folder of files."""
+    schema, path = table(spark, sf_dir, name).schema, f"{sf_dir}/{name}.parquet"
+    if is_folder(spark, path):
+        return jobs.message_stream(spark, path, schema)
+    return jobs.message_stream(spark, sf_dir, schema, glob=f"{name}.parquet")
+
+
 def event_stream(spark, sf_dir):
-    schema = table(spark, sf_dir, "events").schema
-    return jobs.message_stream(spark, sf_dir, schema, glob="events.parquet")
+    return table_stream(spark, sf_dir, "events")
 
 
 def message_stream(spark, sf_dir):
@@ -47,8 +55,7 @@ def stream_audit(spark, sf_dir):
 def stream_retrieval(spark, sf_dir):
     """Vectors arriving as queries, searched against the stored table."""
     stored = vectors.stored_vectors(spark, sf_dir)
-    stream = jobs.message_stream(spark, sf_dir, table(spark, sf_dir, "embeddings").schema,
-                                 glob="embeddings.parquet")
+    stream = table_stream(spark, sf_dir, "embeddings")
     path = scratch_path(spark, "streamed-hits")
     jobs.finish(jobs.start_retrieval(
         stream, stored, path, f"{path}-checkpoint", vectors.DIM, query_id="vec_id",

@@ -44,6 +44,12 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return files.exists(hadoop)
 
 
+def is_folder(spark: SparkSession, path: str) -> bool:
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    files = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return files.getFileStatus(hadoop).isDirectory()
+
+
 def write_document(one_row: DataFrame, path: str) -> None:
     """Write a one-row nested document as JSON."""
     one_row.coalesce(1).write.mode("overwrite").json(path)
