@@ -113,6 +113,23 @@ def test_first_ever_drops_late_copies_and_survives_a_restart(spark, tmp_path):
     assert spark.conf.get("spark.sql.streaming.stateStore.providerClass") != fe.PROVIDER
 
 
+def test_first_ever_keeps_long_ids_and_calls_python_by_bucket(spark, tmp_path):
+    big = 2 ** 53 + 1
+    df = spark.range(2_000).selectExpr(f"id + {big} as id", "concat('k', id % 600) as text",
+                                       "timestamp_seconds(id) as at")
+    df.coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = jobs.message_stream(fe.with_rocksdb(spark), str(tmp_path / "in"), df.schema)
+    firsts = fe.first_ever(stream, "text", "id", "at")
+    plan = firsts._jdf.queryExecution().analyzed().toString()
+    assert "transformwithstate" in plan.lower() and "bucket" in plan
+    path = str(tmp_path / "out")
+    jobs.finish(jobs.start_files(firsts, path, path + "-checkpoint"))
+    found = spark.read.schema(firsts.schema).parquet(path).collect()
+    assert {r["key"]: r["row_id"] for r in found if r["row_id"] is not None} == {
+        f"k{i}": big + i for i in range(600)}
+    assert sum(r["copies"] for r in found) == 1_400
+
+
 # --- versioned models ------------------------------------------------------------------------
 
 def test_each_batch_keeps_its_model_version(spark, sf, tmp_path, monkeypatch):
