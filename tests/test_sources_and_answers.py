@@ -212,6 +212,21 @@ def test_answers_for_a_table_of_queries(spark, sf, tmp_path):
     assert record["llm_label"] == "URGENT" and record["retrieved_count"] == 5
 
 
+def test_a_repeated_text_is_answered_once_for_all_its_queries(spark, sf, tmp_path, monkeypatch):
+    from ticketloom.catalog import vectors as cat
+
+    stored, encoder = cat.filled_table(spark, sf)
+    texts = ["my bag is lost", "!!!", "stranded at the gate"]
+    queries = spark.createDataFrame([(i, texts[i % 3]) for i in range(90)], "query_id long, query string")
+    expected = answering.respond(queries, answering.retrieve(queries, stored, encoder, fv.VECTOR_DIM))
+    seen, respond = [], answering.respond
+    monkeypatch.setattr(answering, "respond", lambda asked, *others: seen.append(asked.count()) or respond(
+        asked, *others))
+    found = answering.respond_all(queries, stored, encoder, fv.VECTOR_DIM)
+    assert found.columns == expected.columns and seen == [3]
+    assert found.orderBy("query_id").collect() == expected.orderBy("query_id").collect()
+
+
 def test_unavailable_without_a_model(spark):
     row = score_texts(None, spark.createDataFrame([("x",)], "text string")).first()
     assert (row["label"], row["confidence"], row["cost_usd"]) == ("UNAVAILABLE", None, 0.0)

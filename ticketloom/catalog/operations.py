@@ -72,8 +72,8 @@ def scored_responses(spark, sf_dir):
     model = trained.models[trained.best]
     stored, encoder = vectors.filled_table(spark, sf_dir)
     accepted = answering.screen(query_calls(spark, sf_dir).select("query_id", "query")).accepted
-    hits = answering.retrieve(accepted, stored, encoder, fv.VECTOR_DIM)
-    answered = answering.respond(accepted, hits, model).select("query_id", "ml_label", "ml_confidence")
+    answered = answering.respond_all(accepted, stored, encoder, fv.VECTOR_DIM, model).select(
+        "query_id", "ml_label", "ml_confidence")
     batch = score_texts(model, accepted, "query").select("query_id", "label", "confidence")
     same = (F.col("ml_label") == F.col("label")) & (F.col("ml_confidence") == F.col("confidence"))
     return answered.join(batch, "query_id", "full_outer").agg(

@@ -151,8 +151,7 @@ def responses(spark, sf_dir):
     """Response rows for every query of the log: hits, prompts, weak-context mark, label."""
     vectors, encoder = filled_table(spark, sf_dir)
     accepted = answering.screen(query_calls(spark, sf_dir).select("query_id", "query")).accepted
-    hits = answering.retrieve(accepted, vectors, encoder, fv.VECTOR_DIM)
-    return answering.respond(accepted, hits)
+    return answering.respond_all(accepted, vectors, encoder, fv.VECTOR_DIM)
 
 
 def cell_topk(spark, sf_dir):

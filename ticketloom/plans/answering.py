@@ -73,6 +73,18 @@ def respond(accepted: DataFrame, hits: DataFrame, model=None,
     )
 
 
+def respond_all(accepted: DataFrame, vectors: DataFrame, encoder, dim: int, model=None, **options) -> DataFrame:
+    """`retrieve` and `respond` for a log whose texts repeat: the row of a text is made once.
+
+    All but the id follows from the text, so hits and prompts are not gathered again for every query.
+    """
+    texts = staged(accepted.groupBy("query").agg(F.min("query_id").alias("query_id")), "texts")
+    hits = staged(retrieve(texts, vectors, encoder, dim, **options), "text-hits")
+    answered = respond(texts, hits, model)
+    rows = staged(answered.drop("query_id"), "text-responses")
+    return accepted.select("query_id", "query").join(rows, "query").select(*answered.columns)
+
+
 def audit_records(responses: DataFrame, calls: DataFrame) -> DataFrame:
     """Log records from responses and the completion calls per query.
 
