@@ -199,6 +199,17 @@ def test_hashing_encoder_gives_unit_vectors(spark, sf):
     assert norms == pytest.approx(np.ones(len(rows)), abs=1e-5)
 
 
+def test_documents_are_cut_into_words_once(spark, sf):
+    docs = cat.table(spark, sf, "documents").select("doc_id", "text").union(
+        spark.createDataFrame([(-1, None), (-2, "?!")], "doc_id long, text string"))
+    encoder = en.fit_hashing_encoder(docs, "text")
+    twice = en.encode(encoder, docs, "text").select("doc_id", "vector").orderBy("doc_id").collect()
+    once = en.fit_and_encode(docs, "text")
+    assert once.columns == ["doc_id", "vector"] and once.orderBy("doc_id").collect() == twice
+    plan = cat.embed_documents(spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert "documents.parquet" not in plan and "text#" not in plan
+
+
 def test_texts_of_every_script_have_a_vector(spark):
     texts = ["plain words", "café müde", "где мой багаж", "我的行李在哪里", "أين حقيبتي", "naïve", "ça va"]
     df = spark.createDataFrame(list(enumerate(texts)) + [(99, " !? ")], "id long, t string")

@@ -110,8 +110,7 @@ def embed_hash(spark, sf_dir):
 def embed_documents(spark, sf_dir):
     """Whole documents encoded by the hashing encoder."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    encoder = en.fit_hashing_encoder(docs, "text")
-    return en.encode(encoder, docs, "text").select("doc_id", "vector")
+    return en.fit_and_encode(docs, "text")
 
 
 def filled_table(spark, sf_dir):

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ticketloom import fixed_values as fv
 from ticketloom.functions import text as tx
 from ticketloom.operators.similarity import unit_rows
+from ticketloom.sources.tables import staged
 
 INPUT = "_text_to_encode"
 
@@ -24,14 +25,32 @@ def fit_hashing_encoder(texts: DataFrame, text_column: str = "chunk_text",
     Words are runs of letters, numbers and `_` of any script, in lower case; a text of other signs
     alone, like a blank one, has the zero vector. Matches words, not meaning: use `batch_encoder` with a sentence model for that.
     """
-    stages = [
-        RegexTokenizer(inputCol=INPUT, outputCol="_tokens", pattern=f"{tx.WORD}+", gaps=False),
-        HashingTF(inputCol="_tokens", outputCol="_counts", numFeatures=dim),
-        IDF(inputCol="_counts", outputCol="_weights"),
-        Normalizer(inputCol="_weights", outputCol="_unit", p=2.0),
-    ]
     body = F.coalesce(F.col(text_column), F.lit("")).alias(INPUT)
-    return Pipeline(stages=stages).fit(texts.select(body))
+    return Pipeline(stages=counting(dim) + weighing()).fit(texts.select(body))
+
+
+def counting(dim: int) -> list:
+    return [RegexTokenizer(inputCol=INPUT, outputCol="_tokens", pattern=f"{tx.WORD}+", gaps=False),
+            HashingTF(inputCol="_tokens", outputCol="_counts", numFeatures=dim)]
+
+
+def weighing() -> list:
+    return [IDF(inputCol="_counts", outputCol="_weights"),
+            Normalizer(inputCol="_weights", outputCol="_unit", p=2.0)]
+
+
+def fit_and_encode(texts: DataFrame, text_column: str = "chunk_text", out: str = "vector",
+                   dim: int = fv.VECTOR_DIM) -> DataFrame:
+    """The vectors of `fit_hashing_encoder` on its own texts, which are read and cut into words once.
+
+    The text itself is left out; the hashed counts are staged, at most `dim` numbers a text.
+    """
+    body = F.coalesce(F.col(text_column), F.lit("")).alias(INPUT)
+    kept = [c for c in texts.columns if c != text_column]
+    counted = Pipeline(stages=counting(dim)).fit(texts).transform(texts.select(*kept, body))
+    counts = staged(counted.select(*kept, "_counts"), "term-counts")
+    weighed = Pipeline(stages=weighing()).fit(counts).transform(counts)
+    return weighed.select(*kept, vector_to_array("_unit", "float32").alias(out))
 
 
 def batch_encoder(load: Callable[[], Callable[[list[str]], np.ndarray]]):
