@@ -125,3 +125,25 @@ def test_components(spark):
     linked = {x for a, b in edges if a != b for x in (a, b)}
     assert sorted(map(tuple, got)) == sorted((x, root(x)) for x in linked)
     assert components.components(spark.createDataFrame([], "a long, b long")).collect() == []
+
+
+def test_stars_need_no_round(spark, monkeypatch):
+    written = []
+    monkeypatch.setattr(components, "staged", lambda df, label: written.append(label) or df.localCheckpoint())
+    stars = spark.createDataFrame([(1, 5), (1, 6), (2, 9), (2, 2)], "a long, b long")
+    got = {tuple(r) for r in components.components(stars).collect()}
+    assert got == {(1, 1), (5, 1), (6, 1), (2, 2), (9, 2)} and written == []
+    knot = spark.createDataFrame([(1, 5), (6, 5), (5, 1), (7, 6)], "a long, b long")
+    got = {tuple(r) for r in components.components(knot).collect()}
+    assert got == {(1, 1), (5, 1), (6, 1), (7, 1)} and len(written) <= 2
+
+
+def test_similarity_equals_the_definition():
+    rng = np.random.default_rng(3)
+    for _ in range(300):
+        a, b = ((np.sort(rng.choice(30, n, replace=False)).astype(np.uint64), rng.integers(1, 4, n).astype(float))
+                for n in rng.integers(0, 20, 2))
+        x, y = (dict(zip(t[0].tolist(), t[1].tolist())) for t in (a, b))
+        every = set(x) | set(y)
+        want = sum(1 / sum(max(x.get(e, 0) / x[d], y.get(e, 0) / y[d]) for e in every) for d in set(x) & set(y))
+        assert abs(near_dup.similarity(a, b) - want) < 1e-12

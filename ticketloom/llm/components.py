@@ -8,8 +8,12 @@ from pyspark.sql import functions as F
 from ticketloom.llm.staging import staged
 
 
-def _state(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+def _finished(edges: DataFrame) -> bool:
+    """Whether the edges are stars already: each a has one edge and no b is an a."""
+    ends = edges.select(F.col("a").alias("node"), F.lit(1).alias("out"), F.lit(0).alias("in")).unionByName(
+        edges.select(F.col("b").alias("node"), F.lit(0).alias("out"), F.lit(1).alias("in")))
+    nodes = ends.groupBy("node").agg(F.sum("out").alias("out"), F.max("in").alias("in"))
+    return not nodes.agg(F.count_if(F.col("out") > 1 - F.col("in"))).first()[0]
 
 
 def _stars(edges: DataFrame, near: DataFrame, keep) -> DataFrame:
@@ -23,14 +27,12 @@ def _stars(edges: DataFrame, near: DataFrame, keep) -> DataFrame:
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component): the smallest id each linked node reaches. Loops and repeats are ignored.
 
-    Node ids are longs. The edge set shrinks to stars around the smallest ids in a number of rounds
-    that grows with the logarithm of the longest chain; every round is written to the shared folder.
+    Node ids are longs. The edges are read several times: pass a written table. The edge set shrinks to
+    stars around the smallest ids in a number of rounds that grows with the logarithm of the longest chain;
+    every round is written to the shared folder.
     """
-    now = edges.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b"))
-    now = staged(now.filter(F.col("a") != F.col("b")).distinct(), "links")
-    before = None
-    while (state := _state(now)) != before:
-        before = state
+    now = edges.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).filter(F.col("a") != F.col("b"))
+    while not _finished(now):
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         large = _stars(now, both, F.col("b") > F.col("a"))
         now = staged(_stars(large, large, F.lit(True)), "stars")

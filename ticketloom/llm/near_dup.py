@@ -107,19 +107,21 @@ def band_hashes(signature: np.ndarray) -> np.ndarray:
 
 def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
     """Probability Jaccard of two (sorted hashes, weights)."""
-    both = np.union1d(a[0], b[0])
-    x, y = np.zeros(len(both)), np.zeros(len(both))
-    x[np.searchsorted(both, a[0])] = a[1]
-    y[np.searchsorted(both, b[0])] = b[1]
-    shared = (x > 0) & (y > 0)
-    if not shared.any():
+    if not len(a[0]) or not len(b[0]):
         return 0.0
-    ratios, counts = np.unique(y[shared] / x[shared], return_counts=True)
+    at = np.minimum(np.searchsorted(a[0], b[0]), len(a[0]) - 1)
+    shared = a[0][at] == b[0]
+    x, y = a[1][at[shared]], b[1][shared]
+    if not len(x):
+        return 0.0
+    only_x, only_y = a[1].sum() - x.sum(), b[1].sum() - y.sum()
+    ratio = y / x
     # for shared d: 1 / sum of max(x/x_d, y/y_d); it depends on x_d and the ratio y_d/x_d alone
+    if (ratio == ratio[0]).all():
+        return float(x.sum() / (only_x + x.sum() + only_y / ratio[0]))
     total = 0.0
-    for ratio in ratios:
-        held = shared & (np.divide(y, x, out=np.zeros_like(y), where=x > 0) == ratio)
-        total += x[held].sum() / np.maximum(x, y / ratio).sum()
+    for one in np.unique(ratio):
+        total += x[ratio == one].sum() / (only_x + only_y / one + np.maximum(x, y / one).sum())
     return float(total)
 
 
@@ -235,11 +237,13 @@ def block_links(members: DataFrame, least: int, threshold: float) -> DataFrame:
                     node = root[node]
                 return node
 
-            weights = _weights(table.column("_text"))
+            some, place = np.unique(np.concatenate([xs, ys]), return_inverse=True)
+            weights = _weights(table.column("_text").take(some))
+            wx, wy = place[:len(xs)], place[len(xs):]
             for at in np.argsort(-agree, kind="stable"):
                 x, y = int(xs[at]), int(ys[at])
                 one, other = find(tree[x]), find(tree[y])
-                if one != other and similarity(weights[x], weights[y]) >= threshold - 1e-12:
+                if one != other and similarity(weights[wx[at]], weights[wy[at]]) >= threshold - 1e-12:
                     root[one] = other
                     links[0].append(int(min(rep[x], rep[y])))
                     links[1].append(int(max(rep[x], rep[y])))
@@ -286,10 +290,10 @@ def _across(pairs: DataFrame, found: DataFrame) -> DataFrame:
 
 def _merged(found: DataFrame, links: DataFrame) -> DataFrame:
     """Components after more links: only the components that these join are worked on."""
-    joined = _across(links, found).select("ca", "cb")
-    if joined.isEmpty():
+    joined = staged(_across(links, found).select("ca", "cb"), "across")
+    if not joined.count():
         return found
-    roots = staged(components(joined, "ca", "cb"), "merged")
+    roots = components(joined, "ca", "cb")
     new = roots.join(found.select(F.col("node").alias("_n")), F.col("node") == F.col("_n"), "left_anti")
     moved = _labelled(found.withColumnRenamed("component", "old"), roots, "old").select("node", "component")
     return staged(moved.unionByName(new), "components")
