@@ -70,3 +70,31 @@ def test_rows(spark):
     assert [r["n_pieces"] for r in out[:2]] == [0, 0] and out[2]["round_trip"]
     assert len(out[2]["piece_ids"]) == out[2]["n_pieces"]
     assert pieces.with_pieces(df.limit(0), PATH).collect() == []
+
+
+def test_chunks_met_again_are_not_searched_again(vocabulary, monkeypatch):
+    monkeypatch.setattr(pieces, "CACHE_CHUNKS", 60)
+    rng = random.Random(5)
+    common = "the cat sat on a mat and then it ran off"
+    texts = [common + "".join(f" {rng.randrange(10**9)}" for _ in range(20)) for _ in range(12)] + [
+        " ".join(str(rng.randrange(10**9)) for _ in range(100)), common]
+    coder, searched = pieces.Encoder(vocabulary, 3), []
+    learn = coder._learn
+    monkeypatch.setattr(coder, "_learn", lambda new: searched.extend(new) or learn(new))
+    for text in texts:
+        assert coder([text]) == pieces.Encoder(vocabulary, 3)([text])
+        assert len(coder.index) <= 60 or text is texts[12]
+    assert searched.count("▁cat") == 2  # at first, and after the text that fills the memory alone
+
+
+def test_one_and_many_agree_in_order_of_paths(vocabulary):
+    rng = random.Random(11)
+    chunks = sorted({"▁" + "".join(rng.choice("theandirs") for _ in range(9)) for _ in range(200)})
+    for n in (1, 2, 5):
+        scores, paths = pieces.search_many(vocabulary, chunks, n)
+        for chunk, row, ids in zip(chunks, scores.tolist(), paths):
+            single = pieces.search_one(vocabulary, chunk, n)
+            assert len({bytes(i) for i in ids}) == len(ids) == len(single)
+            for s, i in zip(row, ids):
+                if row.count(s) == 1 and s != row[len(single) - 1]:
+                    assert i == vocabulary.coded(next(cut for t, cut in single if t == s))

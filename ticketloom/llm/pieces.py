@@ -20,6 +20,7 @@ Chunks of any length are allowed; those over LONG characters are searched one by
 from __future__ import annotations
 
 import heapq
+import itertools
 import math
 import re
 import uuid
@@ -145,7 +146,16 @@ def search_one(vocabulary: Vocabulary, chunk: str, n: int) -> list[tuple[int, li
 
 
 def search_many(vocabulary: Vocabulary, chunks: list[str], n: int) -> tuple[np.ndarray, list]:
-    """The same for chunks of one length at a time: (scores, count x n; the paths' ids as bytes).
+    """The same for chunks of one length at a time: (scores, count x n; each chunk's paths, ids as bytes)."""
+    scores, ranked = search_ranked(vocabulary, chunks, n)
+    return scores, [[paths[i] for paths, s in zip(ranked, row) if s > NONE]
+                    for i, row in enumerate(scores.tolist())]
+
+
+def search_ranked(vocabulary: Vocabulary, chunks: list[str], n: int) -> tuple[np.ndarray, list[list[bytes]]]:
+    """The scores, count x n, and a list of all chunks' best paths, one of their second best and so on.
+
+    A chunk without so many paths has score NONE and no ids there.
 
     With an exact heuristic a popped path's best extension has the path's own bound and would be
     popped next, down to the start. So each step takes the best open sidetrack, follows the best
@@ -154,46 +164,57 @@ def search_many(vocabulary: Vocabulary, chunks: list[str], n: int) -> tuple[np.n
     count, size = len(chunks), len(chunks[0])
     most = min(vocabulary.longest, size)
     codes = np.frombuffer("".join(chunks).encode("utf-32-le", "surrogatepass"), dtype="<u4")
-    codes = codes.reshape(count, size).astype(np.int64)
-    score = np.full((count, size + 1, most + 1), NONE, dtype=np.int64)
-    piece = np.full((count, size + 1, most + 1), -1, dtype=np.int32)
-    row, start = (x.ravel() for x in np.indices((count, size)))
-    node = np.zeros(count * size, dtype=np.int64)
+    codes = codes.reshape(count, size).T.astype(np.int64).ravel()  # place by place, all chunks of a place
+    score = np.full((size + 1, most + 1, count), NONE, dtype=np.int64)
+    piece = np.full((size + 1, most + 1, count), -1, dtype=np.int32)
+    flat_score, flat_piece = score.reshape(-1), piece.reshape(-1)
+    at = np.arange(size * count)  # start * count + chunk
+    node = np.zeros(size * count, dtype=np.int64)
     spelled = np.zeros(count, dtype=bool)
     for length in range(1, most + 1):
-        fits = start + length <= size
-        row, start, node = row[fits], start[fits], node[fits]
-        key = (node << 21) | codes[row, start + length - 1]
-        at = np.minimum(np.searchsorted(vocabulary.keys, key), len(vocabulary.keys) - 1)
-        found = vocabulary.keys[at] == key
+        if length > 1:
+            fits = np.searchsorted(at, (size - length + 1) * count)
+            at, node = at[:fits], node[:fits]
+        key = (node << 21) | codes[at + (length - 1) * count]
+        edge = np.minimum(np.searchsorted(vocabulary.keys, key), len(vocabulary.keys) - 1)
+        found = vocabulary.keys[edge] == key
         if length == 1:
-            alone = np.where(found, vocabulary.node_score[vocabulary.next[at]], NONE)
+            alone = np.where(found, vocabulary.node_score[vocabulary.next[edge]], NONE)
             bare = np.flatnonzero(alone == NONE)
-            for i in bare:
-                alone[i] = vocabulary.byte_score * len(vocabulary.spelled(chunks[row[i]][start[i]]))
-            spelled[row[bare]] = True
-            score[row, start + 1, 1] = alone
-        row, start, node = row[found], start[found], vocabulary.next[at[found]]
-        if not len(row):
+            for i in bare.tolist():
+                alone[i] = vocabulary.byte_score * len(vocabulary.spelled(chunks[i % count][i // count]))
+            spelled[bare % count] = True
+            score[1:, 1] = alone.reshape(size, count)
+        at, node = at[found], vocabulary.next[edge[found]]
+        if not len(at):
             break
+        start, row = np.divmod(at, count)
+        cell = ((start + length) * (most + 1) + length) * count + row
         if length > 1:
-            score[row, start + length, length] = vocabulary.node_score[node]
-        piece[row, start + length, length] = vocabulary.node_piece[node]
-
-    # ahead: forward Viterbi; loss: what an edge costs against the best one into its place
-    ahead = np.full((count, size + 1), NONE, dtype=np.int64)
-    ahead[:, 0] = 0
-    loss = np.full((count, size + 1, most), FAR, dtype=np.int64)
+            flat_score[cell] = vocabulary.node_score[node]
+        flat_piece[cell] = vocabulary.node_piece[node]
+
+    # ahead: forward Viterbi. Of the edges into a place the n best are kept, shorter ones first at equal
+    # scores: no more than n - 1 sidetracks of one place can be taken. A key is a score and a length.
+    ahead = np.zeros((size + 1, count), dtype=np.int64)
+    loss = np.full((count, size + 1, max(n - 1, 1)), FAR, dtype=np.int64)
+    lengths = np.zeros((count, size + 1, max(n - 1, 1)), dtype=np.int64)
     step = np.zeros((count, size + 1), dtype=np.int64)
     line = np.arange(count)
     for end in range(1, size + 1):
-        top = min(most, end)
-        into = ahead[:, end - top:end][:, ::-1] + score[:, end, 1:top + 1]
-        best = into.argmax(axis=1)
-        ahead[:, end] = into[line, best]
-        step[:, end] = best + 1
-        loss[:, end, :top] = np.where(into > NONE // 2, ahead[:, end, None] - into, FAR)
-        loss[line, end, best] = FAR  # the best edge is no sidetrack
+        kept: list[np.ndarray] = []
+        for length in range(1, min(most, end) + 1):
+            key = ((ahead[end - length] + score[end, length]) << 6) + (63 - length)
+            for j, other in enumerate(kept):
+                kept[j], key = np.maximum(other, key), np.minimum(other, key)
+            if len(kept) < n:
+                kept.append(key)
+        ahead[end] = kept[0] >> 6
+        step[:, end] = 63 - (kept[0] & 63)
+        for j, key in enumerate(kept[1:]):  # the best edge is no sidetrack
+            into = key >> 6
+            loss[:, end, j] = np.where(into > NONE // 2, ahead[end] - into, FAR)
+            lengths[:, end, j] = 63 - (key & 63)
 
     def walk(at: np.ndarray) -> np.ndarray:
         """Places on the best path from `at` to the start."""
@@ -206,10 +227,11 @@ def search_many(vocabulary: Vocabulary, chunks: list[str], n: int) -> tuple[np.n
             at -= step[line, at]
         return on
 
-    width = (size + 1) * most
+    sides = loss.shape[2]
+    width = (size + 1) * sides
     scores = np.full((count, n), NONE, dtype=np.int64)
     cuts = [walk(np.full(count, size))]
-    scores[:, 0] = ahead[:, size]
+    scores[:, 0] = ahead[size]
     open_ = np.full((count, n * width), FAR, dtype=np.int64)
     for k in range(1, n):
         held = scores[:, 0] - scores[:, k - 1]  # what the last path lost
@@ -220,27 +242,29 @@ def search_many(vocabulary: Vocabulary, chunks: list[str], n: int) -> tuple[np.n
         lost = open_[line, pick]
         open_[line, pick] = FAR
         some = lost < FAR
-        parent, at, length = pick // width, pick % width // most, pick % most + 1
+        parent, at = pick // width, pick % width // sides
+        length = lengths[line, at, pick % sides]
         own = walk(np.where(some, at - length, 0))
         before = np.stack(cuts)[parent, line]
         cuts.append(before & (np.arange(size + 1) >= at[:, None]) | own)
         scores[:, k] = np.where(some, scores[:, 0] - lost, NONE)
 
-    paths: list[list[bytes]] = [[] for _ in chunks]
+    ranked: list[list[bytes]] = []
     for k, cut in enumerate(cuts):
         r, end = np.nonzero(cut)
         inner = end > 0
         begin = np.append(0, end[:-1])[inner]
         r, end = r[inner], end[inner]
-        flat = piece[r, end, end - begin].astype("<u4").tobytes()
-        ends = np.searchsorted(r, np.arange(count + 1)) * 4
-        valid = scores[:, k] > NONE
-        for i in np.flatnonzero(valid & ~spelled).tolist():
-            paths[i].append(flat[ends[i]:ends[i + 1]])
-        for i in np.flatnonzero(valid & spelled).tolist():
+        flat = piece[end, end - begin, r].astype("<u4").tobytes()
+        ends = (np.searchsorted(r, np.arange(count + 1)) * 4).tolist()
+        paths = [flat[i:j] for i, j in zip(ends, ends[1:])]
+        for i in np.flatnonzero(scores[:, k] == NONE).tolist():
+            paths[i] = b""
+        for i in np.flatnonzero((scores[:, k] > NONE) & spelled).tolist():
             places = np.flatnonzero(cut[i]).tolist()
-            paths[i].append(vocabulary.coded(chunks[i][a:b] for a, b in zip(places, places[1:])))
-    return scores, paths
+            paths[i] = vocabulary.coded(chunks[i][a:b] for a, b in zip(places, places[1:]))
+        ranked.append(paths)
+    return scores, ranked
 
 
 class Encoder:
@@ -252,9 +276,21 @@ class Encoder:
 
     def forget(self):
         self.index: dict[str, int] = {}
-        self.ids: list[list[bytes]] = []
-        self.firsts: list[bytes] = []
+        self.ranked: list[list[bytes]] = [[] for _ in range(self.n)]
         self.scores = np.zeros((0, self.n), dtype=np.int64)
+        self.sizes = np.zeros(0, dtype=np.int64)  # bytes of the best path
+        self.met = np.zeros(0, dtype=bool)  # in a slice after the one that brought the chunk
+
+    def _make_room(self):
+        """Forget the chunks that were not met again; all, if the others would fill more than half."""
+        held = np.flatnonzero(self.met)
+        if len(held) > CACHE_CHUNKS // 2:
+            return self.forget()
+        names = list(self.index)  # in the order of their numbers
+        self.index = {names[i]: k for k, i in enumerate(held.tolist())}
+        self.ranked = [[paths[i] for i in held.tolist()] for paths in self.ranked]
+        self.scores, self.sizes = self.scores[held], self.sizes[held]
+        self.met = np.zeros(len(held), dtype=bool)
 
     def _learn(self, chunks: list[str]):
         by_size: dict[int, list[str]] = {}
@@ -267,58 +303,81 @@ class Encoder:
                 table = np.full((len(some), self.n), NONE, dtype=np.int64)
                 for i, paths in enumerate(found):
                     table[i, :len(paths)] = [s for s, _ in paths]
-                self._keep(some, [[self.vocabulary.coded(cut) for _, cut in paths] for paths in found])
+                self._keep(some, [[self.vocabulary.coded(paths[k][1]) if k < len(paths) else b"" for paths in found]
+                                  for k in range(self.n)])
                 tables.append(table)
                 continue
             batch = max(100, BATCH_CELLS // (size + 1) ** 2)
             for i in range(0, len(some), batch):
-                table, paths = search_many(self.vocabulary, some[i:i + batch], self.n)
-                self._keep(some[i:i + batch], paths)
+                table, ranked = search_ranked(self.vocabulary, some[i:i + batch], self.n)
+                self._keep(some[i:i + batch], ranked)
                 tables.append(table)
         self.scores = np.concatenate(tables)
+        fresh = self.ranked[0][len(self.sizes):]
+        self.sizes = np.append(self.sizes, np.fromiter(map(len, fresh), np.int64, len(fresh)))
+        self.met = np.append(self.met, np.zeros(len(chunks), dtype=bool))
 
-    def _keep(self, chunks: list[str], paths: list[list[bytes]]):
-        base = len(self.ids)
+    def _keep(self, chunks: list[str], ranked: list[list[bytes]]):
+        base = len(self.index)
         self.index.update(zip(chunks, range(base, base + len(chunks))))
-        self.ids += paths
-        self.firsts += [some[0] for some in paths]
+        for held, paths in zip(self.ranked, ranked):
+            held += paths
+
+    def _numbers(self, chunks: list[str]) -> np.ndarray:
+        """Each chunk's number, after those not known were learned."""
+        numbers, unknown = self._looked_up(chunks)
+        new = {chunks[i] for i in unknown}
+        if len(self.index) + len(new) > CACHE_CHUNKS:
+            self._make_room()
+            numbers, unknown = self._looked_up(chunks)
+            new = {chunks[i] for i in unknown}
+            if len(self.index) + len(new) > CACHE_CHUNKS:
+                self.forget()
+                numbers, unknown = self._looked_up(chunks)
+                new = set(chunks)
+        self.met[numbers[numbers >= 0]] = True
+        if new:
+            self._learn(sorted(new))
+            place = self.index.__getitem__
+            numbers[unknown] = [place(chunks[i]) for i in unknown]
+        return numbers
+
+    def _looked_up(self, chunks: list[str]) -> tuple[np.ndarray, list[int]]:
+        """The numbers of known chunks, -1 for others, and where the others are."""
+        numbers = np.fromiter(map(self.index.get, chunks, itertools.repeat(-1)), np.int64, len(chunks))
+        return numbers, np.flatnonzero(numbers < 0).tolist()
 
     def __call__(self, texts: list[str | None]) -> list[list[tuple[int, bytes]]]:
         """Per text its best n segmentations: (score, ids as little-endian unsigned 32 bits)."""
         split = [_CHUNK.findall(MARK + t.replace(MARK, LITERAL_MARK).replace(" ", MARK)) if t
                  else [] for t in texts]
-        distinct = set().union(*split)
-        new = distinct - self.index.keys()
-        if len(self.index) + len(new) > CACHE_CHUNKS:
-            self.forget()
-            new = distinct
-        if new:
-            self._learn(sorted(new))
-        place = self.index.__getitem__
-        return [self._combined(list(map(place, chunks))) for chunks in split]
+        numbers = self._numbers(list(itertools.chain.from_iterable(split)))
+        ends = list(itertools.accumulate(map(len, split), initial=0))
+        return [self._combined(numbers[i:j]) for i, j in zip(ends, ends[1:])]
 
-    def _combined(self, chunks: list[int]) -> list[tuple[int, bytes]]:
-        if not chunks:
+    def _combined(self, chunks: np.ndarray) -> list[tuple[int, bytes]]:
+        if not len(chunks):
             return [(0, b"")]
-        best = list(map(self.firsts.__getitem__, chunks))
+        best = b"".join(map(self.ranked[0].__getitem__, chunks.tolist()))
         scores = self.scores[chunks]
         top = int(scores[:, 0].sum())
         out = [(0, ())]  # (loss, changed places)
         if self.n > 1:
-            losses = scores[:, :1] - scores
-            nearest = np.argsort(losses[:, 1], kind="stable")[:self.n - 1] 
-            for place in sorted(map(int, nearest)):
-                levels = [(int(losses[place, j]), j) for j in range(len(self.ids[chunks[place]]))]
+            nearest = np.argsort(scores[:, 0] - scores[:, 1], kind="stable")[:self.n - 1]
+            for place in sorted(nearest.tolist()):
+                row = scores[place].tolist()
+                levels = [(row[0] - s, j) for j, s in enumerate(row) if s > NONE]
                 out = sorted((loss + more, changed + (((place, j),) if j else ()))
                              for loss, changed in out for more, j in levels)[:self.n]
+        ends = self.sizes[chunks].cumsum()
         result = []
         for loss, changed in out:
-            held = best
-            if changed:
-                held = list(best)
-                for place, j in changed:
-                    held[place] = self.ids[chunks[place]][j]
-            result.append((top - loss, b"".join(held)))
+            parts, after = [], 0
+            for place, j in changed:
+                end = int(ends[place])
+                parts += best[after:end - int(self.sizes[chunks[place]])], self.ranked[j][chunks[place]]
+                after = end
+            result.append((top - loss, b"".join([*parts, best[after:]])))
         return result
 
 
